@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartula.llm import hilbert, mixing
+from cartula.llm import decontam, hilbert, mixing, simhash
 from cartula.llm.common import small_batches, table
 
 
@@ -16,5 +16,15 @@ def op9_weighted_fair_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("n_copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_sharding, op9_weighted_fair_mixing)}
+def op4_bit_sliced_simhash(spark, sf_dir):
+    """Fingerprint and component of each document."""
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_automaton_decontamination(spark, sf_dir):
+    """Words of each document that test items hit."""
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_hilbert_sharding, op4_bit_sliced_simhash, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
 ORACLES = {"op9_weighted_fair_mixing": mixing.SQL}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from cartula.llm import decontam, hilbert, mixing, simhash
+from cartula.llm import decontam, hilbert, mixing, simhash, toxicity
 from cartula.llm.common import small_batches, table
 
 
+def op1_toxicity_grammar(spark, sf_dir):
+    """Score of each document."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_hilbert_sharding(spark, sf_dir):
     """All documents in shards 0 to 7 by the law ``rows``."""
     return hilbert.shard(table(spark, sf_dir, "documents"), 8)
@@ -26,5 +31,5 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_sharding, op4_bit_sliced_simhash, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op3_hilbert_sharding, op4_bit_sliced_simhash, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
 ORACLES = {"op9_weighted_fair_mixing": mixing.SQL}

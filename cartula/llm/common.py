@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder: its lineage is cut, and a lost executor costs nothing."""
+    """df, written to the shared folder: its lineage is cut, and a lost executor costs nothing.
+
+    Collecting garbage lets Spark's cleaner remove the shuffle files that only the lineage held.
+    """
     scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

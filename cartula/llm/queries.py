@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartula.llm import decontam, hilbert, mixing, simhash, toxicity
+from cartula.llm import decontam, hilbert, mixing, simhash, substring, toxicity
 from cartula.llm.common import small_batches, table
 
 
@@ -16,6 +16,11 @@ def op3_hilbert_sharding(spark, sf_dir):
     return hilbert.shard(table(spark, sf_dir, "documents"), 8)
 
 
+def op5_level_wise_substring_dedup(spark, sf_dir):
+    """Words that each document keeps."""
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_weighted_fair_mixing(spark, sf_dir):
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("n_copies")
@@ -31,5 +36,5 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op3_hilbert_sharding, op4_bit_sliced_simhash, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
 ORACLES = {"op9_weighted_fair_mixing": mixing.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words, as Java's regular expressions say it: runs of anything but ASCII white space.
@@ -55,3 +55,20 @@ def word_count(text: str | F.Column) -> F.Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with __rank, gapless from 0 in the order, and __total, the number of rows.
+
+    Rows are ranged and numbered within their partitions; the counts of the partitions, one
+    row each, make the numbers global. The ranged rows are checkpointed, so that both steps
+    see the same partitions.
+    """
+    ranged = df.repartitionByRange(parts(df.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = checkpoint(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__part", F.shiftright("__at", 33).cast("int"))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("__total", F.sum("n").over(Window.partitionBy(F.lit(0)))).drop("n")
+    counts = checkpoint(counts)  # a row for each partition: small, whatever the input
+    return ranged.join(F.broadcast(counts), "__part").withColumn("__rank", F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__first")

@@ -14,10 +14,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, parts
+from cartula.llm.common import ranked
 
 #: Bits of each dimension.
 BITS = 4
@@ -65,27 +65,16 @@ def cells(source: str = "source", lang: str = "lang", size: str = "size", bits:
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of docs.
 
-    Slim rows are ranged over the curve and numbered within their partitions; the counts of
-    the partitions, one row each, make the numbers global. The ranged rows are checkpointed,
-    so that both steps see the same partitions.
+    Only slim rows are ranged along the curve; texts stay where they are.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     slim = docs.select("doc_id", "source", lang.alias("lang"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     slim = slim.withColumn("cell", cells()).join(F.broadcast(curve_table(spark)), "cell")
-    order = ["place", "h", "doc_id", "size"]
-    ranged = slim.select("doc_id", "size", "text_crc32", "place", "h").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    ranged = checkpoint(ranged.select("doc_id", "size", "text_crc32", F.monotonically_increasing_id().alias("__at")))
-    ranged = ranged.withColumn("__part", F.shiftright("__at", 33).cast("int"))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    first = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = checkpoint(counts.withColumn("__first", F.coalesce(F.sum("n").over(first), F.lit(0))).withColumn("__total", F.sum("n").over(Window.partitionBy(F.lit(0)))).drop("n"))
-    rank = F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    rows = ranked(slim.select("doc_id", "size", "text_crc32", "place", "h"), ["place", "h", "doc_id", "size"])
     return (
-        ranged.join(F.broadcast(counts), "__part")
-        .withColumn("rank", rank)
-        .withColumn("shard", F.expr(f"(rank * {shards}L) div __total").cast("int"))
-        .withColumn("slot", F.col("rank") - F.expr(f"(shard * __total + {shards - 1}L) div {shards}L"))
+        rows.withColumn("shard", F.expr(f"(__rank * {shards}L) div __total").cast("int"))
+        .withColumn("slot", F.col("__rank") - F.expr(f"(shard * __total + {shards - 1}L) div {shards}L"))
         .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

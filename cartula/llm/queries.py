@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartula.llm import decontam, hilbert, mixing, simhash, substring, toxicity
+from cartula.llm import ann, chat, decontam, hilbert, mixing, simhash, substring, toxicity
 from cartula.llm.common import small_batches, table
 
 
@@ -21,6 +21,16 @@ def op5_level_wise_substring_dedup(spark, sf_dir):
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_block_matrix_neighbours(spark, sf_dir):
+    """The five nearest of each query vector."""
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_reply_tree_chat(spark, sf_dir):
+    """Digest of each formatted conversation."""
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op9_weighted_fair_mixing(spark, sf_dir):
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("n_copies")
@@ -36,5 +46,5 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
-ORACLES = {"op9_weighted_fair_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
+ORACLES = {"op7_reply_tree_chat": chat.SQL, "op9_weighted_fair_mixing": mixing.SQL}

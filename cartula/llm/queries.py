@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartula.llm import ann, chat, decontam, hilbert, mixing, simhash, substring, toxicity
+from cartula.llm import ann, chat, decontam, hilbert, idcoder, mixing, simhash, substring, toxicity
 from cartula.llm.common import small_batches, table
 
 
@@ -11,6 +11,15 @@ def op1_toxicity_grammar(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_context_mixing_ids(spark, sf_dir, tokenizer=None):
+    """Place, number and checksum of each document's token ids, from the files; tokenizer is a path."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return idcoder.digest(table(spark, sf_dir, "documents"), str(tokenizer))
+
+
 def op3_hilbert_sharding(spark, sf_dir):
     """All documents in shards 0 to 7 by the law ``rows``."""
     return hilbert.shard(table(spark, sf_dir, "documents"), 8)
@@ -46,5 +55,5 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op2_context_mixing_ids, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
 ORACLES = {"op7_reply_tree_chat": chat.SQL, "op9_weighted_fair_mixing": mixing.SQL}

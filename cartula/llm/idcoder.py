@@ -287,7 +287,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
 
         def out():
             columns = (pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([pack(held)], pa.binary()))
-            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([*columns], ["part", "segment", "n_ids", "payload"])
 
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist(), end)):
@@ -326,7 +326,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([zlib.crc32(t.tobytes()) for _, t in docs], pa.int64()),
                     pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), np.concatenate([t for _, t in docs]).astype(np.int32)),
                 )
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([*columns], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return segments.join(starts, ["part", "segment"]).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartula.llm import ann, chat, decontam, hilbert, idcoder, mixing, simhash, substring, toxicity
+from cartula.llm import ann, chat, decontam, hilbert, idcoder, linedup, mixing, simhash, substring, toxicity
 from cartula.llm.common import small_batches, table
 
 
@@ -40,6 +40,11 @@ def op7_reply_tree_chat(spark, sf_dir):
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op8_deletion_neighbourhood_lines(spark, sf_dir):
+    """Lines that each document loses."""
+    return linedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_weighted_fair_mixing(spark, sf_dir):
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("n_copies")
@@ -55,5 +60,5 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op2_context_mixing_ids, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op2_context_mixing_ids, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op8_deletion_neighbourhood_lines, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
 ORACLES = {"op7_reply_tree_chat": chat.SQL, "op9_weighted_fair_mixing": mixing.SQL}

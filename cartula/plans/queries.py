@@ -1,4 +1,506 @@
-"""The queries of the library, by name, and their SQL."""
+"""The queries of the library over the test tables, by name, and the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The texts of the test tables are invented words, so lexicons, headers and cues are derived
+from them; the operators are those that clinical notes go through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cartula.functions.text import LETTERS, fold, ontology_tokens, token_count
+from cartula.operators import lexicon as lex
+from cartula.operators import retrieval, spans, windows
+
+WORD_CLASS = r"\p{L}\p{M}\p{N}_"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _notes(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+
+
+def corpus_lexicon(notes: DataFrame) -> DataFrame:
+    """surface, kind, priority: words of three letters or more in a tenth of all notes, and pairs of words in a fiftieth."""
+    rows = spans.words(notes)
+    following = F.lead("word").over(Window.partitionBy("note_id").orderBy("i"))
+    rows = rows.select("note_id", F.lower("word").alias("w"), F.when(F.col("piece") == F.concat("word", F.lit(" ")), F.lower(F.concat("piece", following))).alias("pair"))
+    total = notes.agg(F.count("*").alias("n"))
+    single = rows.where(F.length("w") >= 3).select("note_id", F.col("w").alias("surface"), F.lit(10).alias("share"))
+    double = rows.where("pair is not null").select("note_id", F.col("pair").alias("surface"), F.lit(50).alias("share"))
+    df = single.unionByName(double).groupBy("surface", "share").agg(F.countDistinct("note_id").alias("df"))
+    kept = df.crossJoin(F.broadcast(total)).where("df * share >= n")  # one row of statistics
+    kind = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.length("surface") % 3 + 1).cast("int"))
+    return kept.select("surface", kind.alias("kind"), ((F.length("surface") * 7) % 5).cast("int").alias("priority"))
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    notes = _notes(spark, sf_dir)
+    return lex.scan(notes, corpus_lexicon(notes))
+
+
+def _longest(spark, sf_dir) -> DataFrame:
+    return spans.greedy(_hits(spark, sf_dir), -F.col("priority"), F.lower("text"))
+
+
+def _sections(spark, sf_dir) -> DataFrame:
+    """Tiles that begin at lines whose first word is a header."""
+    from cartula.operators.sections import tiles
+
+    notes = _notes(spark, sf_dir)
+    heads = spans.lines(notes).withColumn("head", F.lower(F.regexp_extract("line", f"^[{WORD_CLASS}]+", 0))).where(F.col("head").isin(*HEADERS))
+    marks = heads.select("note_id", F.upper("head").alias("canonical"), "start", (F.col("start") + F.length("head")).alias("end"), F.col("line_no"), F.expr("substring(line, 1, length(head))").alias("header"))
+    return tiles(marks, notes)
+
+
+HEADERS = ("the", "in", "die", "der", "la", "le", "de", "el", "and", "of")
+
+
+def line_offsets(spark, sf_dir):
+    return spans.lines(_notes(spark, sf_dir)).select(F.col("note_id").alias("doc_id"), "line_no", "start", "end", F.md5("line").alias("line_md5"))
+
+
+def clause_split(spark, sf_dir):
+    return spans.clauses(_notes(spark, sf_dir)).select(F.col("note_id").alias("doc_id"), "start", "end", F.md5("clause").alias("clause_md5"))
+
+
+def normalize_tokens(spark, sf_dir):
+    rows = _notes(spark, sf_dir).select("note_id", ontology_tokens("text").alias("t"))
+    return rows.select(F.col("note_id").alias("doc_id"), F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+def doc_frequency(spark, sf_dir):
+    rows = _notes(spark, sf_dir).select("note_id", F.explode(F.array_distinct(ontology_tokens("text"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def flagship_term_sections(spark, sf_dir):
+    """Lines, dictionary scan, longest match, section of each hit, and counts by language, section and term."""
+    from cartula.operators.sections import section_of
+
+    found = section_of(_longest(spark, sf_dir), _sections(spark, sf_dir))
+    langs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "lang")
+    return found.join(langs, "note_id").groupBy("lang", "section", "surface").agg(F.count("*").alias("n"), F.countDistinct("note_id").alias("n_docs"))
+
+
+def dict_scan(spark, sf_dir):
+    return _hits(spark, sf_dir).select(F.col("note_id").alias("doc_id"), "start", "end", "surface")
+
+
+def dict_scan_longest(spark, sf_dir):
+    return _longest(spark, sf_dir).select(F.col("note_id").alias("doc_id"), "start", "end", "surface", "kind")
+
+
+def dict_scan_policy(spark, sf_dir):
+    """Hits whose priority the policy of their section admits, longest first."""
+    from cartula.operators.sections import section_of
+
+    hits = section_of(_hits(spark, sf_dir), _sections(spark, sf_dir))
+    least = F.when(F.col("section") == "UNKNOWN", 4).when(F.col("section").isin("THE", "DIE", "LA"), 0).otherwise(2)
+    kept = spans.greedy(hits.where(F.col("priority") >= least), -F.col("priority"), F.lower("text"))
+    return kept.select(F.col("note_id").alias("doc_id"), "start", "end", "surface", "section")
+
+
+def ngram_hits(spark, sf_dir):
+    notes = _notes(spark, sf_dir)
+    words = corpus_lexicon(notes).where(F.col("surface").rlike("^[a-z0-9 ]+$"))
+    return lex.ngram_hits(notes, words.select("surface")).select(F.col("note_id").alias("doc_id"), "surface")
+
+
+def section_tiles(spark, sf_dir):
+    return _sections(spark, sf_dir).select(F.col("note_id").alias("doc_id"), "sec_no", "canonical", "header_start", "content_start", "content_end")
+
+
+def section_asof(spark, sf_dir):
+    from cartula.operators.sections import section_of
+
+    rows = section_of(_longest(spark, sf_dir), _sections(spark, sf_dir))
+    return rows.select(F.col("note_id").alias("doc_id"), "start", "section")
+
+
+def section_coverage(spark, sf_dir):
+    own = _sections(spark, sf_dir).where("canonical <> 'UNKNOWN'").select("note_id", F.col("header_start").alias("start"), F.col("content_end").alias("end"))
+    return spans.coverage(own, _notes(spark, sf_dir)).select(F.col("note_id").alias("doc_id"), F.round("covered", 6).alias("covered"))
+
+
+def next_span_window(spark, sf_dir):
+    """After each longest hit of kind A: what is free up to the next one, the end of the line, or 130 characters."""
+    from cartula.operators.extract import result_windows
+
+    names = _longest(spark, sf_dir).where("kind = 'A'")
+    rows = result_windows(names, _notes(spark, sf_dir))
+    return rows.select(F.col("note_id").alias("doc_id"), "start", "window_end", F.md5("window").alias("window_md5"))
+
+
+def last_cue_assertion(spark, sf_dir):
+    """Whether a cue stands before a hit in its clause, near enough, with no contrast between."""
+    from cartula.operators.assertions import cue_before
+
+    rows = spans.with_text(_longest(spark, sf_dir).where("kind = 'B'"), _notes(spark, sf_dir))
+    cue = cue_before("__note", "start", ["the", "der", "la", "que", "un"], reach=120, most=90, contrast=r"\b(?:and|und|et)\b")
+    return rows.select(F.col("note_id").alias("doc_id"), "start", "surface", cue.alias("asserted"))
+
+
+def _two_sources(spark, sf_dir):
+    rows = _hits(spark, sf_dir).withColumn("type", F.col("kind"))
+    rows = rows.withColumn("confidence", F.round((F.col("start") * 7 + F.length("surface") * 13) % 100 / 100, 2))
+    return rows.where("priority < 3"), rows.where("priority >= 2")
+
+
+def support_semi(spark, sf_dir):
+    left, right = _two_sources(spark, sf_dir)
+    return spans.supported(left, right, 0.8).select(F.col("note_id").alias("doc_id"), "start", "end", "type")
+
+
+def conflict_anti(spark, sf_dir):
+    left, right = _two_sources(spark, sf_dir)
+    other = right.withColumn("type", F.when(F.col("confidence") < 0.5, F.lit("A")).otherwise(F.col("type")))
+    return spans.unconflicted(left, other).select(F.col("note_id").alias("doc_id"), "start", "end", "type")
+
+
+def overlap_ratio_join(spark, sf_dir):
+    left, right = _two_sources(spark, sf_dir)
+    rows = spans.joined(left, right, spans.overlaps("l", "r") & ~spans.same_span("l", "r"))
+    return rows.select(F.col("l.note_id").alias("doc_id"), F.col("l.start").alias("l_start"), F.col("l.end").alias("l_end"), F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"), F.round(spans.overlap_ratio("l", "r"), 6).alias("ratio"))
+
+
+def containment_join(spark, sf_dir):
+    left, right = _two_sources(spark, sf_dir)
+    rows = spans.joined(left, right, spans.contains("l", "r") & ~spans.same_span("l", "r"))
+    return rows.groupBy(F.col("l.note_id").alias("doc_id")).agg(F.count("*").alias("n_nested"))
+
+
+def _proposals(spark, sf_dir):
+    """Hits as several sources propose them, with repeats and different types."""
+    rows = _hits(spark, sf_dir).withColumn("source", F.explode(F.array(*[F.lit(s) for s in ("drug_dictionary", "gliner", "rule")])))
+    salt = F.length("source")
+    rows = rows.withColumn("type", F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), ((F.col("start") * salt) % 3 + 1).cast("int")))
+    return rows.withColumn("confidence", (F.col("start") * salt * 11 + F.length("surface")) % 100 / 100.0).withColumn("seq", salt)
+
+
+def argmax_dedup(spark, sf_dir):
+    rows = spans.best_of(_proposals(spark, sf_dir), ["note_id", "start", "end", "type"], F.desc("confidence"), "seq")
+    return rows.select(F.col("note_id").alias("doc_id"), "start", "end", "type", "source", "confidence")
+
+
+def type_votes(spark, sf_dir):
+    from cartula.operators.merge import vote_types
+
+    rows = vote_types(_proposals(spark, sf_dir), {"A": 1, "B": 2, "C": 3})
+    return rows.select(F.col("note_id").alias("doc_id"), "start", "end", "type", F.round("votes", 6).alias("votes"))
+
+
+def same_span_merge(spark, sf_dir):
+    """One row a span and type: the best row's source, and all sources, best first."""
+    from cartula.operators.merge import merge_same
+
+    rows = _proposals(spark, sf_dir).withColumn("candidates", F.array(F.upper("surface"))).withColumn("assertions", F.array("source"))
+    return merge_same(rows).select(F.col("note_id").alias("doc_id"), "start", "end", "type", "source", F.array_join("assertions", ",").alias("assertions"), F.array_join("candidates", ",").alias("candidates"))
+
+
+def _bm25(spark, sf_dir, k):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return retrieval.bm25(docs, queries, k)
+
+
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir, 5).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", "score")
+
+
+def bm25_margin_gate(spark, sf_dir):
+    rows = retrieval.margins(_bm25(spark, sf_dir, 2), ["query"])
+    return rows.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "margin", ((F.col("score") >= 3.4) & (F.col("margin") >= 0.55)).alias("accepted"))
+
+
+def _vectors(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+
+
+def cosine_topk(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = retrieval.cosine(rows.withColumnRenamed("vec_id", "doc"), rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), 5, 4)
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "rank", "score")
+
+
+def hybrid_fusion(spark, sf_dir):
+    """BM25 and cosine hits of the benchmark items whose number is a vector's, weighted."""
+    vecs = _vectors(spark, sf_dir)
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    dense = retrieval.cosine(vecs.withColumnRenamed("vec_id", "doc"), vecs.join(items, "vec_id", "left_semi").withColumnRenamed("vec_id", "query"), 15, 4)
+    rows = retrieval.fused(_bm25(spark, sf_dir, 15), dense.drop("rank"), 5)
+    return rows.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
+
+
+def rarest_posting_candidates(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return retrieval.rarest_posting(queries, retrieval.postings(docs)).select(F.col("query").alias("item_id"), "term", F.col("doc").alias("doc_id"))
+
+
+def token_coverage_join(spark, sf_dir):
+    """Share of an item's tokens that each document with its rarest one has."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    pairs = retrieval.rarest_posting(queries, retrieval.postings(docs))
+    rows = pairs.join(queries.select("query", ontology_tokens("text").alias("q")), "query").join(docs.select("doc", ontology_tokens("text").alias("d")), "doc")
+    share = F.round(retrieval.token_coverage(F.col("q"), F.col("d")), 6)
+    return rows.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), share.alias("coverage"))
+
+
+def token_windows(spark, sf_dir):
+    rows = _notes(spark, sf_dir).select("note_id", token_count("text").alias("n"))
+    return windows.token_windows(rows).select(F.col("note_id").alias("doc_id"), "lo", "hi")
+
+
+def bio_decode(spark, sf_dir):
+    """Runs of event types of a user as labelled tokens."""
+    rows = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("note_id"),
+        F.col("event_id").cast("int").alias("start"),
+        (F.col("event_id") + 1).cast("int").alias("end"),
+        F.when(F.col("event_id") % 5 == 0, "O").otherwise(F.concat(F.when(F.col("event_id") % 3 == 0, "B-").otherwise("I-"), "event_type")).alias("label"),
+        (F.col("event_id") % 10 / 10.0).alias("score"),
+    )
+    return windows.bio_spans(rows, 0.2).select(F.col("note_id").alias("user_id"), "start", "end", "type", "confidence")
+
+
+def json_props(spark, sf_dir):
+    """Keys of the properties of events, and how many there are of each."""
+    rows = _table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
+    return rows.groupBy("key").agg(F.count("*").alias("n"))
+
+
+def export_json_rows(spark, sf_dir):
+    """Spans of each note as one JSON array."""
+    from cartula.sources.sinks import as_json
+
+    rows = _longest(spark, sf_dir).where("kind = 'A'").select("note_id", "start", "end", "text", F.col("kind").alias("type"), F.array().cast("array<string>").alias("assertions"), F.array("surface").alias("candidates"))
+    return as_json(rows).select(F.col("note_id").alias("doc_id"), F.md5("json").alias("json_md5"))
+
+
+def cache_miss_anti(spark, sf_dir):
+    """Requests that a cache of the even conversations lacks, once each."""
+    from cartula.operators.models import cache_misses, request_key
+
+    rows = _table(spark, sf_dir, "conversations").withColumn("key", request_key("m", "role", "text"))
+    cache = rows.where("conv_id % 2 = 0").select("key").distinct()
+    return cache_misses(rows, cache).select("key")
+
+
+def run_summary(spark, sf_dir):
+    """Spans, kinds and covered documents by toxicity label."""
+    rows = _longest(spark, sf_dir).join(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_id"), "toxic"), "note_id")
+    return rows.groupBy("toxic").agg(F.countDistinct("note_id").alias("n_docs"), F.count("*").alias("n_spans"), F.count_if(F.col("kind") == "A").alias("n_a"), F.round(F.avg((F.length("surface") > 4).cast("int")), 6).alias("long_share"))
+
+
+def filter_reason_counts(spark, sf_dir):
+    """Why spans are not admitted, by the first reason that holds."""
+    rows = _two_sources(spark, sf_dir)[0]
+    reason = F.when(F.col("confidence") < 0.2, "below_confidence").when(F.length("surface") > 8, "span_too_long").when(F.col("type") == "C", "type_not_allowed").otherwise("accepted")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def fold_text(spark, sf_dir):
+    return _notes(spark, sf_dir).select(F.col("note_id").alias("doc_id"), F.md5(fold("text", " .,:;()[]{}")).alias("folded_md5"))
+
+
+def regex_span_offsets(spark, sf_dir):
+    """Rows only: places of words in capitals, with the characters there."""
+    return spans.regex_spans(_notes(spark, sf_dir), {"capital": r"\b[A-ZÀ-Þ][a-zß-ÿ]{4,}"})
+
+
+def semantic_chunk_bounds(spark, sf_dir):
+    """Rows only: chunks of the documents."""
+    return windows.semantic_chunks(_notes(spark, sf_dir))
+
+
+def fixture_rules(spark, sf_dir):
+    """Rows only: sections, rules and merged entities of the built-in clinical notes."""
+    from cartula.plans import fixtures, pipelines
+
+    return pipelines.rules(fixtures.notes(spark), fixtures.resources(spark))
+
+
+def fixture_linked(spark, sf_dir):
+    """Rows only: the same with codes."""
+    from cartula.plans import fixtures, pipelines
+
+    return pipelines.linked(fixtures.notes(spark), fixtures.resources(spark))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        flagship_term_sections, line_offsets, clause_split, normalize_tokens, fold_text, doc_frequency, dict_scan, dict_scan_longest, dict_scan_policy, ngram_hits,
+        section_tiles, section_asof, section_coverage, next_span_window, last_cue_assertion, support_semi, conflict_anti, overlap_ratio_join, containment_join,
+        argmax_dedup, type_votes, same_span_merge, bm25_topk, bm25_margin_gate, cosine_topk, hybrid_fusion, rarest_posting_candidates, token_coverage_join,
+        token_windows, bio_decode, json_props, export_json_rows, cache_miss_anti, run_summary, filter_reason_counts, regex_span_offsets, semantic_chunk_bounds,
+        fixture_rules, fixture_linked,
+    )
+}
+
+# --- The same in SQL ------------------------------------------------------------------------
+
+_W = rf"[{WORD_CLASS}]+"
+_WORDS = rf"""
+p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '{spans.WORDS}') AS l FROM documents)),
+w AS (SELECT doc_id, i, piece, regexp_extract(piece, '^{_W}') AS word,
+        coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM p),
+ww AS (SELECT * FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS following, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS next_piece FROM w WHERE word <> '')),
+cand AS (SELECT doc_id, lower(word) AS surface, 10 AS share FROM ww WHERE length(word) >= 3
+   UNION ALL SELECT doc_id, lower(piece || following), 50 FROM ww WHERE piece = word || ' ' AND following IS NOT NULL),
+lexicon AS (SELECT surface, ['A', 'B', 'C'][length(surface) % 3 + 1] AS kind, ((length(surface) * 7) % 5)::INT AS priority
+   FROM (SELECT surface, share, count(DISTINCT doc_id) AS df FROM cand GROUP BY 1, 2) WHERE df * share >= (SELECT count(*) FROM documents)),
+hits AS (SELECT w.doc_id, w.start, w.start + length(l.surface)::INT AS "end", l.surface, l.kind, l.priority FROM ww w JOIN lexicon l ON lower(w.word) = l.surface
+   UNION ALL SELECT w.doc_id, w.start, w.start + length(l.surface)::INT, l.surface, l.kind, l.priority FROM ww w JOIN lexicon l
+     ON contains(l.surface, ' ') AND lower(w.piece || w.following) = l.surface)"""
+
+
+#: Longest matches: a recursive walk from each note's first hit to the next that begins where it ends or later.
+def _walk(source: str, out: str) -> str:
+    return f"""
+{out}_o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, -("end" - start), -priority, surface) AS n FROM {source}),
+{out}_f AS (SELECT doc_id, start, min(n) AS n FROM {out}_o GROUP BY 1, 2),
+{out}_n AS (SELECT o.doc_id, o.n, min(f.n) AS following FROM {out}_o o JOIN {out}_f f ON o.doc_id = f.doc_id AND o."end" <= f.start GROUP BY 1, 2),
+{out}_r AS (SELECT doc_id, 1::BIGINT AS n FROM (SELECT DISTINCT doc_id FROM {out}_o)
+   UNION ALL SELECT x.doc_id, x.following FROM {out}_r r JOIN {out}_n x ON r.doc_id = x.doc_id AND r.n = x.n WHERE x.following IS NOT NULL),
+{out} AS (SELECT o.* FROM {out}_o o JOIN {out}_r r USING (doc_id, n))"""
+
+
+_LINES = """
+lp AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS line_no FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+$') AS l FROM documents)),
+lines AS (SELECT doc_id, line_no, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start,
+   regexp_replace(piece, '[\\r\\n]+$', '') AS line FROM lp)"""
+_SECTIONS = (
+    _LINES
+    + f""",
+marks AS (SELECT doc_id, start, line, regexp_extract(line, '^{_W}') AS head FROM lines),
+m AS (SELECT doc_id, start, upper(head) AS canonical, start + length(head)::INT AS "end", head FROM marks WHERE lower(head) IN ({", ".join(f"'{h}'" for h in HEADERS)})),
+d AS (SELECT doc_id, text, length(text)::INT AS n FROM documents),
+s0 AS (SELECT m.doc_id, canonical, start AS header_start, "end" AS header_end,
+   ("end" + length(regexp_extract(substr(d.text, "end" + 1), '^[ \\t:;–—*-]*')))::INT AS content_start,
+   coalesce(lead(start) OVER (PARTITION BY m.doc_id ORDER BY start), d.n)::INT AS content_end FROM m JOIN d USING (doc_id)
+   UNION ALL SELECT d.doc_id, 'UNKNOWN', 0, 0, 0, coalesce(f.first, d.n)::INT FROM d LEFT JOIN (SELECT doc_id, min(start) AS first FROM m GROUP BY 1) f USING (doc_id)
+   WHERE f.first IS NULL OR (f.first > 0 AND trim(substr(d.text, 1, f.first), ' ' || chr(9) || chr(10) || chr(13)) <> '')),
+sections AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY header_start, content_end) AS sec_no FROM s0)"""
+)
+_ASOF = "coalesce((SELECT any_value(s.canonical) FROM sections s WHERE s.doc_id = h.doc_id AND s.header_start <= h.start AND h.start < s.content_end), 'UNKNOWN')"
+_RECURSIVE = "WITH RECURSIVE " + _WORDS
+_KEY = f"regexp_replace(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '{LETTERS[0]}', '{LETTERS[1]}'), '\\p{{M}}', '', 'g'), '[^a-z0-9]+', ' ', 'g')"
+_TOKENS = f"list_filter(string_split(trim({_KEY}), ' '), lambda t: length(t) > 1)"
+_TWO = """
+two AS (SELECT *, kind AS type, round(((start * 7 + length(surface) * 13) % 100) / 100, 2) AS confidence FROM hits),
+l AS (SELECT * FROM two WHERE priority < 3), r AS (SELECT * FROM two WHERE priority >= 2)"""
+_SHARED = 'least(l."end", r."end") - greatest(l.start, r.start)'
+_RATIO = f'greatest(0, {_SHARED})::DOUBLE / greatest(1, least(l."end" - l.start, r."end" - r.start))'
+_PROPOSALS = """
+prop AS (SELECT h.*, s.source, length(s.source) AS seq, ['A', 'B', 'C'][(start * length(s.source)) % 3 + 1] AS type,
+   ((start * length(s.source) * 11 + length(surface)) % 100) / 100.0::DOUBLE AS confidence FROM hits h, (VALUES ('drug_dictionary'), ('gliner'), ('rule')) s(source))"""
+_BM25 = f"""
+dt AS (SELECT doc_id, {_TOKENS} AS t FROM documents), qt AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
+post AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM dt) GROUP BY ALL),
+qq AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM dt),
+sc AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score
+   FROM qq JOIN df USING (term) JOIN post USING (term), st GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
+_COS = """
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+cs AS (SELECT q.vec_id AS query, c.vec_id AS doc, round(list_dot_product(q.u, c.u), 4) AS score FROM v q, v c WHERE q.vec_id <> c.vec_id AND {which})"""
+_RAREST = """
+rare AS (SELECT item_id, term FROM (SELECT DISTINCT item_id, term, df, FROM qq JOIN df USING (term) WHERE length(term) >= 3)
+   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term) = 1)"""
+_PRIORITY = "CASE source WHEN 'drug_dictionary' THEN 10 WHEN 'gliner' THEN 5 ELSE 3 END"
+
+ORACLES = {
+    "line_offsets": f'WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, start, (start + length(line))::INT AS "end", md5(line) AS line_md5 FROM lines',
+    "clause_split": rf"""
+WITH p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{spans.CLAUSES}') AS l FROM documents)),
+c AS (SELECT doc_id, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+   regexp_replace(piece, '^\s+', '') AS front, length(piece) AS n FROM p),
+t AS (SELECT doc_id, (start + n - length(front))::INT AS start, regexp_replace(front, '\s+$', '') AS clause FROM c)
+SELECT doc_id, start, (start + length(clause))::INT AS "end", md5(clause) AS clause_md5 FROM t WHERE regexp_replace(clause, '[.!?;\s]+', '', 'g') <> ''""",
+    "normalize_tokens": f"SELECT doc_id, len({_TOKENS})::INT AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents",
+    "fold_text": r"SELECT doc_id, md5(trim(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' .,:;()[]{}')) AS folded_md5 FROM documents",
+    "doc_frequency": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1",
+    "dict_scan": f'WITH {_WORDS} SELECT doc_id, start, "end", surface FROM hits',
+    "dict_scan_longest": f'{_RECURSIVE}, {_walk("hits", "g")} SELECT doc_id, start, "end", surface, kind FROM g',
+    "dict_scan_policy": f"""{_RECURSIVE}, {_SECTIONS},
+h AS (SELECT h.*, {_ASOF} AS section FROM hits h),
+k AS (SELECT * FROM h WHERE priority >= CASE WHEN section = 'UNKNOWN' THEN 4 WHEN section IN ('THE', 'DIE', 'LA') THEN 0 ELSE 2 END), {_walk("k", "g")}
+SELECT doc_id, start, "end", surface, section FROM g""",
+    "ngram_hits": f"""WITH {_WORDS},
+a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+b AS (SELECT doc_id, unnest(t) AS t1, generate_subscripts(t, 1) AS i FROM a),
+g AS (SELECT doc_id, t1 AS surface FROM b UNION SELECT doc_id, t1 || ' ' || lead(t1) OVER (PARTITION BY doc_id ORDER BY i) FROM b),
+x AS (SELECT DISTINCT doc_id, surface FROM g JOIN (SELECT surface FROM lexicon WHERE regexp_full_match(surface, '[a-z0-9 ]+')) USING (surface))
+SELECT doc_id, surface FROM x l WHERE NOT EXISTS (SELECT 1 FROM x r WHERE r.doc_id = l.doc_id AND contains(r.surface, l.surface) AND length(r.surface) > length(l.surface))""",
+    "section_tiles": f"WITH {_SECTIONS} SELECT doc_id, sec_no::INT AS sec_no, canonical, header_start, content_start, content_end FROM sections",
+    "section_asof": f"{_RECURSIVE}, {_SECTIONS}, {_walk('hits', 'h')} SELECT doc_id, start, {_ASOF} AS section FROM h",
+    "section_coverage": f"""WITH {_SECTIONS}
+SELECT d.doc_id, round(coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE, 6) AS covered FROM d LEFT JOIN (SELECT doc_id, sum(content_end - header_start) AS n FROM sections WHERE canonical <> 'UNKNOWN' GROUP BY 1) x USING (doc_id)""",
+    "flagship_term_sections": f"""{_RECURSIVE}, {_SECTIONS}, {_walk("hits", "h")},
+x AS (SELECT h.doc_id, h.surface, {_ASOF} AS section FROM h)
+SELECT lang, section, surface, count(*) AS n, count(DISTINCT x.doc_id) AS n_docs FROM x JOIN documents USING (doc_id) GROUP BY ALL""",
+    "next_span_window": f"""{_RECURSIVE}, {_walk("hits", "h")},
+a AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nxt FROM h WHERE kind = 'A'),
+b AS (SELECT a.*, substr(text, "end" + 1, 130) AS rest FROM a JOIN documents USING (doc_id)),
+c AS (SELECT *, regexp_extract(rest, '^[^\\n]*') AS line FROM b),
+e AS (SELECT *, CASE WHEN nxt IS NULL THEN line ELSE substr(line, 1, greatest(nxt - "end", 0)) END AS part FROM c),
+f AS (SELECT *, regexp_extract(part, '^[^;]*') AS win FROM e)
+SELECT doc_id, start, ("end" + length(win))::INT AS window_end, md5(win) AS window_md5 FROM f""",
+    "last_cue_assertion": rf"""{_RECURSIVE}, {_walk("hits", "h")},
+a AS (SELECT h.*, substr(text, greatest(start - 120, 0) + 1, start - greatest(start - 120, 0)) AS pre FROM h JOIN documents USING (doc_id) WHERE kind = 'B'),
+b AS (SELECT *, regexp_extract(pre, '[^\n.;:]*$') AS clause FROM a),
+c AS (SELECT *, regexp_extract(clause, '(?is)^(?:.*[^{WORD_CLASS}])?(the|der|la|que|un)((?:[^{WORD_CLASS}].*)?)$', 2) AS between_, regexp_matches(clause, '(?is)^(?:.*[^{WORD_CLASS}])?(the|der|la|que|un)(?:[^{WORD_CLASS}].*)?$') AS found FROM b)
+SELECT doc_id, start, surface, found AND length(between_) <= 90 AND NOT regexp_matches(between_, '(?i)(^|[^{WORD_CLASS}])(and|und|et)($|[^{WORD_CLASS}])') AS asserted FROM c""",
+    "support_semi": f'WITH {_WORDS}, {_TWO} SELECT doc_id, start, "end", type FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.type = l.type AND r.start < l."end" AND l.start < r."end" AND {_RATIO} >= 0.8)',
+    "conflict_anti": f"""WITH {_WORDS}, {_TWO}, o AS (SELECT doc_id, start, "end", CASE WHEN confidence < 0.5 THEN 'A' ELSE type END AS type FROM r)
+SELECT doc_id, start, "end", type FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = l.doc_id AND o.start = l.start AND o."end" = l."end" AND o.type <> l.type)""",
+    "overlap_ratio_join": f"""WITH {_WORDS}, {_TWO}
+SELECT l.doc_id, l.start AS l_start, l."end" AS l_end, r.start AS r_start, r."end" AS r_end, round({_RATIO}, 6) AS ratio FROM l JOIN r ON l.doc_id = r.doc_id AND l.start < r."end" AND r.start < l."end" WHERE NOT (l.start = r.start AND l."end" = r."end")""",
+    "containment_join": f"""WITH {_WORDS}, {_TWO}
+SELECT l.doc_id, count(*) AS n_nested FROM l JOIN r ON l.doc_id = r.doc_id AND l.start <= r.start AND r."end" <= l."end" WHERE NOT (l.start = r.start AND l."end" = r."end") GROUP BY 1""",
+    "argmax_dedup": f"""WITH {_WORDS}, {_PROPOSALS} SELECT doc_id, start, "end", type, source, confidence FROM prop QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end", type ORDER BY confidence DESC, seq) = 1""",
+    "type_votes": f"""WITH {_WORDS}, {_PROPOSALS}, v AS (SELECT doc_id, start, "end", type, round(sum(1 + 0.2 * {_PRIORITY}), 6)::DOUBLE AS votes FROM prop GROUP BY ALL)
+SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY votes DESC, type DESC) = 1""",
+    "same_span_merge": f"""WITH {_WORDS}, {_PROPOSALS}
+SELECT doc_id, start, "end", type, first(source ORDER BY confidence DESC, seq) AS source, string_agg(source, ',' ORDER BY confidence DESC, seq) AS assertions, any_value(upper(surface)) AS candidates FROM prop GROUP BY ALL""",
+    "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, rank::INT AS rank, score FROM bm WHERE rank <= 5",
+    "bm25_margin_gate": f"WITH {_BM25}, m AS (SELECT *, round(score - coalesce(lead(score) OVER (PARTITION BY item_id ORDER BY rank), 0), 6) AS margin FROM bm WHERE rank <= 2) SELECT item_id, doc_id, margin, score >= 3.4 AND margin >= 0.55 AS accepted FROM m WHERE rank = 1",
+    "cosine_topk": f"WITH {_COS.format(which='q.vec_id % 20 = 0')} SELECT query AS query_id, doc AS vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank, score FROM cs QUALIFY rank <= 5",
+    "hybrid_fusion": f"""WITH {_BM25}, {_COS.format(which="q.vec_id IN (SELECT item_id FROM benchmark)")},
+dn AS (SELECT query AS item_id, doc AS doc_id, score AS d FROM cs QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 15),
+b AS (SELECT coalesce(bm.item_id, dn.item_id) AS item_id, coalesce(bm.doc_id, dn.doc_id) AS doc_id, coalesce(bm.score, 0) AS s, coalesce(dn.d, 0) AS d FROM (SELECT * FROM bm WHERE rank <= 15) bm FULL JOIN dn ON bm.item_id = dn.item_id AND bm.doc_id = dn.doc_id),
+f AS (SELECT item_id, doc_id, round(0.45 * s / greatest(max(s) OVER (PARTITION BY item_id), 1e-6) + 0.55 * d, 6) AS score FROM b)
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, round(score, 4) AS score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5""",
+    "rarest_posting_candidates": f"WITH {_BM25}, {_RAREST} SELECT item_id, term, doc_id FROM rare JOIN post USING (term)",
+    "token_coverage_join": f"""WITH {_BM25}, {_RAREST}
+SELECT item_id, doc_id, round(len(list_intersect(list_distinct(qt.t), dt.t)) / greatest(1, len(list_distinct(qt.t)))::DOUBLE, 6) AS coverage FROM rare JOIN post USING (term) JOIN qt USING (item_id) JOIN dt USING (doc_id)""",
+    "token_windows": r"""
+WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::INT AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, n, unnest(list_distinct(list_append(range(0, greatest(n - 220, 0) + 1, 156), greatest(n - 220, 0)))) AS lo FROM n WHERE n > 0)
+SELECT doc_id, lo::INT AS lo, least(lo + 220, n)::INT AS hi FROM s""",
+    "bio_decode": """
+WITH t AS (SELECT user_id, event_id::INT AS start, (event_id + 1)::INT AS "end", event_id % 10 / 10.0::DOUBLE AS score, event_id % 3 = 0 AS b,
+   CASE WHEN event_id % 5 = 0 OR event_id % 10 / 10.0::DOUBLE < 0.2 THEN NULL ELSE event_type END AS type FROM events),
+f AS (SELECT *, lag(type) OVER (PARTITION BY user_id ORDER BY start) AS prev FROM t),
+r AS (SELECT *, sum((type IS NOT NULL AND (prev IS NULL OR prev <> type OR b))::INT) OVER (PARTITION BY user_id ORDER BY start) AS run FROM f)
+SELECT user_id, min(start) AS start, max("end") AS "end", type, round(avg(score), 6) AS confidence FROM r WHERE type IS NOT NULL GROUP BY user_id, run, type""",
+    "json_props": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",
+    "export_json_rows": f"""{_RECURSIVE}, {_walk("hits", "h")},
+x AS (SELECT doc_id, start, "end", surface, substr(text, start + 1, "end" - start) AS own FROM h JOIN documents USING (doc_id) WHERE kind = 'A')
+SELECT doc_id, md5('[' || string_agg('{{"text":"' || own || '","position":[' || start || ',' || "end" || '],"type":"A","assertions":[]}}', ',' ORDER BY start, "end") || ']') AS json_md5 FROM x GROUP BY 1""",
+    "cache_miss_anti": """
+WITH k AS (SELECT conv_id, sha256('{"model":"m","system":"' || role || '","user":"' || replace(text, chr(10), '\\n') || '"}') AS key FROM conversations)
+SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM k WHERE conv_id % 2 = 0)""",
+    "run_summary": f"""{_RECURSIVE}, {_walk("hits", "h")}
+SELECT toxic, count(DISTINCT h.doc_id) AS n_docs, count(*) AS n_spans, count(*) FILTER (kind = 'A') AS n_a, round(avg((length(surface) > 4)::INT), 6) AS long_share FROM h JOIN labels USING (doc_id) GROUP BY 1""",
+    "filter_reason_counts": f"""WITH {_WORDS}, {_TWO}
+SELECT CASE WHEN confidence < 0.2 THEN 'below_confidence' WHEN length(surface) > 8 THEN 'span_too_long' WHEN type = 'C' THEN 'type_not_allowed' ELSE 'accepted' END AS reason, count(*) AS n FROM l GROUP BY 1""",
+}

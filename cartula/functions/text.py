@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def rx(pattern: str) -> str:
@@ -29,7 +30,7 @@ def fold(c: str | Column, strip: str = "") -> Column:
     return F.btrim(out, F.lit(strip)) if strip else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(s: pd.Series) -> pd.Series:
     """NFC, case-folded, squashed; exact for every script."""
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).casefold().split()))
@@ -57,7 +58,7 @@ def ontology_key(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ontology_key_exact(s: pd.Series) -> pd.Series:
     """As ontology_key, by full compatibility decomposition."""
 

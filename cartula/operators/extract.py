@@ -58,7 +58,7 @@ def structured(notes: DataFrame, sections: DataFrame) -> DataFrame:
     left = F.regexp_replace(F.regexp_replace(raw_left, r"^[ \t\-*•0-9.)]+", ""), r"[ \t\-*•0-9.)]+$", "")
     rows = rows.withColumn("left", left).withColumn("value", F.regexp_replace(F.regexp_replace(F.expr("substring(line, colon + 2)"), r"(?U)^\s+", ""), r"(?U)\s+$", ""))
     rows = rows.where("left <> '' and value <> ''").withColumn("lnorm", fold("left"))
-    l_start = F.col("start") + F.locate(F.col("left"), F.col("line")) - 1
+    l_start = F.col("start") + F.expr("locate(left, line)") - 1
     r_start = F.col("start") + F.length("line") - F.length(F.regexp_replace(F.expr("substring(line, colon + 2)"), r"(?U)^\s+", ""))
     value = F.regexp_replace("value", "[,;.]+$", "")
     rows = rows.withColumn("ls", l_start).withColumn("rs", r_start).withColumn("value", value)
@@ -173,7 +173,7 @@ def symptoms(notes: DataFrame, sections: DataFrame, lexicon: DataFrame, policy:
     rows = _free_lines(notes, sections, policy).where("p_symptom_structural")
     body = F.regexp_replace("line", r"(?U)^\s*(?:[-*•]\s*)?", "")
     rows = rows.withColumn("at", F.col("start") + F.length("line") - F.length(body)).withColumn("body", F.regexp_replace(body, r"(?U)\s+$", ""))
-    colon = F.locate(":", F.col("body"))
+    colon = F.expr("locate(':', body)")
     left, right = F.trim(F.expr("substring(body, 1, locate(':', body) - 1)")), F.regexp_replace(F.expr("substring(body, locate(':', body) + 1)"), r"(?U)^\s+", "")
     generic = (colon > 0) & F.lower(left).isin(*fixed.GENERIC_LABELS) & (right != "")
     rows = rows.withColumn("at", F.when(generic, F.col("at") + F.length("body") - F.length(right)).otherwise(F.col("at")))

@@ -361,15 +361,13 @@ hits AS (SELECT w.doc_id, w.start, w.start + length(l.surface)::INT AS "end", l.
      ON contains(l.surface, ' ') AND lower(w.piece || w.following) = l.surface)"""
 
 
-#: Longest matches: a recursive walk from each note's first hit to the next that begins where it ends or later.
-def _walk(source: str, out: str) -> str:
+def _walk(source: str, out: str, *more: str) -> str:
+    """Longest matches: a fold over each note's hits in order."""
+    fields = ", ".join(f"'{c}': \"{c}\"" for c in ("start", "end", "surface", "kind", "priority", *more))
     return f"""
-{out}_o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, -("end" - start), -priority, surface) AS n FROM {source}),
-{out}_f AS (SELECT doc_id, start, min(n) AS n FROM {out}_o GROUP BY 1, 2),
-{out}_n AS (SELECT o.doc_id, o.n, min(f.n) AS following FROM {out}_o o JOIN {out}_f f ON o.doc_id = f.doc_id AND o."end" <= f.start GROUP BY 1, 2),
-{out}_r AS (SELECT doc_id, 1::BIGINT AS n FROM (SELECT DISTINCT doc_id FROM {out}_o)
-   UNION ALL SELECT x.doc_id, x.following FROM {out}_r r JOIN {out}_n x ON r.doc_id = x.doc_id AND r.n = x.n WHERE x.following IS NOT NULL),
-{out} AS (SELECT o.* FROM {out}_o o JOIN {out}_r r USING (doc_id, n))"""
+{out} AS (SELECT doc_id, unnest(x) FROM (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda e: [e]),
+     lambda acc, e: CASE WHEN e[1].start >= acc[-1]."end" THEN list_concat(acc, e) ELSE acc END)) AS x
+   FROM (SELECT doc_id, list({{{fields}}} ORDER BY start, -("end" - start), -priority, surface) AS l FROM {source} GROUP BY doc_id)))"""
 
 
 _LINES = """
@@ -390,7 +388,7 @@ s0 AS (SELECT m.doc_id, canonical, start AS header_start, "end" AS header_end,
 sections AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY header_start, content_end) AS sec_no FROM s0)"""
 )
 _ASOF = "coalesce((SELECT any_value(s.canonical) FROM sections s WHERE s.doc_id = h.doc_id AND s.header_start <= h.start AND h.start < s.content_end), 'UNKNOWN')"
-_RECURSIVE = "WITH RECURSIVE " + _WORDS
+_WITH = "WITH " + _WORDS
 _KEY = f"regexp_replace(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '{LETTERS[0]}', '{LETTERS[1]}'), '\\p{{M}}', '', 'g'), '[^a-z0-9]+', ' ', 'g')"
 _TOKENS = f"list_filter(string_split(trim({_KEY}), ' '), lambda t: length(t) > 1)"
 _TWO = """
@@ -429,10 +427,10 @@ SELECT doc_id, start, (start + length(clause))::INT AS "end", md5(clause) AS cla
     "fold_text": r"SELECT doc_id, md5(trim(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' .,:;()[]{}')) AS folded_md5 FROM documents",
     "doc_frequency": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1",
     "dict_scan": f'WITH {_WORDS} SELECT doc_id, start, "end", surface FROM hits',
-    "dict_scan_longest": f'{_RECURSIVE}, {_walk("hits", "g")} SELECT doc_id, start, "end", surface, kind FROM g',
-    "dict_scan_policy": f"""{_RECURSIVE}, {_SECTIONS},
+    "dict_scan_longest": f'{_WITH}, {_walk("hits", "g")} SELECT doc_id, start, "end", surface, kind FROM g',
+    "dict_scan_policy": f"""{_WITH}, {_SECTIONS},
 h AS (SELECT h.*, {_ASOF} AS section FROM hits h),
-k AS (SELECT * FROM h WHERE priority >= CASE WHEN section = 'UNKNOWN' THEN 4 WHEN section IN ('THE', 'DIE', 'LA') THEN 0 ELSE 2 END), {_walk("k", "g")}
+k AS (SELECT * FROM h WHERE priority >= CASE WHEN section = 'UNKNOWN' THEN 4 WHEN section IN ('THE', 'DIE', 'LA') THEN 0 ELSE 2 END), {_walk("k", "g", "section")}
 SELECT doc_id, start, "end", surface, section FROM g""",
     "ngram_hits": f"""WITH {_WORDS},
 a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -441,20 +439,20 @@ g AS (SELECT doc_id, t1 AS surface FROM b UNION SELECT doc_id, t1 || ' ' || lead
 x AS (SELECT DISTINCT doc_id, surface FROM g JOIN (SELECT surface FROM lexicon WHERE regexp_full_match(surface, '[a-z0-9 ]+')) USING (surface))
 SELECT doc_id, surface FROM x l WHERE NOT EXISTS (SELECT 1 FROM x r WHERE r.doc_id = l.doc_id AND contains(r.surface, l.surface) AND length(r.surface) > length(l.surface))""",
     "section_tiles": f"WITH {_SECTIONS} SELECT doc_id, sec_no::INT AS sec_no, canonical, header_start, content_start, content_end FROM sections",
-    "section_asof": f"{_RECURSIVE}, {_SECTIONS}, {_walk('hits', 'h')} SELECT doc_id, start, {_ASOF} AS section FROM h",
+    "section_asof": f"{_WITH}, {_SECTIONS}, {_walk('hits', 'h')} SELECT doc_id, start, {_ASOF} AS section FROM h",
     "section_coverage": f"""WITH {_SECTIONS}
 SELECT d.doc_id, round(coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE, 6) AS covered FROM d LEFT JOIN (SELECT doc_id, sum(content_end - header_start) AS n FROM sections WHERE canonical <> 'UNKNOWN' GROUP BY 1) x USING (doc_id)""",
-    "flagship_term_sections": f"""{_RECURSIVE}, {_SECTIONS}, {_walk("hits", "h")},
+    "flagship_term_sections": f"""{_WITH}, {_SECTIONS}, {_walk("hits", "h")},
 x AS (SELECT h.doc_id, h.surface, {_ASOF} AS section FROM h)
 SELECT lang, section, surface, count(*) AS n, count(DISTINCT x.doc_id) AS n_docs FROM x JOIN documents USING (doc_id) GROUP BY ALL""",
-    "next_span_window": f"""{_RECURSIVE}, {_walk("hits", "h")},
+    "next_span_window": f"""{_WITH}, {_walk("hits", "h")},
 a AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nxt FROM h WHERE kind = 'A'),
 b AS (SELECT a.*, substr(text, "end" + 1, 130) AS rest FROM a JOIN documents USING (doc_id)),
 c AS (SELECT *, regexp_extract(rest, '^[^\\n]*') AS line FROM b),
 e AS (SELECT *, CASE WHEN nxt IS NULL THEN line ELSE substr(line, 1, greatest(nxt - "end", 0)) END AS part FROM c),
 f AS (SELECT *, regexp_extract(part, '^[^;]*') AS win FROM e)
 SELECT doc_id, start, ("end" + length(win))::INT AS window_end, md5(win) AS window_md5 FROM f""",
-    "last_cue_assertion": rf"""{_RECURSIVE}, {_walk("hits", "h")},
+    "last_cue_assertion": rf"""{_WITH}, {_walk("hits", "h")},
 a AS (SELECT h.*, substr(text, greatest(start - 120, 0) + 1, start - greatest(start - 120, 0)) AS pre FROM h JOIN documents USING (doc_id) WHERE kind = 'B'),
 b AS (SELECT *, regexp_extract(pre, '[^\n.;:]*$') AS clause FROM a),
 c AS (SELECT *, regexp_extract(clause, '(?is)^(?:.*[^{WORD_CLASS}])?(the|der|la|que|un)((?:[^{WORD_CLASS}].*)?)$', 2) AS between_, regexp_matches(clause, '(?is)^(?:.*[^{WORD_CLASS}])?(the|der|la|que|un)(?:[^{WORD_CLASS}].*)?$') AS found FROM b)
@@ -493,13 +491,13 @@ f AS (SELECT *, lag(type) OVER (PARTITION BY user_id ORDER BY start) AS prev FRO
 r AS (SELECT *, sum((type IS NOT NULL AND (prev IS NULL OR prev <> type OR b))::INT) OVER (PARTITION BY user_id ORDER BY start) AS run FROM f)
 SELECT user_id, min(start) AS start, max("end") AS "end", type, round(avg(score), 6) AS confidence FROM r WHERE type IS NOT NULL GROUP BY user_id, run, type""",
     "json_props": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",
-    "export_json_rows": f"""{_RECURSIVE}, {_walk("hits", "h")},
+    "export_json_rows": f"""{_WITH}, {_walk("hits", "h")},
 x AS (SELECT doc_id, start, "end", surface, substr(text, start + 1, "end" - start) AS own FROM h JOIN documents USING (doc_id) WHERE kind = 'A')
 SELECT doc_id, md5('[' || string_agg('{{"text":"' || own || '","position":[' || start || ',' || "end" || '],"type":"A","assertions":[]}}', ',' ORDER BY start, "end") || ']') AS json_md5 FROM x GROUP BY 1""",
     "cache_miss_anti": """
 WITH k AS (SELECT conv_id, sha256('{"model":"m","system":"' || role || '","user":"' || replace(text, chr(10), '\\n') || '"}') AS key FROM conversations)
 SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM k WHERE conv_id % 2 = 0)""",
-    "run_summary": f"""{_RECURSIVE}, {_walk("hits", "h")}
+    "run_summary": f"""{_WITH}, {_walk("hits", "h")}
 SELECT toxic, count(DISTINCT h.doc_id) AS n_docs, count(*) AS n_spans, count(*) FILTER (kind = 'A') AS n_a, round(avg((length(surface) > 4)::INT), 6) AS long_share FROM h JOIN labels USING (doc_id) GROUP BY 1""",
     "filter_reason_counts": f"""WITH {_WORDS}, {_TWO}
 SELECT CASE WHEN confidence < 0.2 THEN 'below_confidence' WHEN length(surface) > 8 THEN 'span_too_long' WHEN type = 'C' THEN 'type_not_allowed' ELSE 'accepted' END AS reason, count(*) AS n FROM l GROUP BY 1""",

@@ -32,10 +32,14 @@ _LAST = (1 << 63) - 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """id (doc_id; a large number for null), line_no from 0, words."""
+    """id (doc_id; a large number for null), line_no from 0, line."""
     cut = F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), cut)
-    return rows.select("id", "line_no", F.regexp_extract_all("line", F.lit(WORD), 0).alias("words"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), cut)
+
+
+def _words(line: str = "line") -> F.Column:
+    """Words between ASCII white space; a split at one character is the cheapest there is."""
+    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\f\r", "     "), " "), "")
 
 
 def _halves(words: F.Column, short: F.Column, n: F.Column):
@@ -104,20 +108,23 @@ def near(a: F.Column, b: F.Column) -> F.Column:
 
 def removed(docs: DataFrame) -> DataFrame:
     """id, line_no, first_id, first_line of each line that is removed: an earlier equal line, or else an earlier near one."""
-    every = lines(docs).where(F.size("words") > 0)
-    hashed = every.select("id", "line_no", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.size("words").alias("n"), "words")
+    # Through shuffles go lines and hashes; words, which take three times the room, are made where they are needed.
+    hashed = lines(docs).where(F.col("line").rlike(WORD)).withColumn("words", _words())
+    hashed = hashed.select("id", "line_no", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.size("words").alias("n"), "words")
     slim = hashed.select("id", "line_no", "h", "g", F.when(F.col("n") >= LEAST - 1, _keys(F.col("words"), F.col("n"))).alias("keys"))
     first = F.struct("id", "line_no").alias("at")
     distinct = checkpoint(slim.groupBy("h", "g").agg(F.min(first).alias("first"), F.min("keys").alias("keys")))
 
-    keyed = distinct.where("keys is not null").select("h", "g", "first", F.explode("keys").alias("key"))
-    shared = checkpoint(keyed.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("key"))
-    wanted = keyed.join(shared, "key").groupBy("h", "g", "first").agg(F.collect_set("key").alias("shared"))
+    keyed = distinct.where("keys is not null").select("h", F.explode("keys").alias("key"))
+    shared = checkpoint(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"))
+    wanted = checkpoint(keyed.join(shared, "key").groupBy("h").agg(F.collect_set("key").alias("shared")))
+    wanted = wanted.join(distinct.select("h", "g", "first"), "h")
     wanted = wanted.select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("first.id").alias("__id"), F.col("first.line_no").alias("__no"), "shared")
     # The candidates' words, once: from the place where each first stands.
-    texts = hashed.where(F.col("n") >= LEAST - 1)
+    texts = hashed.select("id", "line_no", "line", "h", "g")
     same = (texts["h"] == wanted["__h"]) & (texts["g"] == wanted["__g"]) & (texts["id"] == wanted["__id"]) & (texts["line_no"] == wanted["__no"])
-    candidates = checkpoint(texts.join(wanted, same).select("id", "line_no", "words", "shared").dropDuplicates(["id", "line_no", "words"]))
+    candidates = checkpoint(texts.join(wanted, same).select("id", "line_no", "h", "g", "line", "shared").dropDuplicates(["id", "line_no", "h", "g"]).drop("h", "g"))
+    candidates = candidates.withColumn("words", _words())
 
     variants = candidates.select(F.struct("id", "line_no").alias("at"), F.explode(_variants(F.col("words"), F.size("words"), F.col("shared"))).alias("x")).select("at", "x.kind", "x.v")
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first{k}")
@@ -125,9 +132,10 @@ def removed(docs: DataFrame) -> DataFrame:
     met = checkpoint(met)
     other = F.when(F.col("kind") == 0, F.col("first0")).when(F.col("kind") == 1, F.col("first2")).otherwise(F.col("first1"))
     pairs = variants.join(met, "v").withColumn("other", other).where("other < at").select("at", "other").distinct()
-    own, theirs = candidates.select("id", "line_no", "words"), candidates.select(F.col("id").alias("o_id"), F.col("line_no").alias("o_no"), F.col("words").alias("o_words"))
+    own, theirs = candidates.select("id", "line_no", "line"), candidates.select(F.col("id").alias("o_id"), F.col("line_no").alias("o_no"), F.col("line").alias("o_line"))
     pairs = pairs.select("at.id", "at.line_no", F.col("other.id").alias("o_id"), F.col("other.line_no").alias("o_no"))
     proved = pairs.join(own, ["id", "line_no"]).join(theirs, ["o_id", "o_no"])
+    proved = proved.withColumn("words", _words()).withColumn("o_words", _words("o_line"))
     proved = proved.where(near(F.col("words"), F.col("o_words")) & (F.greatest(F.size("words"), F.size("o_words")) >= LEAST))
     near_ones = proved.groupBy("id", "line_no").agg(F.min(F.struct(F.col("o_id").alias("id"), F.col("o_no").alias("line_no"))).alias("other"))
     near_ones = checkpoint(near_ones.select(F.struct("id", "line_no").alias("first"), "other"))

@@ -67,7 +67,7 @@ def lexicon(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "symptoms":
         return rows.select("surface", canonical, _priority())
     if kind == "diagnoses":
-        codes = F.filter(F.transform(F.split(F.coalesce("icd_codes", F.lit("")), "[|]"), F.trim), lambda c: c != "")
+        codes = F.filter(F.transform(F.split(F.coalesce("icd_codes", F.lit("")), "[|]"), lambda c: F.trim(c)), lambda c: c != "")
         return rows.select("surface", canonical, codes.alias("codes"), _priority())
     own = rows.select("surface", canonical, _or("rxcui", "").alias("code"), _or("source", "dictionary").alias("source"), F.monotonically_increasing_id().alias("__n"))
     w = Window.partitionBy(F.lower("surface")).orderBy("__n")

@@ -69,26 +69,30 @@ def chosen_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         "node", F.col("__known").alias("up"), F.col("score").cast("double").alias("total"), F.when(F.col("__known").isNull(), F.col("node")).alias("root"), F.lit(0).cast("long").alias("depth")
     )
     level = checkpoint(start.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
-    levels, count = [level], level.count()
-    while (1 << (len(levels) - 1)) <= count and not level.where("up is not null").isEmpty():
-        above = level.select(F.col("node").alias("__up"), F.col("up").alias("__next"), F.col("total").alias("__total"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
+    count = level.count()
+    done, active = level.where("up is null"), level.where("up is not null")
+    jumps = [active]
+    # Messages that have reached their root are through; only the others are joined again.
+    while (1 << (len(jumps) - 1)) <= count and not active.isEmpty():
+        above = done.unionByName(active).select(F.col("node").alias("__up"), F.col("up").alias("__next"), F.col("total").alias("__total"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
         level = checkpoint(
-            level.join(above, level["up"] == above["__up"], "left").select(
+            active.join(above, active["up"] == above["__up"]).select(
                 "node",
                 F.col("__next").alias("up"),
-                (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"),
-                F.coalesce("root", "__root").alias("root"),
-                (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
+                (F.col("total") + F.col("__total")).alias("total"),
+                F.col("__root").alias("root"),
+                (F.col("depth") + F.col("__depth")).alias("depth"),
             )
         )
-        levels.append(level)
-    parents = levels[0].select(F.col("up").alias("node")).where("node is not null")
-    leaves = level.where("root is not null").join(parents, "node", "left_anti")
+        done, active = done.unionByName(level.where("up is null")), level.where("up is not null")
+        jumps.append(active)
+    parents = jumps[0].select(F.col("up").alias("node"))
+    leaves = done.join(parents, "node", "left_anti")
     best = Window.partitionBy("root").orderBy(F.desc("total"), "node")
     paths = leaves.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).select(F.col("node").alias("path"), "node", "depth")
     paths = checkpoint(paths)
-    for k in reversed(range(len(levels))):
-        jump = levels[k].where("up is not null").select(F.col("node").alias("__node"), "up")
+    for k in reversed(range(len(jumps) - 1)):
+        jump = jumps[k].select(F.col("node").alias("__node"), "up")
         higher = paths.join(jump, paths["node"] == jump["__node"]).select("path", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         paths = checkpoint(paths.unionByName(higher))
     return paths

@@ -102,7 +102,7 @@ def within(difference, shape, live: np.ndarray, radius: int) -> np.ndarray:
     """
     at = np.flatnonzero(live)
     counts = live.reshape(-1)[at]
-    bits = [np.zeros(len(at), np.uint64) for _ in range(radius.bit_length())]
+    bits = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
     over = np.zeros(len(at), np.uint64)
     for b in range(0, 64, 2):
         x, y = difference(b, at), difference(b + 1, at)

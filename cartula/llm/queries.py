@@ -61,4 +61,4 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op2_context_mixing_ids, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op8_deletion_neighbourhood_lines, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
-ORACLES = {"op7_reply_tree_chat": chat.SQL, "op9_weighted_fair_mixing": mixing.SQL}
+ORACLES = {"op5_level_wise_substring_dedup": substring.SQL, "op7_reply_tree_chat": chat.SQL, "op10_suffix_automaton_decontamination": decontam.SQL, "op9_weighted_fair_mixing": mixing.SQL}

@@ -197,3 +197,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs).drop("kept")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM p GROUP BY k),
+c AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM (SELECT doc_id, i FROM p JOIN f USING (k) WHERE first < doc_id), range(0, 13) r(j) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""

@@ -25,6 +25,7 @@ def scan(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     low = F.lower("surface")
     keyed = lexicon.withColumn("__low", low).withColumn("__first", F.regexp_extract(low, _WORD, 0)).where("__first <> ''")
     keyed = keyed.withColumn("__n", F.regexp_count(low, F.lit(_WORD))).withColumn("__ends", F.col("__low").rlike(f"{_WORD}$"))
+    keyed = keyed.persist()  # small beside the notes, and read twice
     most = keyed.agg(F.max("__n")).first()[0] or 1
     ahead = Window.partitionBy("note_id").orderBy("i")
     following = [F.coalesce(F.lead("piece", k).over(ahead), F.lit("")) for k in range(1, most)]

@@ -38,8 +38,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: str = "line") -> F.Column:
-    """Words between ASCII white space; a split at one character is the cheapest there is."""
-    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\f\r", "     "), " "), "")
+    """Words between ASCII white space; a split at one character is the cheapest there is, and few lines have other white space."""
+    plain = F.when(F.col(line).rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(F.col(line))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _halves(words: F.Column, short: F.Column, n: F.Column):
@@ -59,15 +60,15 @@ def _keys(words: F.Column, n: F.Column) -> F.Column:
     return F.array(*made)
 
 
-def _variants(words: F.Column, n: F.Column, shared: F.Column) -> F.Column:
-    """kind and hash of the variants of a line for the half keys that others share.
+def _variants(words: F.Column, codes: F.Column, n: F.Column, shared: F.Column) -> F.Column:
+    """kind and hash of the variants of a line (and of the hashes of its words) for the half keys that others share.
 
     kind 0: a word replaced; 1: nothing deleted, for longer lines; 2: a word deleted, for shorter ones.
     """
     nothing = F.array().cast("array<struct<kind:int,v:bigint>>")
     out = []
     for short, longer in ((n, False), (n - 1, True)):
-        for key, rest in _halves(words, short, n):
+        for (key, _), (_, rest) in zip(_halves(words, short, n), _halves(codes, short, n)):
             own = _deleted(key, rest) if longer else F.concat(F.coalesce(_replaced(key, rest), nothing), F.array(_variant(1, F.xxhash64(F.lit("indel"), key, rest))))
             out.append(F.when(F.array_contains(shared, key), F.coalesce(own, nothing)).otherwise(nothing))
     return F.concat(*out)
@@ -121,12 +122,15 @@ def removed(docs: DataFrame) -> DataFrame:
     wanted = wanted.join(distinct.select("h", "g", "first"), "h")
     wanted = wanted.select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("first.id").alias("__id"), F.col("first.line_no").alias("__no"), "shared")
     # The candidates' words, once: from the place where each first stands.
-    texts = hashed.select("id", "line_no", "line", "h", "g")
-    same = (texts["h"] == wanted["__h"]) & (texts["g"] == wanted["__g"]) & (texts["id"] == wanted["__id"]) & (texts["line_no"] == wanted["__no"])
-    candidates = checkpoint(texts.join(wanted, same).select("id", "line_no", "h", "g", "line", "shared").dropDuplicates(["id", "line_no", "h", "g"]).drop("h", "g"))
-    candidates = candidates.withColumn("words", _words())
-
-    variants = candidates.select(F.struct("id", "line_no").alias("at"), F.explode(_variants(F.col("words"), F.size("words"), F.col("shared"))).alias("x")).select("at", "x.kind", "x.v")
+    texts = lines(docs)
+    met = texts.join(wanted, (texts["id"] == wanted["__id"]) & (texts["line_no"] == wanted["__no"])).withColumn("words", _words())
+    met = met.where((F.xxhash64("words") == F.col("__h")) & (F.xxhash64(F.lit(1), "words") == F.col("__g")))  # rows may share an id
+    candidates = checkpoint(met.dropDuplicates(["id", "line_no", "__h", "__g"]).select("id", "line_no", "line", "shared")).withColumn("words", _words())
+
+    # Variants are hashed from hashes of words, once.
+    coded = candidates.select("id", "line_no", "shared", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    variants = coded.select(F.struct("id", "line_no").alias("at"), F.explode(_variants(F.col("words"), F.col("codes"), F.size("words"), F.col("shared"))).alias("x"))
+    variants = checkpoint(variants.select("at", "x.kind", "x.v"))
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first{k}")
     met = variants.groupBy("v").agg(earliest(0), earliest(1), earliest(2), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").drop("lo", "hi")
     met = checkpoint(met)

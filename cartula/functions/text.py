@@ -94,13 +94,13 @@ def after(text: str | Column, at: str | Column, n: int) -> Column:
 
 
 def clause_before(text: str | Column, at: str | Column, n: int, cut: str = r"\n.;:") -> Column:
-    """What stands before a place in its clause, n characters at most."""
-    return F.regexp_extract(before(text, at, n), f"[^{cut}]*$", 0)
+    """What stands before a place in its clause, n characters at most. (The dollar sign also stands before a last line break.)"""
+    return F.regexp_extract(before(text, at, n), rf"[^{cut}]*\z", 0)
 
 
 def clause_around(text: str | Column, start: str | Column, end: str | Column, n: int = 180) -> Column:
     """The clause of a span: to the nearest full stop, semicolon or line break on either side."""
-    left = F.regexp_extract(before(text, start, n), r"[^.\n;]*$", 0)
+    left = F.regexp_extract(before(text, start, n), r"[^.\n;]*\z", 0)
     right = F.regexp_extract(after(text, end, n), r"^[^.\n;]*", 0)
     return F.concat(left, between(text, start, end), right)
 

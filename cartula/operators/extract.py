@@ -61,7 +61,7 @@ def structured(notes: DataFrame, sections: DataFrame) -> DataFrame:
     l_start = F.col("start") + F.expr("locate(left, line)") - 1
     r_start = F.col("start") + F.length("line") - F.length(F.regexp_replace(F.expr("substring(line, colon + 2)"), r"(?U)^\s+", ""))
     value = F.regexp_replace("value", "[,;.]+$", "")
-    rows = rows.withColumn("ls", l_start).withColumn("rs", r_start).withColumn("value", value)
+    rows = _settled(rows.withColumn("ls", l_start).withColumn("rs", r_start).withColumn("value", value))
     attribute = F.col("lnorm").isin(*fixed.FIELD_LABELS)
     own = rows.where(attribute & (F.col("value") != ""))
     found.append(entities(own, start=F.col("rs"), end=F.col("rs") + F.length("value"), text=F.col("value"), type=SYMPTOM, confidence=0.62, source="structured_symptom_attribute"))
@@ -76,6 +76,12 @@ def structured(notes: DataFrame, sections: DataFrame) -> DataFrame:
     return _union(found)
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows, kept. A filter on columns that are made from one another step by step would else be pushed below all
+    the steps, and each use of a column would become a copy of its whole history."""
+    return rows.persist()
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -138,12 +144,13 @@ def tests(notes: DataFrame, sections: DataFrame, lexicon: DataFrame) -> DataFram
 
     rows = result_windows(names, notes).where(F.trim("window") != "")
     lead = F.length(F.regexp_extract("window", rx(fixed.CONNECTOR), 0))
-    rows = rows.withColumn("lead", lead).withColumn("connector", F.regexp_extract("window", rx(fixed.CONNECTOR), 1)).withColumn("tail", F.expr("substring(window, lead + 1)"))
+    rows = _settled(rows.withColumn("lead", lead)).withColumn("connector", F.regexp_extract("window", rx(fixed.CONNECTOR), 1)).withColumn("tail", F.expr("substring(window, lead + 1)"))
     number = F.regexp_extract("tail", rx(fixed.NUMERIC_RESULT), 1)
     sure = (F.col("connector") != "") | (F.regexp_extract("tail", rx(fixed.NUMERIC_RESULT), 3) != "") | number.rlike("[.,]") | (F.length(number) >= 2)
     numeric = F.when((F.col("category") == "laboratory") & (number != "") & sure, F.length(F.regexp_extract("tail", rx(fixed.NUMERIC_RESULT), 0))).otherwise(0)
     size = F.greatest(numeric, F.length(F.regexp_extract("tail", rx(fixed.QUALITATIVE_RESULT), 0)), F.length(F.regexp_extract("tail", rx(fixed.DESCRIPTIVE_RESULT), 0)))
-    rows = rows.where(~F.col("tail").rlike(rx(fixed.COUNT))).withColumn("size", size).where("size > 0").withColumn("whole", F.expr("substring(tail, 1, size)"))
+    rows = rows.where(~F.col("tail").rlike(rx(fixed.COUNT))).withColumn("size", size)
+    rows = _settled(rows).where("size > 0").withColumn("whole", F.expr("substring(tail, 1, size)"))
     rest = F.regexp_replace(F.regexp_replace("whole", rx(fixed.FROM_PREFIX), ""), r"(?U)^\s+", "")
     rows = rows.withColumn("own", F.regexp_replace(rest, r"(?U)\s+$", "")).withColumn("at", F.col("end") + F.col("lead") + F.col("size") - F.length(rest)).where("own <> ''")
     results = entities(rows, start=F.col("at"), end=F.col("at") + F.length("own"), text=F.col("own"), type=RESULT, confidence=0.93, source="test_result_rule", linked_start=F.col("start"))
@@ -177,10 +184,10 @@ def symptoms(notes: DataFrame, sections: DataFrame, lexicon: DataFrame, policy:
     left, right = F.trim(F.expr("substring(body, 1, locate(':', body) - 1)")), F.regexp_replace(F.expr("substring(body, locate(':', body) + 1)"), r"(?U)^\s+", "")
     generic = (colon > 0) & F.lower(left).isin(*fixed.GENERIC_LABELS) & (right != "")
     rows = rows.withColumn("at", F.when(generic, F.col("at") + F.length("body") - F.length(right)).otherwise(F.col("at")))
-    rows = rows.withColumn("body", F.when(generic, right).when((colon > 0) & (left != ""), left).otherwise(F.col("body")))
+    rows = _settled(rows.withColumn("body", F.when(generic, right).when((colon > 0) & (left != ""), left).otherwise(F.col("body"))))
     plain = F.regexp_replace("body", rx(fixed.NARRATIVE_PREFIX), "")
     rows = rows.withColumn("at", F.col("at") + F.length("body") - F.length(plain)).withColumn("body", F.regexp_replace(plain, rx(fixed.TIME_SUFFIX), ""))
-    rows = _cleaned(rows)
+    rows = _settled(_cleaned(rows))
     low = F.lower("body")
     good = F.length("body").between(2, 90) & ~low.isin(*fixed.GENERIC_LABELS, *fixed.MEASUREMENT_LABELS) & ~repeats_a_word("body")
     for pattern in (fixed.SYMPTOM_REJECT, fixed.SYMPTOM_DENIED, fixed.SYMPTOM_OTHER):
@@ -205,7 +212,9 @@ def diagnoses(notes: DataFrame, sections: DataFrame, lexicon: DataFrame, policy:
     w = Window.partitionBy("note_id", "from").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("from", F.col("from") + F.coalesce(F.sum(F.length("part")).over(w), F.lit(0)))
     own = F.regexp_replace("part", r"(?U)^\s+", "")
+    rows = _settled(rows)
     rows = _cleaned(rows.withColumn("at", F.col("from") + F.length("part") - F.length(own)).withColumn("body", F.regexp_replace(own, ";+$", "")))
+    rows = _settled(rows)
     good = F.length("body").between(4, 120) & ~repeats_a_word("body") & F.col("body").rlike(rx(fixed.DIAGNOSIS_CUE))
     for pattern in (fixed.DIAGNOSIS_REJECT, fixed.DIAGNOSIS_COURSE, fixed.DIAGNOSIS_THERAPY):
         good = good & ~F.col("body").rlike(rx(pattern))

@@ -326,13 +326,6 @@ def fixture_rules(spark, sf_dir):
     return pipelines.rules(fixtures.notes(spark), fixtures.resources(spark))
 
 
-def fixture_linked(spark, sf_dir):
-    """Rows only: the same with codes."""
-    from cartula.plans import fixtures, pipelines
-
-    return pipelines.linked(fixtures.notes(spark), fixtures.resources(spark))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -340,7 +333,7 @@ QUERIES = {
         section_tiles, section_asof, section_coverage, next_span_window, last_cue_assertion, support_semi, conflict_anti, overlap_ratio_join, containment_join,
         argmax_dedup, type_votes, same_span_merge, bm25_topk, bm25_margin_gate, cosine_topk, hybrid_fusion, rarest_posting_candidates, token_coverage_join,
         token_windows, bio_decode, json_props, export_json_rows, cache_miss_anti, run_summary, filter_reason_counts, regex_span_offsets, semantic_chunk_bounds,
-        fixture_rules, fixture_linked,
+        fixture_rules,
     )
 }
 

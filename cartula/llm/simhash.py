@@ -303,17 +303,25 @@ def digest(docs: DataFrame) -> DataFrame:
 
 #: Near copies by similarity: words of a shingle, and the radius in which they are looked for.
 COPY_SHINGLE, COPY_RADIUS = 5, 20
-#: Least hashes of a shingle set over so many bands of so many; bins of its sketch; the similarity that a sketch must
-#: show (it estimates that of the sets with a deviation of 0.035, so this is a little under the 0.8 that is asked for).
-COPY_BANDS, COPY_ROWS, BINS, COPY_SIMILARITY = 10, 3, 128, 0.78
+#: Least hashes of a shingle set over so many bands of so many; bins of its sketch; the least similarity of near copies.
+COPY_BANDS, COPY_ROWS, BINS, COPY_SIMILARITY = 10, 3, 128, 0.8
+#: How far under that a sketch may be and its pair be looked at: over five deviations (of 0.035) of its estimate.
+SLACK = 0.2
+#: Bytes of the texts that one task proves; a larger group is cut into pairs of pieces.
+PROVED = 32 << 20
+
+
+def shingles(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The set of the shingles' hashes, in order; fewer words are one shingle."""
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
 
 
 def sketch(text: bytes | None, shingle: int = COPY_SHINGLE) -> tuple[int, int, list[int], bytes]:
     """node (a hash of the words), fingerprint, band keys, and the least hash of each bin of the set of shingles."""
     words = text.lower().split() if text else []
-    n = max(1, len(words) - shingle + 1)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
+    hashes = shingles(words, shingle)
     node = xxhash.xxh3_64_intdigest(b" ".join(words))
     least = np.array([(hashes * m).min() for m in _FACTORS[:-1]]).reshape(COPY_BANDS, COPY_ROWS)
     keys = [xxhash.xxh3_64_intdigest(bytes([b]) + row.tobytes()) for b, row in enumerate(least)]
@@ -332,11 +340,90 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return ((a == b) & filled).sum(axis=1) >= similarity * np.maximum(filled.sum(axis=1), 1)
 
 
+def proved_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, np.ndarray]]:
+    """Links, as places, that join each component of the sets of a group by their exact similarity: one set at a time
+    against all that are not yet reached."""
+    found, edge = [], []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    asked_of = np.zeros(int(ids.max()) + 1, bool)
+    place, left = np.arange(len(sets)), np.ones(len(sets), bool)  # sets in ids, and which are not yet reached
+    starts = np.cumsum(sizes) - sizes
+    while left.any():
+        if not edge:
+            seed = int(np.flatnonzero(left)[0])
+            left[seed] = False
+            edge.append(int(place[seed]))
+            continue
+        asked = edge.pop()
+        asked_of[own[asked]] = True
+        shared = np.add.reduceat(asked_of[ids], starts, dtype=np.int64)
+        asked_of[own[asked]] = False
+        hit = np.flatnonzero(left & (shared / (sizes[place] + sizes[asked] - shared) >= similarity))
+        if len(hit):
+            found.append((asked, place[hit]))
+            edge += place[hit].tolist()
+            left[hit] = False
+        if left.any() and left.sum() * 2 < len(left):
+            place = place[left]
+            ids, left = np.concatenate([own[i] for i in place]), np.ones(len(place), bool)
+            starts = np.cumsum(sizes[place]) - sizes[place]
+    return found
+
+
+def _prove(similarity: float, shingle: int = COPY_SHINGLE):
+    """Reads groups, which are runs of equal k: k, node and text; gives u > v, links between nodes."""
+
+    def linked(nodes: list[int], sets: list[np.ndarray]):
+        pairs = proved_links(sets, similarity) if len(sets) > 1 else []
+        if pairs:
+            at = np.array(nodes, np.int64)
+            a, b = np.repeat(at[[i for i, _ in pairs]], [len(j) for _, j in pairs]), at[np.concatenate([j for _, j in pairs])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["u", "v"])
+
+    def run(batches):
+        k, nodes, sets = None, [], []
+        for batch in batches:
+            for key, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != k:
+                    yield from linked(nodes, sets)
+                    k, nodes, sets = key, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(shingles(text.lower().split() if text else [], shingle))
+        yield from linked(nodes, sets)
+
+    return run
+
+
+def proved(docs: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """u > v: links that join the nodes of each group (node, root) whose sets of shingles have the similarity.
+
+    nodes: node, h (the hash of a text that has these words) and size (its bytes); docs have the text.
+    """
+    own = checkpoint(groups.join(nodes.select("node", "h", "size"), "node"))
+    pieces = F.greatest(F.ceil(F.col("n") / (BUCKET // 2)), F.ceil(F.col("bytes") / (PROVED // 2))).cast("int")
+    hot = own.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > BUCKET) | (F.col("bytes") > PROVED))
+    hot = checkpoint(hot.select("root", F.greatest(pieces, F.lit(2)).alias("pieces")))
+    rows = own.join(hot, "root", "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")))
+    others = F.when(F.col("pieces").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
+    piece = F.explode(others).alias("other")
+    rows = rows.select("node", "h", "root", "own", piece)
+    k = F.when(F.col("other") < 0, F.col("root")).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
+    wanted = own.select("node", "h")
+    texts = docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t")).join(wanted, "h").dropDuplicates(["node"]).select("node", "t")
+    dealt = rows.select(k.alias("k"), "node").join(texts, "node").select("k", "node", "t")
+    spread = dealt.repartition(parts(docs.sparkSession), "k").sortWithinPartitions("k", "node")
+    return spread.mapInArrow(_prove(similarity), "u long, v long").distinct()
+
+
 def copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """doc_id, node and component_id of each row: groups of near copies by similarity of five-word shingles.
 
     Texts that share a band of least hashes meet in a bucket; their fingerprints are compared
-    bit-sliced, and the sketches of what is within the radius are.
+    bit-sliced, and the sketches of what is within the radius are, with slack. Any link is
+    within the groups that this makes; in these the sets of shingles are compared exactly.
     """
     small_batches(docs.sparkSession)
 
@@ -345,17 +432,23 @@ def copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
             node, fp, ks, bins = zip(*(sketch(t) for t in b.column(1).to_pylist())) if b.num_rows else ((), (), (), ())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             bands_of = pa.ListArray.from_arrays(np.arange(0, len(ks) * COPY_BANDS + 1, COPY_BANDS, dtype=np.int32), signed(np.array(ks, np.uint64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(node), signed(fp), bands_of, pa.array(bins, pa.binary())], ["doc_id", "node", "fp", "keys", "sketch"])
+            made = [b.column(0), signed(node), signed(fp), bands_of, pa.array(bins, pa.binary()), b.column(2), b.column(3)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "node", "fp", "keys", "sketch", "h", "size"])
 
-    schema = "doc_id long, node long, fp long, keys array<long>, sketch binary"
-    made = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(run, schema))
+    schema = "doc_id long, node long, fp long, keys array<long>, sketch binary, h long, size long"
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), F.xxhash64("text").alias("h"), size)
+    made = checkpoint(given.mapInArrow(run, schema))
     prints = made.select("doc_id", "node")
-    nodes = checkpoint(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
+    one = F.min(F.struct("h", "size"))
+    nodes = made.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"), one.alias("one"))
+    nodes = checkpoint(nodes.select("node", "first", "fp", "keys", "sketch", "one.h", "one.size"))
     rows = nodes.select(F.explode("keys").alias("k"), "node")
     shared = checkpoint(rows.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k"))
     met = _buckets(checkpoint(rows.join(shared, "k"))).join(nodes.select("node", "fp", "sketch"), "node").select("k", "node", "fp", "sketch")
     spread = met.repartition(parts(docs.sparkSession), "k").sortWithinPartitions("k")
-    found = components(spread.mapInArrow(_compare(COPY_RADIUS, similarity), "u long, v long").distinct())
+    maybe = components(spread.mapInArrow(_compare(COPY_RADIUS, similarity - SLACK), "u long, v long").distinct())
+    found = components(proved(docs, nodes, maybe, similarity))
     named = nodes.select(F.col("node").alias("__node"), "first").join(found, F.col("__node") == F.col("node"), "left").select("__node", "first", F.coalesce("root", "__node").alias("root"))
     named = checkpoint(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

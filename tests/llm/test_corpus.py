@@ -207,6 +207,43 @@ def test_one_of_each_group(spark, docs):
     assert kept.where("text like 'alone%'").count() == 1
 
 
+def plain_copies(data, least=0.8):
+    """component_id of each id: groups by the exact similarity of the sets of five-word shingles."""
+    sets = {}
+    for i, t in data:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return groups(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least])
+
+
+def graded(first=0, n=300, times=4):
+    """Pairs of texts at similarities from 0.7 to 0.9, in steps of 0.01."""
+    out = []
+    for k, same in enumerate(times * list(range(round(n * 0.823), round(n * 0.948), 2))):
+        for own in "ab":
+            out.append((first + len(out), " ".join(f"{'a' if j < same else own}{k}w{j}" for j in range(n))))
+    return out
+
+
+def test_copies_by_exact_similarity(spark):
+    data = graded()
+    want = plain_copies(data)
+    assert 20 < sum(i != c for i, c in want.items()) < len(data) // 2 - 20
+    table = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], DOCS)
+    assert dict(rows(simhash.copies(table), "doc_id", "component_id")) == want
+
+
+@pytest.mark.parametrize("cut", ["BUCKET", "PROVED"])
+def test_large_groups_are_proved_in_pieces(spark, monkeypatch, cut):
+    monkeypatch.setattr(simhash, cut, {"BUCKET": 8, "PROVED": 20_000}[cut])
+    base = [f"w{j}" for j in range(300)]
+    data = [(i, " ".join(base[: 240 + i] + [f"x{i}y{j}" for j in range(60 - i)])) for i in range(60)]
+    want = plain_copies(data)
+    assert 1 < len(set(want.values())) < 60
+    table = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], DOCS)
+    assert dict(rows(simhash.copies(table), "doc_id", "component_id")) == want
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 

@@ -233,6 +233,23 @@ def test_copies_by_exact_similarity(spark):
     assert dict(rows(simhash.copies(table), "doc_id", "component_id")) == want
 
 
+def repeated(first=0, n=300, times=10):
+    """Pairs of a text and the same with a passage of it repeated 50 more times: nearly the same set of shingles."""
+    out = []
+    for k in range(times):
+        w = [f"r{k}w{j}" for j in range(n)]
+        out += [(first + 2 * k, " ".join(w)), (first + 2 * k + 1, " ".join(w + 50 * w[100:140]))]
+    return out
+
+
+def test_copies_that_repeat_a_passage(spark):
+    data = repeated()
+    want = plain_copies(data)
+    assert want == {i: i - i % 2 for i, _ in data}
+    table = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], DOCS)
+    assert dict(rows(simhash.copies(table), "doc_id", "component_id")) == want
+
+
 @pytest.mark.parametrize("cut", ["BUCKET", "PROVED"])
 def test_large_groups_are_proved_in_pieces(spark, monkeypatch, cut):
     monkeypatch.setattr(simhash, cut, {"BUCKET": 8, "PROVED": 20_000}[cut])

@@ -319,11 +319,30 @@ def semantic_chunk_bounds(spark, sf_dir):
     return windows.semantic_chunks(_notes(spark, sf_dir))
 
 
-def fixture_rules(spark, sf_dir):
-    """Rows only: sections, rules and merged entities of the built-in clinical notes."""
-    from cartula.plans import fixtures, pipelines
+def _rule_resources(spark, notes):
+    """Headers, and tests, drugs, symptoms and diagnoses from the lexicon of the notes, by kind and priority."""
+    words = corpus_lexicon(notes).persist()
+    rows = [(h.upper(), "unknown", 0 if h in ("the", "die", "la") else 110, h in ("the", "in"), h in ("die", "der"), h == "la", h == "le", "trusted" if h in ("the", "die", "la") else "model_support") for h in HEADERS]
+    rows.append(("UNKNOWN", "unknown", 110, False, False, False, False, "model_support"))
+    schema = "section string, role string, min_priority int, symptom_structural boolean, diagnosis_structural boolean, assertion_history boolean, assertion_family boolean, rule_trust string"
+    named = ["surface", F.col("surface").alias("canonical")]
+    weight = (F.col("priority") * 10 + 90).cast("int").alias("priority")
+    return {
+        "aliases": [(h.upper(), h) for h in HEADERS],
+        "policy": spark.createDataFrame(rows, schema),
+        "tests": words.where("kind = 'A'").select(*named, F.lit("laboratory").alias("category"), weight),
+        "drugs": words.where("kind = 'B'").select(*named, F.lit("").alias("code")),
+        "symptoms": words.where("kind = 'C' and priority < 3").select(*named, weight),
+        "diagnoses": words.where("kind = 'C' and priority >= 3").select(*named, F.array(F.upper("surface")).alias("codes"), weight),
+    }
+
+
+def rule_entities(spark, sf_dir):
+    """Rows only: sections, rules and merged entities of the documents."""
+    from cartula.plans import pipelines
 
-    return pipelines.rules(fixtures.notes(spark), fixtures.resources(spark))
+    notes = _notes(spark, sf_dir)
+    return pipelines.rules(notes, _rule_resources(spark, notes))
 
 
 QUERIES = {
@@ -333,7 +352,7 @@ QUERIES = {
         section_tiles, section_asof, section_coverage, next_span_window, last_cue_assertion, support_semi, conflict_anti, overlap_ratio_join, containment_join,
         argmax_dedup, type_votes, same_span_merge, bm25_topk, bm25_margin_gate, cosine_topk, hybrid_fusion, rarest_posting_candidates, token_coverage_join,
         token_windows, bio_decode, json_props, export_json_rows, cache_miss_anti, run_summary, filter_reason_counts, regex_span_offsets, semantic_chunk_bounds,
-        fixture_rules,
+        rule_entities,
     )
 }
 

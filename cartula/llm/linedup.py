@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are sequences of words. Two are near when one word put in, left out or replaced
-makes them equal, and the longer has ``LEAST`` words at least (a similarity of 0.8 or
-more); any lines of equal words are equal. Of near or equal lines all but the earliest, by
+makes them equal, and the longer has ``LEAST`` words at least. The bound is one word
+whatever the length: a similarity of 0.8 at five words, but of 0.95 at twenty, so longer
+lines with two or more edits stay; any lines of equal words are equal. Of near or equal lines all but the earliest, by
 document and line number, are removed; lines are judged on the input.
 
 One edit leaves the front or the back half of a line as it is. So lines that share a half

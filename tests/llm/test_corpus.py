@@ -472,6 +472,17 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_near_copies_stage_against_plain_python(spark):
+    import corpus_pipeline
+
+    data = graded(times=2) + repeated(1000, times=5)
+    want = plain_copies(data)
+    table = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], DOCS)
+    kept = corpus_pipeline.near_copies_out(spark, table, "")
+    assert rows(kept, "doc_id", "text") == sorted(((i, t) for i, t in data if want[i] == i), key=repr)
+    assert corpus_pipeline.near_copies_out(spark, table.limit(0), "").count() == 0
+
+
 def test_queries_are_named():
     from cartula.llm.queries import ORACLES, QUERIES
 

@@ -8,11 +8,13 @@ document and line number, are removed; lines are judged on the input.
 
 One edit leaves the front or the back half of a line as it is. So lines that share a half
 with another line are found first, and only these emit their deletion neighbourhood: for
-each word of the other half the hash of that half without it, with the place for a
-replacement and without for a word put in or left out. Equal variants meet in a grouped
-minimum, the earliest line of a variant, and the pair is verified word by word. Sums and
-minima are partial before they are shuffled, and are written before they are joined back,
-so a variant or a line that any number of documents share is split like any hot key.
+each word of the other half the hash of the line without it. A line is hashed as the
+exclusive or of the hashes of its words with their places; words that follow a deleted one
+move by a place, and both kinds of sums run along the line, so its variants cost its
+length. Equal variants meet in a grouped minimum, the earliest line of a variant, and the
+pair is verified word by word. Sums and minima are partial before they are shuffled, and
+are written before they are joined back, so a variant or a line that any number of
+documents share is split like any hot key.
 
 Defined results: a null text has no lines; lines without words stay; rows that share an
 id are one document, in which line numbers may repeat; rows with a null id come last; an
@@ -21,10 +23,10 @@ empty table gives an empty result; further columns are ignored. DataFrame functi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartula.llm.common import WORD, checkpoint
+from cartula.llm.common import WORD, checkpoint, fresh, stored
 
 #: Words that the longer of two near lines has at least.
 LEAST = 5
@@ -44,55 +46,44 @@ def _words(line: str = "line") -> F.Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _halves(words: F.Column, short: F.Column, n: F.Column):
-    """side, key and what the half leaves, for each side of a line of n words, against lines whose shorter has short words."""
-    front = F.floor(short / 2).cast("int")
-    back = (short - front).cast("int")
-    head, tail = F.slice(words, 1, front), F.slice(words, n - back + 1, back)
-    return (
-        (F.xxhash64(F.lit("front"), short, head), F.slice(words, front + 1, n)),
-        (F.xxhash64(F.lit("back"), short, tail), F.slice(words, 1, n - back)),
-    )
-
-
-def _keys(words: F.Column, n: F.Column) -> F.Column:
-    """The half keys of a line: as the shorter or equal one, and as the longer by a word."""
-    made = [key for short in (n, n - 1) for key, _ in _halves(words, short, n)]
-    return F.array(*made)
+def _keys(words: F.Column, n: F.Column) -> list[F.Column]:
+    """Keys of the front and the back half of a line of n words: as the shorter or equal one, and as the longer by a word."""
+    out = []
+    for short in (n, n - 1):
+        front = F.floor(short / 2).cast("int")
+        out += [F.xxhash64(F.lit("front"), short, F.slice(words, 1, front)), F.xxhash64(F.lit("back"), short, F.slice(words, n - (short - front) + 1, short))]
+    return out
 
 
-def _variants(words: F.Column, codes: F.Column, n: F.Column, shared: F.Column) -> F.Column:
-    """kind and hash of the variants of a line (and of the hashes of its words) for the half keys that others share.
+def variants(candidates: DataFrame) -> DataFrame:
+    """at (id, line_no), kind and v, the hash of a variant, of lines (id, line_no, h, words, shared) whose half keys others share.
 
     kind 0: a word replaced; 1: nothing deleted, for longer lines; 2: a word deleted, for shorter ones.
+    A word is left out where the half that it isn't in is shared.
     """
-    nothing = F.array().cast("array<struct<kind:int,v:bigint>>")
-    out = []
-    for short, longer in ((n, False), (n - 1, True)):
-        for (key, _), (_, rest) in zip(_halves(words, short, n), _halves(codes, short, n)):
-            own = _deleted(key, rest) if longer else F.concat(F.coalesce(_replaced(key, rest), nothing), F.array(_variant(1, F.xxhash64(F.lit("indel"), key, rest))))
-            out.append(F.when(F.array_contains(shared, key), F.coalesce(own, nothing)).otherwise(nothing))
-    return F.concat(*out)
-
-
-def _variant(kind: int, v: F.Column) -> F.Column:
-    return F.struct(F.lit(kind).alias("kind"), v.alias("v"))
-
-
-def _without(rest: F.Column, i: F.Column) -> F.Column:
-    return F.concat(F.slice(rest, F.lit(1), i - 1), F.slice(rest, i + 1, F.size(rest)))
-
-
-def _places(rest: F.Column, variant) -> F.Column:
-    return F.when(F.size(rest) > 0, F.transform(F.sequence(F.lit(1), F.size(rest)), lambda i: variant(i)))
-
-
-def _replaced(key: F.Column, rest: F.Column) -> F.Column:
-    return _places(rest, lambda i: _variant(0, F.xxhash64(F.lit("replace"), key, i, _without(rest, i))))
-
-
-def _deleted(key: F.Column, rest: F.Column) -> F.Column:
-    return _places(rest, lambda i: _variant(2, F.xxhash64(F.lit("indel"), key, _without(rest, i))))
+    n = F.size("words")
+    met = [F.array_contains("shared", k) for k in _keys(F.col("words"), n)]
+    rows = candidates.select("id", "line_no", "h", n.alias("n"), *(m.alias(f"met{k}") for k, m in enumerate(met)), F.posexplode("words").alias("i", "w"))
+    rows = rows.withColumn("here", F.xxhash64("i", "w")).withColumn("moved", F.xxhash64(F.col("i") - 1, "w")).drop("w")
+    line = Window.partitionBy("id", "line_no", "h")
+    ahead = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    to_here = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.lit(0).cast("long")
+    rows = rows.select(
+        "*", F.coalesce(F.bit_xor("here").over(ahead), none).alias("before"), F.bit_xor("moved").over(to_here).alias("so_far"),
+        F.bit_xor("here").over(line).alias("all_here"), F.bit_xor("moved").over(line).alias("all_moved"),
+    )
+    without = F.col("all_here").bitwiseXOR(F.col("here"))
+    deleted = F.col("before").bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("so_far"))
+    half, half_longer = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
+    outside = lambda front, back, cut: (F.col(front) & (F.col("i") >= cut)) | (F.col(back) & (F.col("i") < cut))
+    made = lambda on, kind, v: F.when(on, F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    own = F.array(
+        made(outside("met0", "met1", half), 0, F.xxhash64(F.lit("replace"), "n", "i", without)),
+        made((F.col("i") == 0) & (F.col("met0") | F.col("met1")), 1, F.xxhash64(F.lit("indel"), "n", "all_here")),
+        made((F.col("met2") & (F.col("i") >= half_longer)) | (F.col("met3") & (F.col("i") <= half_longer)), 2, F.xxhash64(F.lit("indel"), F.col("n") - 1, deleted)),
+    )
+    return rows.select(F.struct("id", "line_no").alias("at"), F.explode(F.array_compact(own)).alias("x")).select("at", "x.kind", "x.v")
 
 
 def near(a: F.Column, b: F.Column) -> F.Column:
@@ -110,33 +101,34 @@ def near(a: F.Column, b: F.Column) -> F.Column:
 
 def removed(docs: DataFrame) -> DataFrame:
     """id, line_no, first_id, first_line of each line that is removed: an earlier equal line, or else an earlier near one."""
-    # Through shuffles go lines and hashes; words, which take three times the room, are made where they are needed.
+    # Through shuffles go hashes; words, which take three times the room of lines, are made where they are needed.
     hashed = lines(docs).where(F.col("line").rlike(WORD)).withColumn("words", _words())
-    hashed = hashed.select("id", "line_no", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.size("words").alias("n"), "words")
-    slim = hashed.select("id", "line_no", "h", "g", F.when(F.col("n") >= LEAST - 1, _keys(F.col("words"), F.col("n"))).alias("keys"))
+    hashed = hashed.select("id", "line_no", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.size("words").alias("n"), "words")
+    keys = (F.when(F.col("n") >= LEAST - 1, k).alias(f"k{i}") for i, k in enumerate(_keys(F.col("words"), F.col("n"))))
+    slim = stored(hashed.select("id", "line_no", "h", "g", *keys))
     first = F.struct("id", "line_no").alias("at")
-    distinct = checkpoint(slim.groupBy("h", "g").agg(F.min(first).alias("first"), F.min("keys").alias("keys")))
+    names = [f"k{i}" for i in range(4)]
+    distinct = stored(slim.groupBy("h", "g", *names).agg(F.min(first).alias("first")))  # the keys go with h and g
 
-    keyed = distinct.where("keys is not null").select("h", F.explode("keys").alias("key"))
+    keyed = distinct.where("k0 is not null").select("h", F.explode(F.array(*names)).alias("key"))
     shared = checkpoint(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key"))
-    wanted = checkpoint(keyed.join(shared, "key").groupBy("h").agg(F.collect_set("key").alias("shared")))
+    wanted = checkpoint(keyed.join(shared, "key").groupBy("h").agg(F.collect_set("key").alias("shared")))  # four at most
     wanted = wanted.join(distinct.select("h", "g", "first"), "h")
     wanted = wanted.select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("first.id").alias("__id"), F.col("first.line_no").alias("__no"), "shared")
     # The candidates' words, once: from the place where each first stands.
     texts = lines(docs)
     met = texts.join(wanted, (texts["id"] == wanted["__id"]) & (texts["line_no"] == wanted["__no"])).withColumn("words", _words())
-    met = met.where((F.xxhash64("words") == F.col("__h")) & (F.xxhash64(F.lit(1), "words") == F.col("__g")))  # rows may share an id
-    candidates = checkpoint(met.dropDuplicates(["id", "line_no", "__h", "__g"]).select("id", "line_no", "line", "shared")).withColumn("words", _words())
+    # Rows may share an id. Said as differences, these stay behind the join; as equalities they would be keys of it, made for all lines.
+    met = met.where((F.xxhash64("words").bitwiseXOR(F.col("__h")) == 0) & (F.xxhash64(F.lit(1), "words").bitwiseXOR(F.col("__g")) == 0))
+    candidates = checkpoint(met.dropDuplicates(["id", "line_no", "__h", "__g"]).select("id", "line_no", F.col("__h").alias("h"), "line", "shared")).withColumn("words", _words())
 
-    # Variants are hashed from hashes of words, once.
-    coded = candidates.select("id", "line_no", "shared", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
-    variants = coded.select(F.struct("id", "line_no").alias("at"), F.explode(_variants(F.col("words"), F.col("codes"), F.size("words"), F.col("shared"))).alias("x"))
-    variants = checkpoint(variants.select("at", "x.kind", "x.v"))
+    # Long lines and lines of few documents lie anywhere: their words are dealt anew by the windows.
+    found = checkpoint(variants(candidates))
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first{k}")
-    met = variants.groupBy("v").agg(earliest(0), earliest(1), earliest(2), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").drop("lo", "hi")
+    met = found.groupBy("v").agg(earliest(0), earliest(1), earliest(2), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").drop("lo", "hi")
     met = checkpoint(met)
     other = F.when(F.col("kind") == 0, F.col("first0")).when(F.col("kind") == 1, F.col("first2")).otherwise(F.col("first1"))
-    pairs = variants.join(met, "v").withColumn("other", other).where("other < at").select("at", "other").distinct()
+    pairs = found.join(met, "v").withColumn("other", other).where("other < at").select("at", "other").distinct()
     own, theirs = candidates.select("id", "line_no", "line"), candidates.select(F.col("id").alias("o_id"), F.col("line_no").alias("o_no"), F.col("line").alias("o_line"))
     pairs = pairs.select("at.id", "at.line_no", F.col("other.id").alias("o_id"), F.col("other.line_no").alias("o_no"))
     proved = pairs.join(own, ["id", "line_no"]).join(theirs, ["o_id", "o_no"])
@@ -151,23 +143,23 @@ def removed(docs: DataFrame) -> DataFrame:
     return judged.where("other is not null").select("id", "line_no", F.col("other.id").alias("first_id"), F.col("other.line_no").alias("first_line"))
 
 
-def removed_by_document(docs: DataFrame) -> DataFrame:
-    """__id and __gone, the numbers of the lines that are removed, of each document that loses any."""
-    return removed(docs).groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
+def removed_by_document(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """key (the id; a large number for null) and name, the numbers of the lines that are removed, of each document that loses any."""
+    return removed(docs.select("doc_id", "text")).groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set("line_no")).alias(name))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines left that are not removed; all columns."""
-    gone = removed_by_document(docs)
-    rows = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    key, gone = fresh(docs, "__id", "__gone")
+    rows = docs.join(removed_by_document(docs, key, gone), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(key), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return rows.select(*(c if c != "text" else F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed, the numbers of the lines that go, in order, of each row of docs."""
     slim = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__k"))
     slim = slim.withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).cast("long"))
-    rows = slim.join(removed_by_document(docs), F.col("__k") == F.col("__id"), "left")
+    rows = slim.join(removed_by_document(docs, "__id", "__gone"), F.col("__k") == F.col("__id"), "left")
     gone = F.coalesce("__gone", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))

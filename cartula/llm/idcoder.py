@@ -1,16 +1,19 @@
 """Token ids in binary files, packed by an adaptive context-mixing range coder.
 
-Each id is foretold by the id that last followed the two before it (order 2), by the one
-that last followed the one before it (order 1), and by a cache of recent ids (order 0).
-Adaptive counts of which of them was right, of all orders together and for the trust that
-order 1 and order 2 have earned here, are mixed to the frequencies that drive a 64-bit
-carry-less range coder; an id that none foretells is written out. Blocks of ids start from
-nothing, have a checksum of their own, and are coded side by side: one numpy step codes
-the next id of every block of a segment.
+A segment opens with its prior: how often each id comes in it (order 0), and how often
+after each id those come that do so ``OFTEN`` times at least (order 1). Blocks of ids
+start from the prior alone, have a checksum of their own and are coded side by side: one
+numpy step codes the next id of every block. In a block each id is foretold by the id that
+last followed the two before it there (order 2), by the prior of the id before it, and by
+that of all ids. Adaptive counts of which of the three was right, of the whole block and
+for the trust that order 2 has earned in this place, are mixed to the frequencies that
+drive a 64-bit carry-less range coder; the id itself then takes what the order that has it
+says of it.
 
 A segment is ``MAGIC``, version, counts, an index of documents (id, null flag, number of
-ids), a directory of blocks (ids, words, checksum) and the words of the blocks; the files
-are tables of segments (part, segment, n_ids, payload) in ascending order of documents.
+ids), a directory of blocks (ids, words, checksum), the prior with its checksum, and the
+words of the blocks; the files are tables of segments (part, segment, n_ids, payload) in
+ascending order of documents. Ids are any unsigned numbers of 32 bits.
 
 Defined results: a null or empty text is its end id alone; null document ids come first;
 repeated rows are documents that follow one another, ties by a hash of the text; an empty
@@ -20,79 +23,150 @@ table makes files without segments and gives an empty result; further columns ar
 from __future__ import annotations
 
 import atexit
+import os
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, parts, scratch, small_batches
+from cartula.llm.common import checkpoint, parts, remove, scratch, small_batches
 
-MAGIC, VERSION = b"IDRC", 1
+MAGIC, VERSION = b"IDRC", 2
 #: Ids of a block, and of a segment, about; blocks coded side by side.
 BLOCK, SEGMENT, LANES = 2048, 1 << 22, 2048
 END = 2
+#: Times that an id follows another in a segment for the prior to say so.
+OFTEN = 4
 
 _U = np.uint64
 #: A block's range stays above _LOW: it can be divided by all counts (under 2 ** 16) and by a
-#: tail (2 ** 16) and is still not empty. Words of 16 bits leave at the top.
+#: prior's total (2 ** 24 at most) and is still not empty. Words of 16 bits leave at the top.
 _HIGH, _LOW = _U(1 << 48), _U(1 << 40)
-#: Bits of the tables of order 1 and 2 and of the cache.
-_BITS1, _BITS2, _BITS0 = 9, 10, 8
-#: Four counts of 16 bits lie in one machine word; a product with _ONES has their running sums.
+#: Bits of the table of order 2, and of the totals of the prior's order 1.
+_BITS2, _BITS1 = 10, 15
+#: Counts of 16 bits lie in one machine word; a product with _ONES has their running sums.
 _ONES, _FIELD = _U(0x0001000100010001), _U(0xFFFF)
-_BLOCK_COUNTS = 1 + 4 + 16  # what an id adds to the mixed counts; BLOCK times that stays under 2 ** 16
+#: What the counts start from, by trust: order 2 is right, order 1 has it, order 0 must say.
+_FIRST = np.array([a | b << 16 | c << 32 for a, b, c in ((1, 30, 2), (4, 12, 1), (8, 6, 1), (24, 4, 1))], _U)
 
 
-class Model:
-    """The predictions of many blocks; what a step updates is seen by the next only."""
+def _shares(counts: np.ndarray, totals, room, n) -> np.ndarray:
+    """Frequencies of at least 1 in proportion to the counts; those of one total take room at most."""
+    return 1 + counts * (room - n) // totals
 
-    def __init__(self, lanes: int):
-        n = np.arange(lanes)
-        self.at1, self.at2, self.at0, self.trust = n << _BITS1, n << _BITS2, n << _BITS0, n << 2
-        self.table1, self.table2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
-        self.cache = np.full(lanes << _BITS0, -1, np.int32)
-        self.count0, self.count1, self.count2 = np.full(lanes, _ONES), np.zeros(lanes << 2, _U), np.zeros(lanes << 2, _U)
-        self.last = self.before = np.zeros(lanes, np.int32)
 
-    def predict(self):
-        """Running sums, packed, of the mixed counts of: order 2 is right, order 1 is, the cache has it, none."""
-        self.i1 = self.at1 + (self.last & ((1 << _BITS1) - 1))
-        self.i2 = self.at2 + ((((self.last * 5) ^ (self.before * 3) ^ (self.last >> 5)) & ((1 << _BITS2) - 1)))
-        self.e1, self.e2 = self.table1[self.i1], self.table2[self.i2]
-        self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
-        self.t1, self.t2 = self.e1 & 3, self.e2 & 3
-        self.k1, self.k2 = self.trust + self.t1, self.trust + self.t2
-        self.own1, self.own2 = self.count1[self.k1], self.count2[self.k2]
-        return (self.count0 + (self.own1 << _U(2)) + (self.own2 << _U(4))) * _ONES
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, byte by byte of all, packed."""
+    made = zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+    return struct.pack("<II", len(x), len(made)) + made
+
+
+class Prior:
+    """What a segment's blocks start from. Ids are ranks among the segment's ids; one more rank is before each block.
+
+    ids, share (order 0); of order 1, by the rank before and then rank: n (how many of each rank
+    before), after (rank), share1.
+    """
+
+    def __init__(self, ids, share, n, after, share1):
+        self.ids, self.share, self.n, self.after, self.share1 = (np.asarray(x, np.int64) for x in (ids, share, n, after, share1))
+        self.start = _starts(self.share)
+        self.bits = self.total_bits(len(self.ids))
+        own = np.repeat(_starts(self.n), self.n)
+        so_far = _starts(self.share1)
+        self.start1 = so_far - so_far[own] if len(own) else so_far
 
     @staticmethod
-    def place(ids):
-        return (ids ^ (ids >> _BITS0)) & ((1 << _BITS0) - 1)
+    def total_bits(n: int) -> int:
+        return max(18, n.bit_length() + 2)
+
+    @classmethod
+    def of(cls, rows: np.ndarray, real: np.ndarray):
+        """The prior of blocks of ids (real: which count), their ranks, and the place of each in order 1 (-1 if it has none)."""
+        if rows.max(initial=0) < 1 << 24:
+            ids = np.flatnonzero(np.bincount(rows.reshape(-1)))
+            rank_of = np.zeros(int(rows.max(initial=0)) + 1, np.int64)
+            rank_of[ids] = np.arange(len(ids))
+            ranks, n = rank_of[rows], len(ids)
+        else:
+            ids, ranks = np.unique(rows, return_inverse=True)
+            ranks, n = ranks.reshape(rows.shape), len(ids)
+        share = _shares(np.maximum(np.bincount(ranks[real], minlength=n), 1), max(1, int(real.sum())), 1 << cls.total_bits(n), 2 * n)
+        pairs = np.empty(rows.shape, np.int64)
+        pairs[:, 0], pairs[:, 1:] = n, ranks[:, :-1]
+        pairs = (pairs * n + ranks).reshape(-1)
+        order = np.argsort(pairs)
+        own = pairs[order]
+        edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        counts = np.diff(np.r_[edges, len(own)])
+        before, after = np.divmod(own[edges], max(n, 1))
+        most = 1 << (_BITS1 - 1)  # more than so many that follow one id are left to order 0
+        kept = (counts >= OFTEN) & (np.arange(len(edges)) - np.searchsorted(before, before) < most)
+        place = np.where(kept, np.cumsum(kept) - 1, -1)
+        at = np.empty(len(own), np.int64)
+        at[order] = np.repeat(place, counts)
+        before, after, counts = before[kept], after[kept], counts[kept]
+        size = np.bincount(before, minlength=n + 1)
+        total = np.bincount(before, counts, n + 1).astype(np.int64)
+        share1 = _shares(counts, total[before], 1 << _BITS1, size[before])
+        return cls(ids, share, size, after, share1), ranks, at.reshape(rows.shape)
+
+    def pack(self) -> bytes:
+        made = b"".join(_planes(x) for x in (np.diff(self.ids, prepend=0), self.share, self.n, self.after, self.share1))
+        return struct.pack("<II", len(made), zlib.crc32(made)) + made
+
+    @classmethod
+    def unpack(cls, segment: bytes, at: int):
+        size, crc = struct.unpack_from("<II", segment, at)
+        made = segment[at + 8 : at + 8 + size]
+        if zlib.crc32(made) != crc:
+            raise ValueError("the prior of a segment of token ids is damaged")
+        found, k = [], 0
+        for _ in range(5):
+            n, packed = struct.unpack_from("<II", made, k)
+            k += 8 + packed
+            planes = np.frombuffer(zlib.decompress(made[k - packed : k]), np.uint8).reshape(4, n)
+            found.append(np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64))
+        return cls(np.cumsum(found[0]), *found[1:]), at + 8 + size
 
-    def event(self, ids, place):
-        self.c = self.at0 + place
-        return np.where(ids == self.id2, 0, np.where(ids == self.id1, 1, 3 - (self.cache[self.c] == ids))).astype(_U)
 
-    def update(self, ids, shift):
-        """shift is 16 times the event."""
-        fresh = ids << 2
-        self.table1[self.i1] = np.where(ids == self.id1, self.e1 + (self.t1 < 3), np.where(self.t1 > 0, self.e1 - 1, fresh))
-        self.table2[self.i2] = np.where(ids == self.id2, self.e2 + (self.t2 < 3), np.where(self.t2 > 0, self.e2 - 1, fresh))
-        self.cache[self.c] = ids
-        one = _U(1) << shift
-        self.count0 += one
-        self.count1[self.k1] = self.own1 + one
-        self.count2[self.k2] = self.own2 + one
-        self.before, self.last = self.last, ids
+class Model:
+    """What blocks have learned; what a step updates is seen by the next only."""
 
+    def __init__(self, lanes: int, start: int):
+        lane = np.arange(lanes, dtype=np.int32)
+        self.at2, self.at = lane << _BITS2, lane << 2
+        self.table = np.zeros(lanes << _BITS2, np.int32)
+        self.block, self.trusted = np.full(lanes, _FIRST[0]), np.tile(_FIRST, lanes)
+        self.last = self.before = np.full(lanes, start, np.int32)
 
-#: Bits that follow an event: none, none, a place in the cache, an id.
-_TAIL = np.array([0, 0, _BITS0, 16], _U)
+    def predict(self):
+        """Running sums, packed, of the mixed counts of: order 2 is right, order 1 has it, neither."""
+        self.place = self.at2 + (((self.last * 5) ^ (self.before * 3) ^ (self.last >> 5)) & ((1 << _BITS2) - 1))
+        self.entry = self.table[self.place]
+        self.foretold, self.trust = self.entry >> 2, self.entry & 3
+        self.k = self.at + self.trust
+        self.own = self.trusted[self.k]
+        return (self.block + (self.own << _U(2))) * _ONES
+
+    def update(self, ranks, hit, shift):
+        """shift is 16 times the event."""
+        kept = np.where(self.trust > 0, self.entry - 1, ranks << 2)
+        self.table[self.place] = np.where(hit, self.entry + (self.trust < 3), kept)
+        one = _U(1) << shift
+        self.block += one
+        self.trusted[self.k] = self.own + one
+        self.before, self.last = self.last, ranks
 
 
 class _Coder:
@@ -144,21 +218,22 @@ class _Reader(_Coder):
         self.pos[at] = pos + 1
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The words of each block; ids is a row of ids of equal number for each block."""
-    lanes, n = ids.shape
-    model, out, columns = Model(lanes), _Writer(lanes, n), np.ascontiguousarray(ids.T.astype(np.int32))
-    for x in columns:
-        sums, place = model.predict(), model.place(x)
-        event = model.event(x, place)
-        shift = event << _U(4)
-        start = ((sums << _U(16)) >> shift) & _FIELD
+def encode_blocks(ranks: np.ndarray, start: np.ndarray, share: np.ndarray, bits: np.ndarray, event: np.ndarray, first: int) -> list[bytes]:
+    """The words of each block, a row each: ranks, and where and how wide each lies in the order (event) that has it."""
+    lanes, n = ranks.shape
+    model, out = Model(lanes, first), _Writer(lanes, n)
+    columns = (np.ascontiguousarray(x.T) for x in (ranks.astype(np.int32), start.astype(np.uint32), share.astype(np.uint32), bits.astype(np.uint8), event.astype(np.uint8)))
+    for x, s, w, b, e in zip(*columns):
+        sums = model.predict()
+        hit = model.foretold == x
+        shift = np.where(hit, 0, e).astype(_U) << _U(4)
+        from_ = ((sums << _U(16)) >> shift) & _FIELD
         r = out.range // (sums >> _U(48))
-        rest = (r * (((sums >> shift) & _FIELD) - start)) >> _TAIL[event]
-        out.low += r * start + rest * np.where(event == 3, x, np.where(event == 2, place, 0)).view(np.uint32)
-        out.range = rest
+        rest = (r * (((sums >> shift) & _FIELD) - from_)) >> np.where(hit, 0, b).astype(_U)
+        out.low += r * from_ + rest * np.where(hit, 0, s)
+        out.range = rest * np.where(hit, 1, w)
         out.settle()
-        model.update(x, shift)
+        model.update(x, hit, shift)
     lane = np.arange(lanes)
     for k in (48, 32, 16, 0):
         out.words[lane, out.pos] = (out.low >> _U(k)) & _FIELD
@@ -166,32 +241,54 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     return [w[:p].astype("<u2").tobytes() for w, p in zip(out.words, out.pos)]
 
 
-def decode_blocks(words: list[bytes], n: int) -> np.ndarray:
-    """The first n ids of each block."""
+def _finder(starts: np.ndarray, total: int, skip: int):
+    """A function that gives the last place in starts that is no more than each target under total; skip low bits
+    of targets are looked at only where the others leave a choice."""
+    edges = np.searchsorted(starts, np.arange((total >> skip) + 2) << skip, "right") - 1
+    low, high = np.maximum(edges[:-1], 0).astype(np.int32), edges[1:].astype(np.int32)
+
+    def find(target):
+        cell = np.clip(target >> skip, 0, len(low) - 1)
+        found = low[cell].astype(np.int64)
+        open_ = np.flatnonzero(high[cell] > found)
+        if len(open_):
+            found[open_] = np.maximum(np.searchsorted(starts, target[open_], "right") - 1, 0)
+        return found
+
+    return find
+
+
+def decode_blocks(words: list[bytes], n: int, prior: Prior) -> np.ndarray:
+    """The first n ranks of each block."""
     sizes = np.array([len(w) // 2 for w in words])
-    source = _Reader(np.frombuffer(b"".join(words), "<u2"), np.cumsum(sizes) - sizes)
-    model, out = Model(len(words)), np.empty((n, len(words)), np.int32)
+    source = _Reader(np.frombuffer(b"".join(words), "<u2"), _starts(sizes))
+    model, out = Model(len(words), len(prior.ids)), np.empty((n, len(words)), np.int32)
+    bits = np.array([0, _BITS1, prior.bits], _U)
+    find1 = _finder((np.repeat(np.arange(len(prior.n)), prior.n) << _BITS1) + prior.start1, len(prior.n) << _BITS1, _BITS1 - 6)
+    find0 = _finder(prior.start, 1 << prior.bits, max(0, prior.bits - 18))
     for k in range(n):
         sums = model.predict()
         r = source.range // (sums >> _U(48))
         ahead = source.code - source.low
         at = ahead // r
-        event = (at >= (sums & _FIELD)).astype(_U) + (at >= ((sums >> _U(16)) & _FIELD)) + (at >= ((sums >> _U(32)) & _FIELD))
-        shift = event << _U(4)
-        start = ((sums << _U(16)) >> shift) & _FIELD
-        ahead -= r * start
-        rest = (r * (((sums >> shift) & _FIELD) - start)) >> _TAIL[event]
-        tail = np.where(event > 1, ahead // rest, 0)
-        source.low += r * start + rest * tail
-        source.range = rest
+        event = (at >= (sums & _FIELD)).view(np.uint8) + (at >= ((sums >> _U(16)) & _FIELD)).view(np.uint8)
+        shift = event.astype(_U) << _U(4)
+        from_ = ((sums << _U(16)) >> shift) & _FIELD
+        ahead -= r * from_
+        rest = (r * (((sums >> shift) & _FIELD) - from_)) >> bits[event]
+        x, start, share = model.foretold.copy(), np.zeros(len(at), _U), np.ones(len(at), _U)
+        one, none = np.flatnonzero(event == 1), np.flatnonzero(event > 1)
+        if len(one):
+            own = find1((model.last[one].astype(np.int64) << _BITS1) + (ahead[one] // rest[one]).view(np.int64))
+            x[one], start[one], share[one] = prior.after[own], prior.start1[own], prior.share1[own]
+        if len(none):
+            own = find0((ahead[none] // rest[none]).view(np.int64))
+            x[none], start[none], share[none] = own, prior.start[own], prior.share[own]
+        source.low += r * from_ + rest * start
+        source.range = rest * share
         source.settle()
-        tail = tail.astype(np.int32)
-        x = np.where(event == 0, model.id2, np.where(event == 1, model.id1, tail))
-        cached = np.flatnonzero(event == 2)
-        x[cached] = model.cache[model.at0[cached] + tail[cached]]
-        model.c = model.at0 + model.place(x)
         out[k] = x
-        model.update(x, shift)
+        model.update(x, event == 0, shift)
     return out.T
 
 
@@ -199,14 +296,22 @@ def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """A segment of documents (id, token ids)."""
     ids = np.concatenate([np.empty(0, np.int64), *(t for _, t in docs)])
     counts = [len(ids[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
-    rows = np.zeros((len(counts), BLOCK if len(counts) > 1 else max([1, *counts])), np.int64)
+    rows = np.full((len(counts), BLOCK if len(counts) > 1 else max([1, *counts])), ids[0] if len(ids) else 0, np.int64)
     rows.reshape(-1)[: len(ids)] = ids
-    words = [w for k in range(0, len(rows), LANES) for w in encode_blocks(rows[k : k + LANES])]
+    real = (np.arange(rows.size) < len(ids)).reshape(rows.shape)
+    prior, ranks, at = Prior.of(rows, real)
+    known = at >= 0
+    if not len(prior.after):
+        start, share = prior.start[ranks], prior.share[ranks]
+    else:
+        start, share = np.where(known, prior.start1[at], prior.start[ranks]), np.where(known, prior.share1[at], prior.share[ranks])
+    bits, event = np.where(known, _BITS1, prior.bits), np.where(known, 1, 2)
+    words = [w for k in range(0, len(rows), LANES) for w in encode_blocks(*(x[k : k + LANES] for x in (ranks, start, share, bits, event)), len(prior.ids))]
     sums = [zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
     index = np.array([(i or 0, i is None, len(t)) for i, t in docs], "<i8").reshape(-1, 3)
     directory = np.array([(c, len(w), s) for c, w, s in zip(counts, words, sums)], "<i8").reshape(-1, 3)
     head = struct.pack("<4sHIII", MAGIC, VERSION, len(docs), len(counts), rows.shape[1])
-    return b"".join([head, index.tobytes(), directory.tobytes(), *words])
+    return b"".join([head, index.tobytes(), directory.tobytes(), prior.pack(), *words])
 
 
 def unpack(segment: bytes) -> list[tuple[int | None, np.ndarray]]:
@@ -217,12 +322,12 @@ def unpack(segment: bytes) -> list[tuple[int | None, np.ndarray]]:
     at = struct.calcsize("<4sHIII")
     index = np.frombuffer(segment, "<i8", n_docs * 3, at).reshape(-1, 3)
     directory = np.frombuffer(segment, "<i8", n_blocks * 3, at := at + index.nbytes).reshape(-1, 3)
-    at += directory.nbytes
+    prior, at = Prior.unpack(segment, at + directory.nbytes)
     ends = at + np.cumsum(directory[:, 1])
     words = [segment[e - n : e] for e, n in zip(ends.tolist(), directory[:, 1].tolist())]
     found = []
     for k in range(0, n_blocks, LANES):
-        for row, (n, _, crc) in zip(decode_blocks(words[k : k + LANES], width), directory[k : k + LANES].tolist()):
+        for row, (n, _, crc) in zip(prior.ids[decode_blocks(words[k : k + LANES], width, prior)], directory[k : k + LANES].tolist()):
             own = row[:n].astype("<u4")
             if zlib.crc32(own.tobytes()) != crc:
                 raise ValueError("a block of token ids is damaged")
@@ -235,31 +340,84 @@ def unpack(segment: bytes) -> list[tuple[int | None, np.ndarray]]:
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each stretch without ASCII white space once.
 
-    For a tokenizer that drops white space, these stretches are independent: its
-    normalisation and its splitting never reach across white space.
+    For a tokenizer that drops white space these stretches are independent: its normalisation
+    and its splitting never reach across white space. That is tried on probes; a tokenizer that
+    fails any of them sees whole texts.
     """
 
-    MOST = 300_000
+    #: Stretches that are remembered; texts of stretches that are given to the library at once.
+    MOST, TOGETHER = 600_000, 256
+    #: Stands between stretches; those that have it themselves go one by one.
+    MARK = "\x01"
+    #: Marks after a letter of ASCII that are looked up apart, if probes show that the tokenizer cuts there.
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-
-    def encode(self, texts: list[bytes | None], end: int = END) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:  # what is used again is taken over from the older half
-            self.known, self.older = {}, self.known
-        known, older, split = self.known, self.older, [t.split() if t else [] for t in texts]
-        unseen = {w for ws in split for w in ws if w not in known}
-        known |= {w: older[w] for w in unseen if w in older}
-        new = [w for w in unseen if w not in known]
-        for k in range(0, len(new), 20_000):
-            own = new[k : k + 20_000]
-            for w, e in zip(own, self.tokenizer.encode_batch_fast([w.decode() for w in own], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        tail = np.array([end], "<u4").tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join([*map(get, ws), tail]), "<u4") for ws in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        probes = ["ab", "Ab1", "x,", "'s", "́e", "12", "é", "…", "日本", "_", "..", "<|"]
+        self.by_stretch = all(one(f"{space}{a}{space}{b}{space}") == one(a) + one(b) for a in probes for b in probes for space in (" ", "\n", "\t  "))
+        self.by_mark = self.by_stretch and all(one(f"{a}{m}") == one(a) + one(m) for a in ("ab", "Xyz", "it's", "1st", "éa") for m in self.MARKS)
+        mark = one(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.first, self.size, self.n = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
+
+    def _one_by_one(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[np.ndarray]:
+        if self.mark is None:
+            return self._one_by_one(words)
+        groups = [words[k : k + self.TOGETHER] for k in range(0, len(words), self.TOGETHER)]
+        out = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(group) - 1:
+                out += [ids[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
+            else:
+                out += self._one_by_one(group)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        made = self._new(words)
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        ids = np.concatenate([np.empty(0, np.uint32), *made])
+        self.known.update(zip(words, range(len(self.first), len(self.first) + len(words))))
+        self.first, self.size = np.r_[self.first, self.n + _starts(size)], np.r_[self.size, size]
+        if self.n + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids[: self.n], np.zeros(max(len(ids), self.n), np.uint32)]
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.n += len(ids)
+
+    def encode(self, texts: list[str | None] | pa.Array, end: int = END) -> list[np.ndarray]:
+        """The ids of each text, and the end id; null is an empty text."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        tail = np.array([end], np.uint32)
+        if not self.by_stretch:
+            return [np.r_[ids, tail] for ids in self._one_by_one(column.to_pylist())]
+        if len(self.known) > self.MOST:
+            self._forget()
+        if self.by_mark:
+            column = pc.replace_substring_regex(column, pattern=rf"([A-Za-z])([{self.MARKS}](?:[ \t-\r]|$))", replacement=r"\1 \2")
+        split = pc.ascii_split_whitespace(column)
+        seen = split.flatten().dictionary_encode()
+        words, known = seen.dictionary.to_pylist(), self.known
+        new = [w for w in words if w not in known]
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[seen.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[place]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.first[place] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.r_[0, ends][np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+        return [np.r_[flat[a:b], tail] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -268,8 +426,6 @@ _encoders: dict[str, Encoder] = {}
 def _encoder(path: str) -> Encoder:
     """One for each worker process: what it has seen serves its later tasks too."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -290,7 +446,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
             return pa.RecordBatch.from_arrays([*columns], ["part", "segment", "n_ids", "payload"])
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist(), end)):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1), end)):
                 held.append((doc, ids))
                 size += len(ids)
                 if size >= SEGMENT:
@@ -299,7 +455,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         if held:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(parts(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     ordered.select("doc_id", "text").mapInArrow(run, _SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
@@ -331,17 +487,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(starts, ["part", "segment"]).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if spark.sparkContext._jsc is not None:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, from files in the shared folder that go when the driver ends."""
     spark = docs.sparkSession
     path = f"{scratch(spark)}/ids-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return read(spark, path).drop("ids")

@@ -1,11 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become class symbols through a lexical transducer (a trie of stems and whole
-words). A clause's symbols then run through the composition of three transducers -
-reported speech, negation, target - which turns each insult or threat into an outcome
-that says in which of these contexts it stands. Only clauses that hold an insult or a
-threat are matched. The weight of each outcome is fitted on labelled rows, as are the
-insults; a text's score is the logistic of the weights of its matched clauses.
+words). A clause's symbols then run from the back through the transducer of targets of
+threats ("kill you"), and from the front through the composition of three transducers -
+reported speech, negation, target of insults ("you fool") - which turn each insult or
+threat into an outcome that says in which of these contexts it stands. Only clauses that
+hold an insult or a threat are matched, and a text's score is the logistic of the weights
+of its matched clauses: no word has a weight outside of its context.
+
+Insults and how much a plain one weighs are learned from labelled rows. So is what a
+context does to it, around the ratios of ``CONTEXT`` and within bounds: what is negated or
+reported never weighs as much as what is plain, and that no more than what has a target.
+Threats weigh by those ratios in the unit in which one occurrence reaches the threshold:
+one with a target reaches it, one plain, negated or reported word does not.
 
 Defined results: a null, empty or wordless text has no clauses and so the score of the
 bias; without any labelled rows the seed grammar is used as it stands; labels other than
@@ -24,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, small_batches
+from cartula.llm.common import checkpoint, fresh, small_batches
 
 #: Labelled rows that the grammar is fitted on, the first by a hash of the id: the bound of the sample.
 SAMPLE = 6000
@@ -42,10 +49,17 @@ TARGET = "you your youre yours they them du dich dir ihr euch sie tu toi vous us
 NEGATION = "not no never nobody isnt arent wasnt dont nicht kein keine niemals pas jamais aucun nunca jamás tampoco".split()
 REPORTED = "said says told quoted quote wrote claimed alleged called sagte schrieb behauptete dit disait écrit dijo escribió".split()
 
-#: Class symbols: insult, threat, target, negation, reported speech, other word, end of clause.
-I, T, Y, N, R, O, END = "ITYNRO."  # noqa: E741
+#: Class symbols: insult, threat, target, negation, reported speech, other word, end of clause; threat with a target after it.
+I, T, Y, N, R, O, END, AT = "ITYNRO.t"  # noqa: E741
 #: Words after a negation that it reaches; words between a target and what is said of it.
 REACH, NEAR = 3, 4
+#: What contexts make of a plain insult's weight, and threats of the weight that reaches the threshold by one occurrence.
+CONTEXT = {
+    "I": 1.0, "Iy": 1.15, "In": 0.3, "Iny": 0.35, "Ir": 0.35, "Iry": 0.4, "Irn": 0.15, "Irny": 0.2,
+    "T": 0.35, "Ty": 1.2, "Tn": 0.15, "Tny": 0.25, "Tr": 0.2, "Try": 0.45, "Trn": 0.1, "Trny": 0.15,
+}
+#: How far learned weights of contexts may be from these ratios.
+LEAN = 0.3
 
 _TOKENS = re.compile(r"[^\W\d_]+|[.;!?:\n]")
 _MATCHED = re.compile(r"[^.]*[IT][^.]*")
@@ -68,24 +82,45 @@ class Transducer:
 
         return Transducer(step)
 
+    def run(self, symbols):
+        state = 0
+        for symbol in symbols:
+            state, out = self.step(state, symbol)
+            yield out
 
-def _marked(cue: str, mark: str, reach: int) -> Transducer:
-    """Adds mark to insults and threats that follow a cue by reach symbols at most (0: to the clause's end)."""
+
+def _marked(cue: str, mark: str, reach: int, of: str) -> Transducer:
+    """Adds mark to symbols of those kinds that follow a cue by reach symbols at most (0: to the clause's end)."""
 
     def step(left, symbol):
         if symbol[0] == cue:
             return reach or -1, symbol
-        out = symbol + mark if left and symbol[0] in (I, T) else symbol
+        out = symbol + mark if left and symbol[0] in of else symbol
         return (left - 1 if left > 0 else left), out
 
     return Transducer(step)
 
 
-GRAMMAR = _marked(R, "r", 0) @ _marked(N, "n", REACH) @ _marked(Y, "y", NEAR)
+def _aimed() -> Transducer:
+    """Reads a clause from its end: threats that a target follows by NEAR symbols at most."""
+
+    def step(left, symbol):
+        out = AT if symbol == T and left else symbol
+        return (NEAR if symbol == Y else max(left - 1, 0)), out
+
+    return Transducer(step)
+
+
+AIMED = _aimed()
+GRAMMAR = _marked(R, "r", 0, I + T + AT) @ _marked(N, "n", REACH, I + T + AT) @ _marked(Y, "y", NEAR, I)
 #: What a matched word can come out as.
 OUTCOMES = [k + r + n + y for k in (I, T) for r in ("", "r") for n in ("", "n") for y in ("", "y")]
 
 
+def named(symbol: str) -> str:
+    return T + symbol[1:] + "y" if symbol[0] == AT else symbol
+
+
 class Compiled:
     """The grammar's composition as a table, filled as states are met."""
 
@@ -95,11 +130,13 @@ class Compiled:
 
     def outcomes(self, clause: str, counts: list[int]) -> None:
         state, table = 0, self.table
+        if T in clause:
+            clause = "".join(AIMED.run(reversed(clause)))[::-1]
         for symbol in clause:
             got = table.get((state, symbol))
             if got is None:
                 after, out = GRAMMAR.step(state, symbol)
-                got = table[state, symbol] = after, self.places.get(out)
+                got = table[state, symbol] = after, self.places.get(named(out))
             state = got[0]
             if got[1] is not None:
                 counts[got[1]] += 1
@@ -141,9 +178,12 @@ class Lexicon(dict):
 class Grammar:
     """Lexicon, bias and weights of the outcomes; plain data, so it travels as such."""
 
-    def __init__(self, words=INSULT, stems=(), bias=-3.0, weights=None):
+    def __init__(self, words=INSULT, stems=(), bias=-3.0, insults=None):
+        """insults: weights of the outcomes of insults; from the ratios if there are none."""
         self.words, self.stems, self.bias = list(words), list(stems), float(bias)
-        self.weights = list(weights) if weights is not None else [(2.5 if o[0] == I else 3.0) * (0.4 if "r" in o or "n" in o else 1.0) + ("y" in o) for o in OUTCOMES]
+        reaching = (np.log(THRESHOLD / (1 - THRESHOLD)) - self.bias) / np.log(2)
+        own = insults or {o: 1.1 * reaching * CONTEXT[o] for o in OUTCOMES if o[0] == I}
+        self.weights = [float(own[o] if o[0] == I else reaching * CONTEXT[o]) for o in OUTCOMES]
         self._lexicon = self._compiled = None
 
     def __getstate__(self):
@@ -265,32 +305,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     if not data or len({r["toxic"] for r in data}) < 2:
         return grammar
     y = np.array([r["toxic"] for r in data], float)
-    x = np.log1p(np.array([r["x"] for r in data], float))
+    x = np.log1p(np.array([r["x"] for r in data], float)[:, : len(OUTCOMES) // 2])  # the outcomes of insults come first
     bias, weights = _logistic(x, y)
     return Grammar(grammar.words, grammar.stems, bias, weights)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> tuple[float, list[float]]:
-    """Ridge logistic regression by Newton's method; weights are pulled to their mean, so that rare outcomes weigh like the others."""
-    n, k = x.shape
-    total = x.sum(axis=1, keepdims=True)
-    z = np.hstack([np.ones((n, 1)), total, x])
-    pull = np.diag([1e-3, ridge / 10] + [ridge * 10] * k)
-    w = np.zeros(k + 2)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> tuple[float, dict[str, float]]:
+    """Bias and weights of the insults' outcomes: ridge logistic regression by Newton's method, pulled to multiples of CONTEXT.
+
+    Rare outcomes stay at their ratio; none leaves it by more than LEAN, nor the order plain, targeted and negated or reported.
+    """
+    names = OUTCOMES[: x.shape[1]]
+    ratio = np.array([CONTEXT[o] for o in names])
+    z = np.hstack([np.ones((len(x), 1)), (x @ ratio)[:, None], x])
+    pull = np.diag([1e-3, ridge / 10] + [ridge * 10] * len(names))
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z.T * np.maximum(p * (1 - p), 1e-9)) @ z + pull, z.T @ (y - p) - pull @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), [float(w[1] + v) for v in w[2:]]
+    plain = max(0.0, float(w[1] + w[2 + names.index(I)]))
+    free = w[1] * ratio + w[2:]
+    bounds = {o: (plain * c * (1 - LEAN), plain * c * (1 + LEAN)) for o, c in zip(names, ratio)}
+    own = {o: float(np.clip(v, *bounds[o])) for o, v in zip(names, free)} | {I: plain}
+    own["Iy"] = max(own["Iy"], plain)
+    return float(w[0]), own
 
 
-def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """docs with score, a double from 0 to 1."""
+def scored(docs: DataFrame, grammar: Grammar, name: str = "score") -> DataFrame:
+    """docs with a column of that name, which docs don't have: a double from 0 to 1."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    name = "__score"
 
     def run(batches):
         for b in batches:
@@ -304,9 +351,10 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
     rows = scored(docs.select("doc_id", "text"), fit(docs, labels, sample))
-    return rows.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without those whose score reaches the threshold."""
-    return scored(docs, fit(docs, labels, sample)).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return scored(docs, fit(docs, labels, sample), score).where(F.col(score) < THRESHOLD).select(*docs.columns)

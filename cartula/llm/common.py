@@ -68,7 +68,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t._stored_at)
 
 
 def small_batches(spark: SparkSession) -> None:

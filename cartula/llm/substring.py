@@ -1,14 +1,20 @@
 """Substring deduplication by level-wise doubling.
 
-Level one looks at short windows: of each stretch of full-length windows only the least
-hashed short window within it (its minimiser), which two equal stretches share. Only
-stretches whose short window repeats in another document are extended to the next
-length, at most twice the last, until the full length is reached. A window is
-told by two 64-bit hashes of its words; the last level is the contract's window, as longer
-windows that repeat consist of it.
-
-A word is removed if a window that covers it also starts in a document with a smaller
-id. Windows are judged on the input. Defined results: a null text has no words; a text
+Windows of ``WINDOW`` words that two documents have are extended to windows of twice the
+length, those that still repeat to twice that, and so on, until no candidates survive. At
+each level the windows come in stretches: neighbours whose least hashed short window (half
+as long; ``FIRST`` words at the first level) is the same, which equal stretches share. Only
+stretches whose short window another document has are looked at; those that are equal as
+wholes are settled at once, by two 64-bit hashes of all their words, and the windows of the
+others are compared one by one, by two 64-bit hashes each. What survives a level is, in
+each document, runs of words all of whose windows repeat; of runs that are equal as wholes
+one goes on, as that of the others is as long as it gets.
+
+A word is removed if a window of ``WINDOW`` words that covers it also starts in a document
+with a smaller id; longer windows that repeat consist of such. ``longest`` is the length of
+the longest window, of all levels, that a document shares with one of a smaller id.
+
+Windows are judged on the input. Defined results: a null text has no words; a text
 shorter than the window keeps all; rows with a null id never are the smaller one and
 lose what any row with an id has; rows that repeat an id are the same document for that
 comparison and so don't remove each other's words; an empty table gives an empty result;
@@ -18,6 +24,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, small_batches
+from cartula.llm.common import checkpoint, collect_garbage, discard, small_batches, stored
 
-#: Words of a window, and of the windows of the first level.
+#: Words of a window, and of the short windows of the first level.
 WINDOW, FIRST = 13, 7
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,11 +47,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    words = text.split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def window_hashes(words: np.ndarray, length: int, factor: np.uint64 = _ODD) -> np.ndarray:
     """A hash of each run of so many words, by doubling: powers of two are joined as length says."""
     n = len(words) - length + 1
@@ -63,66 +65,123 @@ def window_hashes(words: np.ndarray, length: int, factor: np.uint64 = _ODD) -> n
     return out[:n]
 
 
-def least_within(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of so many hashes the place of the least, the last of equals."""
-    n = len(hashes) - width + 1
-    best, at = hashes[:n].copy(), np.arange(n)
-    for k in range(1, width):
-        other = hashes[k : k + n]
-        lower = other <= best
-        best[lower] = other[lower]
-        at[lower] = np.flatnonzero(lower) + k
-    return at
-
-
-def minimisers(words: np.ndarray, window: int = WINDOW, first: int = FIRST):
-    """key, from, to: the least short window of each stretch of windows that share it, windows from .. to (not included)."""
-    if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    short = window_hashes(words, first)
-    at = least_within(short, window - first + 1)
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return short[at[start]], start, np.r_[start[1:], len(at)]
-
-
-def stretches(words: np.ndarray, window: int = WINDOW):
-    """key, whole, from, to of each stretch; whole is a hash of all its words: its first and last windows cover them."""
-    keys, lo, hi = minimisers(words, window)
-    if not len(keys):
-        return keys, keys, lo, hi
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of so many."""
+    size = 1
+    while size * 2 <= width:
+        x, size = np.minimum(x[:-size], x[size:]), size * 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :])
+
+
+class Stretches:
+    """Stretches of the windows of many rows; words of all rows, and offsets of the rows in them.
+
+    Of each stretch: key, row, at (its first window, as a place in words) and span (its
+    windows); whole() hashes all its words: its first and last window cover them.
+    """
+
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, length: int, short: int):
+        self.words, self.length = words, length
+        n = np.maximum(np.diff(offsets) - length + 1, 0)
+        total = int(n.sum())
+        firsts = np.cumsum(n) - n
+        #: Windows that lie within their row, and its row.
+        self.window_row = np.repeat(np.arange(len(n)), n)
+        self.window = (offsets[:-1] - firsts)[self.window_row] + np.arange(total)
+        if not total:
+            self.key, self.row, self.at, self.span, self.lo = np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))
+            return
+        width = length - short + 1
+        least = sliding_least(window_hashes(words, short), width)[self.window]
+        start = np.r_[True, least[1:] != least[:-1]]
+        start[firsts[n > 0]] = True
+        runs = np.flatnonzero(start)
+        start |= (np.arange(total) - np.repeat(runs, np.diff(np.r_[runs, total]))) % width == 0
+        self.lo = np.flatnonzero(start)
+        self.key, self.row, self.at, self.span = least[self.lo], self.window_row[self.lo], self.window[self.lo], np.diff(np.r_[self.lo, total])
+
+    def whole(self, factor: np.uint64 = _ODD) -> np.ndarray:
+        h = window_hashes(self.words, self.length, factor)
+        with np.errstate(over="ignore"):
+            return _mixed(h[self.at] * factor + _mixed(h[self.at + self.span - 1] * _TWO + self.span.astype(np.uint64))) if len(self.at) else self.key
+
+    def windows_of(self, chosen: np.ndarray) -> np.ndarray:
+        """Which windows, as places in window, are of the chosen stretches (a mask)."""
+        return np.repeat(chosen, self.span)
+
+
+def _member(values: np.ndarray, rows: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Whether each value is in the list of its row."""
+    size = np.asarray(lists.value_lengths().fill_null(0))
+    given = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64)
+    if not len(given) or not len(values):
+        return np.zeros(len(values), bool)
     with np.errstate(over="ignore"):
-        h = window_hashes(words, window)
-        whole = _mixed(h[lo] * _ODD + _mixed(h[hi - 1] * _TWO + (hi - lo).astype(np.uint64)))
-    return keys, whole, lo, hi
+        own = _mixed(values + (rows + 1).astype(np.uint64) * _ODD)
+        asked = _mixed(given + (np.repeat(np.arange(len(size)), size) + 1).astype(np.uint64) * _ODD)
+    return np.isin(own, asked)
+
+
+def _list(batch: pa.RecordBatch, name: str) -> pa.ListArray:
+    return batch.column(name).cast(pa.list_(pa.int64()))
+
+
+def _split(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, and hashes and offsets of all."""
+    split = [t.split() if t else [] for t in texts]
+    offsets = np.r_[0, np.cumsum([len(w) for w in split], dtype=np.int64)]
+    return split, np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, offsets[-1]), offsets
+
+
+def _words(batch: pa.RecordBatch, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and offsets of the words of a batch's texts, or of its runs, which are hashes already."""
+    rows = batch.column("t").to_pylist()
+    if not hashed:
+        return _split(rows)[1:]
+    return np.frombuffer(b"".join(rows), np.uint64), np.r_[0, np.cumsum([len(r) // 8 for r in rows], dtype=np.int64)]
+
+
+def _signed(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c if c.dtype == np.int64 else c.view(np.int64)) for c in columns]
+
+
+def _keys(length: int, short: int, hashed: bool):
+    """key, id of each stretch."""
+
+    def run(batches):
+        for b in batches:
+            s = Stretches(*_words(b, hashed), length, short)
+            yield pa.RecordBatch.from_arrays(_signed(s.key, np.asarray(b.column("id"))[s.row]), ["key", "id"])
 
+    return run
 
-def _first_level(batches):
-    """key, whole and id of each document's stretches."""
-    for b in batches:
-        out = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))]
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            keys, whole, _, _ = stretches(word_hashes(text))
-            out.append((keys, whole, np.full(len(keys), doc, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], ["key", "whole", "id"])
 
+def _wholes(length: int, short: int, hashed: bool):
+    """key, whole, other (the two hashes of all words), id and rid of each stretch."""
 
-def _windows_of(words: np.ndarray, wanted: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and first hashes of the windows of the stretches wanted (by whole)."""
-    _, whole, lo, hi = stretches(words, length)
-    keep = np.isin(whole.view(np.int64), np.array(wanted, np.int64))
-    at = np.concatenate([np.empty(0, np.int64), *(np.arange(a, z) for a, z in zip(lo[keep], hi[keep]))])
-    return at, window_hashes(words, length)[at]
+    def run(batches):
+        for b in batches:
+            s = Stretches(*_words(b, hashed), length, short)
+            made = _signed(s.key, s.whole(), s.whole(_TWO), np.asarray(b.column("id"))[s.row], np.asarray(b.column("rid"))[s.row])
+            yield pa.RecordBatch.from_arrays(made, ["key", "whole", "other", "id", "rid"])
 
+    return run
 
-def _second_level(batches):
-    """id and the two hashes of each window of a document's wanted stretches."""
-    for b in batches:
-        out = [(np.empty(0, np.int64),) * 3]
-        for doc, text, wanted in zip(*(b.column(k).to_pylist() for k in range(3))):
-            words = word_hashes(text)
-            at, h1 = _windows_of(words, wanted, WINDOW)
-            out.append((np.full(len(at), doc, np.int64), h1.view(np.int64), window_hashes(words, WINDOW, _TWO)[at].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "h1", "h2"])
+
+def _windows(length: int, short: int, hashed: bool):
+    """id, rid and the two hashes of each window of a row's wanted stretches."""
+
+    def run(batches):
+        for b in batches:
+            words, offsets = _words(b, hashed)
+            s = Stretches(words, offsets, length, short)
+            chosen = s.windows_of(_member(s.whole(), s.row, _list(b, "wanted")))
+            at, row = s.window[chosen], s.window_row[chosen]
+            h1, h2 = window_hashes(words, length), window_hashes(words, length, _TWO)
+            made = _signed(np.asarray(b.column("id"))[row], np.asarray(b.column("rid"))[row], *((h1[at], h2[at]) if len(at) else (h1[:0], h2[:0])))
+            yield pa.RecordBatch.from_arrays(made, ["id", "rid", "h1", "h2"])
+
+    return run
 
 
 #: Stands for a null id: larger than any.
@@ -130,81 +189,162 @@ _LAST = (1 << 63) - 1
 
 
 def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the text), id and rid (which also tells rows without an id, or with the same, apart)."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), id_.alias("id"), F.xxhash64(id_, "text").alias("rid"))
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """id, whole, windows: for each id that loses words, the stretches that a smaller id has whole,
-    and the windows of other stretches that a smaller id has (by their hashes).
+def repeated(rows: DataFrame, length: int = WINDOW, short: int = FIRST, hashed: bool = False) -> DataFrame:
+    """rid and the hashes of what other documents have of its windows: whole stretches (``shared``; ``lost`` if a smaller id
+    has them) and single windows (``shared_w``, ``lost_w``).
 
     What repeats is found by partial sums (the least and the largest id of a hash), so a passage
     that any number of documents share is one row a task; the sums are written before they are
     joined back, so that the join can split a hot hash. Of equal stretches only the one of the
-    smallest id goes on to the next level.
+    smallest id is compared by windows. Stretches are cut twice from the texts rather than stored,
+    as they take more room than the texts.
     """
-    found = rows.select("id", "text").mapInArrow(_first_level, "key long, whole long, id long")
-    twice = checkpoint(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
-    alive = checkpoint(found.join(twice, "key"))
-    owners = checkpoint(alive.groupBy("key", "whole").agg(F.min("id").alias("owner")))
-    whole = alive.join(owners.drop("key"), "whole").where("id > owner").select("id", "whole")
-    whole = checkpoint(whole.groupBy("id").agg(F.collect_set("whole").alias("whole")))
-    unlike = owners.groupBy("key").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("n > 1 and lo < hi").select("key")
-    wanted = owners.join(unlike, "key").groupBy(F.col("owner").alias("id")).agg(F.collect_set("whole").alias("wanted"))
-    windows = checkpoint(rows.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_second_level, "id long, h1 long, h2 long"))
+    rows = rows.select("id", "rid", "t")
+    keys = rows.mapInArrow(_keys(length, short, hashed), "key long, id long")
+    twice = checkpoint(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
+    alive = stored(rows.mapInArrow(_wholes(length, short, hashed), "key long, whole long, other long, id long, rid long").join(twice, "key", "left_semi"))
+    collect_garbage(rows.sparkSession)
+    owners = stored(alive.groupBy("key", "whole", "other").agg(F.min("id").alias("owner"), F.max("id").alias("last")))
+    unlike = owners.groupBy("key").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("n > 1 and lo < hi")
+    unlike = checkpoint(unlike.select("key", F.lit(True).alias("unlike")))
+    judged = owners.join(unlike, "key", "left").where("unlike or owner < last").select("whole", "other", "owner", (F.col("owner") < F.col("last")).alias("both"), "unlike")
+    told = alive.drop("key").join(checkpoint(judged), ["whole", "other"])
+    of = lambda condition, name: F.collect_set(F.when(condition, F.col("whole"))).alias(name)
+    whole = told.groupBy("rid").agg(of(F.col("both"), "shared"), of(F.col("id") > F.col("owner"), "lost"), of(F.col("unlike") & (F.col("id") == F.col("owner")), "wanted"))
+    whole = stored(whole)
+    discard(alive, owners)
+    collect_garbage(rows.sparkSession)
+    wanted = whole.where(F.size("wanted") > 0).select("rid", "wanted")
+    windows = stored(rows.join(wanted, "rid").mapInArrow(_windows(length, short, hashed), "id long, rid long, h1 long, h2 long"))
     least = checkpoint(windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"))
-    part = windows.join(least, ["h1", "h2"]).where("id > lo").groupBy("id").agg(F.collect_set("h1").alias("windows"))
-    return checkpoint(whole.join(part, "id", "full"))
-
-
-def _covered(words: np.ndarray, whole, windows) -> np.ndarray:
-    """Whether each word is covered by a window that a smaller id has."""
-    _, own, lo, hi = stretches(words)
-    change = np.zeros(len(words) + 1, np.int64)
-    if whole:
-        gone = np.isin(own.view(np.int64), np.array(whole, np.int64))
-        np.add.at(change, lo[gone], 1)
-        np.add.at(change, hi[gone] + WINDOW - 1, -1)
-    if windows:
-        at = np.flatnonzero(np.isin(window_hashes(words, WINDOW).view(np.int64), np.array(windows, np.int64)))
-        np.add.at(change, at, 1)
-        np.add.at(change, at + WINDOW, -1)
+    part = windows.join(least, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("h1").alias("shared_w"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("h1"))).alias("lost_w"))
+    out = stored(whole.drop("wanted").join(part, "rid", "full"))
+    discard(whole, windows)
+    collect_garbage(rows.sparkSession)
+    return out
+
+
+def _covered(s: Stretches, batch: pa.RecordBatch, whole: str, windows: str) -> np.ndarray:
+    """Windows, as places in s.window, that are marked (a mask)."""
+    out = s.windows_of(_member(s.whole(), s.row, _list(batch, whole))) if len(s.row) else np.zeros(0, bool)
+    if len(s.window):
+        out |= _member(window_hashes(s.words, s.length)[s.window], s.window_row, _list(batch, windows))
+    return out
+
+
+def _spread(s: Stretches, windows: np.ndarray) -> np.ndarray:
+    """Words that the windows cover (a mask)."""
+    change = np.zeros(len(s.words) + 1, np.int64)
+    np.add.at(change, s.window[windows], 1)
+    np.add.at(change, s.window[windows] + s.length, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _kept(batches):
-    """doc_id, n_words, n_removed, kept_sha256 and the kept words of each row."""
-    for b in batches:
-        total, gone, kept = [], [], []
-        for text, whole, windows in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-            words = text.split() if text else []
-            own = words
-            if whole or windows:
-                own = [w for w, c in zip(words, _covered(word_hashes(text), whole, windows).tolist()) if not c]
-            total.append(len(words))
-            gone.append(len(words) - len(own))
-            kept.append(b" ".join(own))
-        out = [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by spaces) of each row."""
+def _runs(s: Stretches, windows: np.ndarray, n_rows: int) -> list[list[bytes]]:
+    """For each row the runs of words, of twice the length at least, all of whose windows are marked."""
+    out: list[list[bytes]] = [[] for _ in range(n_rows)]
+    at, row = s.window[windows], s.window_row[windows]
+    if len(at):
+        cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]), True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > s.length:
+                out[row[a]].append(s.words[at[a] : at[b - 1] + s.length].tobytes())
+    return out
+
+
+_KEPT = "doc_id long, id long, rid long, n_words long, n_removed long, kept_sha256 string, kept binary, lost boolean, runs array<binary>"
+
+
+def _kept(with_text: bool):
+    """What stays of each row, and the runs that go to the next level."""
+
+    def run(batches):
+        for b in batches:
+            split, words, offsets = _split(b.column("t").to_pylist())
+            s = Stretches(words, offsets, WINDOW, FIRST)
+            gone = _spread(s, _covered(s, b, "lost", "lost_w"))
+            removed = np.diff(np.r_[0, np.cumsum(gone)][offsets])
+            kept = [b" ".join(w if not n else compress(w, (~gone[x:y]).tolist())) for w, n, x, y in zip(split, removed.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())]
+            runs = _runs(s, _covered(s, b, "shared", "shared_w"), b.num_rows)
+            made = [pa.array(np.diff(offsets)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if with_text else [None] * len(kept), pa.binary())]
+            made += [pa.array(removed > 0), pa.array(runs, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "id", "rid")), *made], [c.split()[0] for c in _KEPT.split(", ")])
+
+    return run
+
+
+def _next_runs(length: int, short: int):
+    """id, rid, lost (whether a smaller id has any window), runs of each run."""
+
+    def run(batches):
+        for b in batches:
+            words, offsets = _words(b, True)
+            s = Stretches(words, offsets, length, short)
+            lost = np.zeros(b.num_rows, bool)
+            lost[s.window_row[_covered(s, b, "lost", "lost_w")]] = True
+            made = [pa.array(lost), pa.array(_runs(s, _covered(s, b, "shared", "shared_w"), b.num_rows), pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), *made], ["id", "rid", "lost", "runs"])
+
+    return run
+
+
+def longest(first: DataFrame, window: int = WINDOW) -> DataFrame:
+    """rid and longest, from the rows of the first level: the length of the longest window that a smaller id has too.
+
+    A run that a smaller id has as a whole is as long as it gets: only the run of the smallest
+    id goes on, to be held against other runs.
+    """
+    reached, length = first.where("lost").select("rid", F.lit(window).cast("long").alias("n")), window
+    level = first
+    while True:
+        runs = level.select("id", "rid", F.explode("runs").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("g", F.xxhash64(F.lit(1), "t"))
+        runs = stored(runs)
+        if runs.isEmpty():
+            break
+        own = checkpoint(runs.groupBy("h", "g").agg(F.min("id").alias("owner")))
+        told = runs.join(own, ["h", "g"])
+        doubled = F.pow(F.lit(2.0), F.floor(F.log2(F.octet_length("t") / F.lit(8.0 * window)) + 1e-9))
+        settled = told.where("id > owner").select("rid", (window * doubled).cast("long").alias("n"))
+        length, short = length * 2, length
+        rows = stored(told.where("id = owner").dropDuplicates(["h", "g"]).select("id", "rid", "t"))
+        marks = repeated(rows, length, short, hashed=True)
+        level = rows.join(marks, "rid").select("id", "rid", "t", "shared", "lost", "shared_w", "lost_w")
+        level = checkpoint(level.mapInArrow(_next_runs(length, short), "id long, rid long, lost boolean, runs array<binary>"))
+        discard(rows, marks)
+        reached = checkpoint(reached.unionByName(settled).unionByName(level.where("lost").select("rid", F.lit(length).cast("long").alias("n"))).groupBy("rid").agg(F.max("n").alias("n")))
+        discard(runs)
+    return reached.groupBy("rid").agg(F.max("n").alias("longest"))
+
+
+def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by spaces; null without text) and longest of each row."""
     rows = numbered(docs)
-    marked = rows.join(repeated(rows), "id", "left").select("doc_id", "text", "whole", "windows")
-    return marked.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    marked = rows.join(repeated(rows), "rid", "left").select("doc_id", "id", "rid", "t", "shared", "lost", "shared_w", "lost_w")
+    first = stored(marked.mapInArrow(_kept(with_text), _KEPT))
+    out = first.join(longest(first), "rid", "left")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup(docs).drop("kept")
+    return dedup(docs, with_text=False).drop("kept")
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
-f AS (SELECT k, min(doc_id) AS first FROM p GROUP BY k),
-c AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM (SELECT doc_id, i FROM p JOIN f USING (k) WHERE first < doc_id), range(0, 13) r(j) GROUP BY doc_id)
+l AS (SELECT 13 * (1 << k) AS n FROM range(0, (SELECT greatest(1, ceil(log2(greatest(max(len(w)), 13) / 13.0))::BIGINT + 1) FROM d)) t(k)),
+p AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, l WHERE len(w) >= n)),
+f AS (SELECT n, k, min(doc_id) AS first FROM p GROUP BY n, k),
+x AS (SELECT doc_id, i, n FROM p JOIN f USING (n, k) WHERE first < doc_id),
+c AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM x, range(0, 13) r(j) WHERE n = 13 GROUP BY doc_id),
+m AS (SELECT doc_id, max(n) AS longest FROM x GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id)
+  sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256,
+  coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """

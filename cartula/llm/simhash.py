@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, parts, small_batches
+from cartula.llm.common import checkpoint, fresh, parts, small_batches
 
 #: Words of a shingle, and differing bits of linked fingerprints, in the registered query.
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -258,8 +258,8 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """u > v: links between distinct fingerprints (column fp) that join what is within the radius."""
-    rows = distinct.select(F.explode(keys("fp", *bands(n, radius))).alias("k"), F.col("fp").alias("node"), "fp")
+    """u > v: links between the nodes of distinct fingerprints (node, fp) that join what is within the radius."""
+    rows = distinct.select(F.explode(keys("fp", *bands(n, radius))).alias("k"), "node", "fp")
     spread = _buckets(rows).repartition(parts(distinct.sparkSession), "k").sortWithinPartitions("k")
     return spread.mapInArrow(_compare(radius), "u long, v long").distinct()
 
@@ -284,16 +284,31 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def with_node(rows: DataFrame, key: str, first: str) -> tuple[DataFrame, int]:
+    """rows with node: their first id or, without one, a number from the key above all ids; and the largest id.
+
+    So the smallest node that a component reaches is its smallest id, and needs no further grouping by component.
+    """
+    top = rows.agg(F.max(first)).first()[0]
+    top = 0 if top is None else top
+    above = F.lit(top) + 1 + F.pmod(F.xxhash64(key), F.lit(max(1, (1 << 63) - 2 - top)))
+    return rows.withColumn("node", F.coalesce(first, above)), top
+
+
+def _named(nodes: DataFrame, found: DataFrame, top: int, key: str) -> DataFrame:
+    """__key and component_id of each of the nodes."""
+    found = found.withColumnRenamed("node", "__node")
+    root = F.coalesce("root", "node")
+    return checkpoint(nodes.join(found, nodes["node"] == found["__node"], "left").select(F.col(key).alias("__key"), F.when(root <= top, root).alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed long) and component_id of each row of docs."""
     prints = checkpoint(fingerprints(docs, shingle))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("fp"), nodes.count(), radius))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = checkpoint(named)
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = checkpoint(named.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id"))
-    return prints.join(of, prints["fp"] == of["__fp"]).drop("__fp")
+    nodes, top = with_node(checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))), "fp", "first")
+    found = components(links(nodes.select("fp", "node"), nodes.count(), radius))
+    of = _named(nodes, found, top, "fp")
+    return prints.join(of, prints["fp"] == of["__key"]).drop("__key")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -432,7 +447,7 @@ def proved(docs: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: flo
 
 
 def copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """doc_id, node and component_id of each row: groups of near copies by similarity of five-word shingles.
+    """doc_id, h (a hash of the text) and component_id of each row: groups of near copies by similarity of five-word shingles.
 
     Texts that share a band of least hashes meet in a bucket; their fingerprints are compared
     bit-sliced, and the sketches of what is within the radius are, with slack. Any link is
@@ -452,30 +467,30 @@ def copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), F.xxhash64("text").alias("h"), size)
     made = checkpoint(given.mapInArrow(run, schema))
-    prints = made.select("doc_id", "node")
+    prints = made.select("doc_id", F.col("node").alias("words"), "h")
     one = F.min(F.struct("h", "size"))
-    nodes = made.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"), one.alias("one"))
-    nodes = checkpoint(nodes.select("node", "first", "fp", "keys", "sketch", "one.h", "one.size"))
+    nodes = made.groupBy(F.col("node").alias("words")).agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"), one.alias("one"))
+    nodes, top = with_node(checkpoint(nodes.select("words", "first", "fp", "keys", "sketch", "one.h", "one.size")), "words", "first")
     rows = nodes.select(F.explode("keys").alias("k"), "node")
     shared = checkpoint(rows.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k"))
     met = _buckets(checkpoint(rows.join(shared, "k"))).join(nodes.select("node", "fp", "sketch"), "node").select("k", "node", "fp", "sketch")
     spread = met.repartition(parts(docs.sparkSession), "k").sortWithinPartitions("k")
     maybe = components(spread.mapInArrow(_compare(COPY_RADIUS, similarity - SLACK), "u long, v long").distinct())
-    found = components(proved(docs, nodes, maybe, similarity))
-    named = nodes.select(F.col("node").alias("__node"), "first").join(found, F.col("__node") == F.col("node"), "left").select("__node", "first", F.coalesce("root", "__node").alias("root"))
-    named = checkpoint(named)
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = checkpoint(named.join(smallest, "root").select("__node", "component_id"))
-    return prints.join(of, prints["node"] == of["__node"]).drop("__node")
+    of = _named(nodes, components(proved(docs, nodes, maybe, similarity)), top, "words")
+    return prints.join(of, prints["words"] == of["__key"]).select("doc_id", "h", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """docs without near copies: of each group the row of the smallest id stays, once; all columns.
 
-    Rows with a null id stay, those of equal texts once, unless their text is a copy of a row that has an id.
+    Of texts of one group that share the smallest id one stays. Rows with a null id stay, those of
+    equal texts once, unless their text is a copy of a row that has an id.
     """
+    id_, h = fresh(docs, "__id", "__h")
     last = F.lit((1 << 63) - 1)
-    groups = copies(docs, similarity)
-    stay = groups.where("doc_id = component_id or component_id is null").select(F.coalesce("doc_id", last).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("__h", F.xxhash64("text"))
-    return rows.join(stay, "__id", "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    groups = copies(docs.select("doc_id", "text"), similarity)
+    first = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("h"))
+    stay = first.unionByName(groups.where("component_id is null").select(last.alias("component_id"), "h").distinct())
+    stay = stay.select(F.col("component_id").alias(id_), F.col("h").alias(h))
+    rows = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), last)).withColumn(h, F.xxhash64("text"))
+    return rows.join(stay, [id_, h], "left_semi").dropDuplicates([id_, h]).select(*docs.columns)

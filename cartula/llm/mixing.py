@@ -17,14 +17,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, word_count
+from cartula.llm.common import checkpoint, fresh, word_count
 
 #: Share of all words that the mix has, and times that a document may be taken.
 SHARE, EPOCHS = 1.5, 2
 #: Source weights, repeating.
 WEIGHTS = (5, 2, 1)
-#: Rows that a window over one bucket of one source holds, about; bins of virtual time.
+#: Rows that a window over one bucket of one source holds, about; bins of a range of virtual times.
 BUCKET_ROWS, BINS = 20_000, 4096
+#: Copies of the last range of times that are sorted and read one by one, at most.
+SORTED = 10_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> DataFrame:
@@ -32,7 +34,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> Da
 
     With sources in order of how soon they are full (cap / weight), the level at which
     the rest share what is left rises until the first that is not full and falls after
-    it, so the final level is the largest. The windows run over one row a source.
+    it, so the final level is the largest. The windows run over one row a source, in one task:
+    ten million sources are about a gigabyte, which windows spill.
     """
     level = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
     before, rest = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(0, Window.unboundedFollowing)
@@ -53,10 +56,10 @@ def timed(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> tuple
     """docs' doc_id, source, size, source_size, target and first (virtual finish time of the
     first copy; each further one comes source_size / target later), and the time of the cut.
 
-    The order within a source is by the MD5 of the id. Sums run over (source, bucket) first,
+    The order within a source is by the MD5 of the id, or of the text if that is null. Sums run over (source, bucket) first,
     then over the rows of a bucket, so that a source of any size is spread over many tasks.
     """
-    slim = docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    slim = docs.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")).alias("h"))
     slim = checkpoint(slim)
     sources = checkpoint(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, share, epochs))
     most = sources.agg(F.max("n_rows")).first()[0] or 0
@@ -84,24 +87,35 @@ def copies(rows: DataFrame, epochs: int) -> DataFrame:
 def cut(rows: DataFrame, epochs: int) -> float:
     """The last virtual time at which what is sent so far is within the budget.
 
-    The bins of a histogram say in which narrow range of times the budget ends; only
-    the copies of that range are sorted.
+    The bins of a histogram say in which range of times the budget ends; that range gets bins
+    of its own, and so on, until few copies are left to sort or their times can't be told apart.
     """
-    sent = copies(rows, epochs).withColumn("bin", F.floor(F.col("v") * BINS))
-    bins = sent.groupBy("bin").agg(F.sum("size").alias("s"), F.max("budget").alias("budget"), F.max("v").alias("last"))
-    so_far = bins.withColumn("c", F.sum("s").over(Window.orderBy("bin")))
-    found = so_far.agg(
-        F.max(F.when(F.col("c") <= F.col("budget"), F.col("last"))).alias("whole"),
-        F.max(F.when(F.col("c") <= F.col("budget"), F.col("c"))).alias("spent"),
-        F.min(F.when(F.col("c") > F.col("budget"), F.col("bin"))).alias("bin"),
-    ).first()
-    whole = found["whole"] if found["whole"] is not None else -1.0
-    if found["bin"] is None:
-        return float(whole)
-    within = sent.where(F.col("bin") == found["bin"]).groupBy("v").agg(F.sum("size").alias("s"), F.max("budget").alias("budget"))
-    c = within.withColumn("c", F.sum("s").over(Window.orderBy("v")) + (found["spent"] or 0))
-    last = c.agg(F.max(F.when(F.col("c") <= F.col("budget"), F.col("v")))).first()[0]
-    return float(whole if last is None else max(last, whole))
+    sent = copies(rows, epochs)
+    budget, low, high = (sent.agg(F.max("budget"), F.min("v"), F.max("v")).first() or (None, None, None))
+    if budget is None:
+        return -1.0
+    spent, last = 0, -1.0  # what is sent before low, and when the last of it is
+    while True:
+        width = (high - low) / BINS
+        inside = sent.where((F.col("v") >= low) & (F.col("v") <= high))
+        exact = not width > 0 or low + width == low
+        at = F.col("v") if exact else F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
+        bins = inside.groupBy(at.alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        over = None
+        for b in bins.orderBy("bin").toLocalIterator():
+            if spent + b["s"] > budget:
+                over = b
+                break
+            spent, last = spent + b["s"], b["last"]
+        if over is None or exact or over["first"] == over["last"]:
+            return float(last)
+        low, high = over["first"], over["last"]
+        if over["n"] <= SORTED:
+            for r in sent.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.sum("size").alias("s")).orderBy("v").collect():
+                if spent + r["s"] > budget:
+                    break
+                spent, last = spent + r["s"], r["v"]
+            return float(last)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> DataFrame:
@@ -117,15 +131,16 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS
 
     Repeated ids share their decision: the most copies that any of them got.
     """
-    chosen = mix(docs, weights, share, epochs).where("n_copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_copies").alias("__n"))
-    out = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    id_, n, k = fresh(docs, "__id", "__n", "__k")
+    chosen = mix(docs.select("doc_id", "text", "source"), weights, share, epochs).where("n_copies > 0").groupBy(F.col("doc_id").alias(id_)).agg(F.max("n_copies").alias(n))
+    out = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(id_)))
+    return out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rank % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.llm.common import small_batches
+from cartula.llm.common import checkpoint, fresh, small_batches
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 13
@@ -205,38 +205,43 @@ def _pass(shared, text_at: str, state_at: str):
     return run
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words: int = AUTOMATON_WORDS) -> DataFrame:
-    """docs with __match: number of words, hit stretches (from, to, from, to ...) and items, one row a row.
+def matched(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, words: int = AUTOMATON_WORDS) -> DataFrame:
+    """docs with a column of that name: number of words, hit stretches (from, to, from, to ...) and items, one row a row.
 
-    Each automaton is one more pass over the rows, in place: nothing is shuffled.
+    Each automaton is one more pass over the rows, in place: nothing is shuffled. Before a further
+    one is sent out, the rows so far are checkpointed and the last one is taken back, so that one
+    is alive at a time, whatever the size of the benchmark.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.withColumn("__text", F.col("text").cast("binary")).withColumn("__match", F.lit(None).cast(_STATE_SQL))
-    schema = out.schema
-    some = False
+    (text,) = fresh(docs, "__text")
+    rows = docs.withColumn(text, F.col("text").cast("binary")).withColumn(name, F.lit(None).cast(_STATE_SQL))
+    out, shared = rows, None
     for automaton in automata(benchmark, window, words):
-        some = True
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(automaton), "__text", "__match"), schema)
-    if not some:
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(None), "__text", "__match"), schema)
-    return out.drop("__text")
-
-
-def _hits() -> F.Column:
-    spans = F.col("__match.spans")
+        if shared is not None:
+            out = checkpoint(out)
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(automaton)
+        out = out.mapInArrow(_pass(shared, text, name), rows.schema)
+    if shared is None:
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(None), text, name), rows.schema)
+    return out.drop(text)
+
+
+def _hits(match: str) -> F.Column:
+    spans = F.col(match)["spans"]
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x).cast("long")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
-    rows = matched(docs.select("doc_id", "text"), benchmark, window, words).withColumn("n_hit", _hits()).withColumn("n_words", F.col("__match.n"))
+    rows = matched(docs.select("doc_id", "text"), benchmark, "match", window, words).withColumn("n_hit", _hits("match")).withColumn("n_words", F.col("match.n"))
     return rows.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("__match.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__match.items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.size("match.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("match.items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
@@ -256,22 +261,26 @@ def _cut(text: str, spans: list[int]) -> str:
     return b"".join([*kept, raw[last:]]).decode()
 
 
-def _cutter(batches):
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        out = []
-        for text, match in zip(batch.column("text").to_pylist(), batch.column("__match").to_pylist()):
-            out.append(_cut(text, match["spans"]) if text and match["spans"] else text)
-        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+def _cutter(match: str):
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(match).to_pylist()):
+                out.append(_cut(text, found["spans"]) if text and found["spans"] else text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", window: int = WINDOW, words: int = AUTOMATON_WORDS) -> DataFrame:
     """docs without contaminated rows (mode ``drop``), or with the hit words cut from all texts (``cut``)."""
-    rows = matched(docs, benchmark, window, words)
+    (match,) = fresh(docs, "__match")
+    rows = matched(docs, benchmark, match, window, words)
     if mode == "cut":
-        return rows.mapInArrow(_cutter, rows.schema).select(*docs.columns)
-    hit = _hits()
-    return rows.where(~((hit > 0) & (ONE_IN * hit >= F.col("__match.n")))).select(*docs.columns)
+        return rows.mapInArrow(_cutter(match), rows.schema).select(*docs.columns)
+    hit = _hits(match)
+    return rows.where(~((hit > 0) & (ONE_IN * hit >= F.col(match)["n"]))).select(*docs.columns)
 
 
 _SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""

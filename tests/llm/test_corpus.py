@@ -59,12 +59,49 @@ def test_grammar_composes():
     names = lambda text: {o: c for o, c in zip(toxicity.OUTCOMES, g.features(text)) if c}
     assert names("You are an idiot") == {"Iy": 1}
     assert names("not an idiot. idiot") == {"In": 1, "I": 1}
-    assert names("she said you idiot, loweischaft") == {"Iry": 1, "Ir": 1} or names("she said you idiot, loweischaft") == {"Iry": 2}
-    assert names("i will kill you") == {"T": 1}
+    assert names("she said you idiot, loweischaft") == {"Iry": 2}
+    assert names("i will kill you") == {"Ty": 1} and names("you kill time") == {"T": 1}
     assert names("") == names(None) == names("plain words") == {}
     assert 0 <= g.score("") < 0.5 < g.score("you idiot, you moron")
 
 
+def plain_outcomes(text, stems=()):
+    """Outcomes by looking around each word of each clause."""
+    out = {}
+    for clause in re.split(r"[.;!?:\n]", text.lower()):
+        w = re.findall(r"[^\W\d_]+", clause)
+        for i, x in enumerate(w):
+            kind = "T" if x in toxicity.THREAT else "I" if x in toxicity.INSULT or any(x.startswith(s) for s in stems) else ""
+            if kind:
+                near = w[max(0, i - 4) : i] if kind == "I" else w[i + 1 : i + 5]
+                marks = ("r" * any(v in toxicity.REPORTED for v in w[:i])) + ("n" * any(v in toxicity.NEGATION for v in w[max(0, i - 3) : i])) + ("y" * any(v in toxicity.TARGET for v in near))
+                out[kind + marks] = out.get(kind + marks, 0) + 1
+    return out
+
+
+def test_grammar_against_plain_matching():
+    rng, g = random.Random(11), toxicity.Grammar(stems=["zquu"])
+    some = ["you", "not", "said", "kill", "idiot", "burn", "zquuta", "the", "cat", "Scum", "niemals", "usted", ".", "!", "\n", ", ", "they", "x1y"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["you idiot " * 20_000]
+    for t in texts:
+        assert {o: c for o, c in zip(toxicity.OUTCOMES, g.features(t)) if c} == plain_outcomes(t, ["zquu"])
+
+
+def test_contexts_decide():
+    rng = np.random.default_rng(5)
+    y = (rng.random(3000) < 0.1).astype(float)
+    x = np.zeros((3000, 8))
+    x[:, 0], x[:, 1] = np.log1p(y * rng.integers(0, 4, 3000)), np.log1p(y * rng.integers(0, 2, 3000))
+    x[:, 2] = np.log1p(rng.integers(0, 2, 3000))  # negated insults stand anywhere
+    learned = toxicity.Grammar(["idiot"], [], *toxicity._logistic(x, y))
+    for g in (toxicity.Grammar(), learned):
+        plain, aimed = g.score("an idiot"), g.score("you idiot")
+        assert g.score("not an idiot") < plain <= aimed and g.score("she said he was an idiot") < plain
+        assert g.score("she said he was not an idiot") < 0.7 <= plain
+        assert max(map(g.score, ["kill", "they destroy old files and burn a cd", "we never kill you", "he said i will kill you"])) < 0.7 <= g.score("i will kill you")
+        assert g.score("the word idiot. " * 3) > plain and g.score("nothing here") < 0.3
+
+
 def test_toxicity_learns(spark, empty):
     rng = random.Random(1)
     data, labels = [], []
@@ -100,6 +137,22 @@ def test_coder_round_trip():
     with pytest.raises(ValueError):
         idcoder.unpack(bytes(broken))
     assert idcoder.unpack(idcoder.pack([])) == []
+    for ids in (rng.integers(0, 1 << 32, 30_000, dtype=np.uint32), np.array([4294967295, 0, 65536], "<u4"), np.repeat(rng.integers(0, 9, 5000), 3).astype("<u4")):
+        assert all(np.array_equal(a, ids) for _, a in idcoder.unpack(idcoder.pack([(7, ids)])))
+    damaged = bytearray(packed)
+    damaged[18 + 24 * 4 + 24 * 9 + 20] ^= 255  # behind head, index and directory stands the prior
+    with pytest.raises(ValueError):
+        idcoder.unpack(bytes(damaged))
+
+
+def test_ids_cost_few_bits():
+    """Ids of running text take fewer bits than their static order-0 entropy, whose table is not even counted."""
+    public = pytest.importorskip("public_tokenizers")
+    table = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    ids = np.concatenate(idcoder.Encoder(str(public.path("word_bpe_49k.json"))).encode(table.column("text").combine_chunks()))
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    assert 8 * len(idcoder.pack([(1, ids)])) / len(ids) < min(8.0, entropy)
 
 
 def test_ids_equal_the_library(docs, empty):
@@ -128,15 +181,93 @@ def test_curve_moves_one_step():
     assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for (_, p), (_, q) in zip(cells, cells[1:]))
 
 
-def test_shards(docs, empty):
-    got = hilbert.shard(docs, 8).collect()
-    sizes = [sum(r["shard"] == s for r in got) for s in range(8)]
-    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(corpus())
-    for s in range(8):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
-    want = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus())
-    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+def plain_shards(data, shards=8, bits=4):
+    """(doc_id, size, crc, shard, slot) of rows (doc_id, text, lang, source, ...), by sorting lists."""
+    import math
+
+    rows = [(i, (t or "").encode(), lang, source) for i, t, lang, source, *_ in data]
+
+    def cells(values):
+        order = sorted(set(values), key=lambda v: (v is not None, v))
+        before, out = 0, {}
+        for v in order:
+            n = values.count(v)
+            out[v] = int((1 << bits) * (before + n / 2) / len(values))
+            before += n
+        return out
+
+    scale = [math.floor(4 * math.log2(len(t) + 1)) for _, t, _, _ in rows]
+    x, y, z = cells([r[3] for r in rows]), cells([r[2] for r in rows]), cells(scale)
+    first: dict = {}
+    for (_, t, lang, source), s in zip(rows, scale):
+        place = hilbert.curve_index([x[source], y[lang], z[s]], bits)
+        first[t] = min(first.get(t, place), place)
+    signed = lambda t: (v := xxhash.xxh64_intdigest(t, seed=42)) - (v >> 63 << 64)
+    low = lambda v: (v is not None, v if v is not None else 0)
+    ordered = sorted(rows, key=lambda r: (first[r[1]], signed(r[1]), zlib.crc32(r[1]), len(r[1]), low(r[0]), (r[3] is not None, r[3] or ""), (r[2] is not None, r[2] or "")))
+    total = sum(len(r[1]) + 1 for r in rows)
+    share = total / shards
+    out, slots, before, k = [], [0] * shards, 0, 0
+    while k < len(ordered):
+        group = [r for r in ordered[k:] if r[1] == ordered[k][1]]
+        size = len(group[0][1]) + 1
+        for n, r in enumerate(group):
+            middle = before + (len(group) * size / 2 if len(group) * size <= share else (n + 0.5) * size)
+            s = min(int(middle / share), shards - 1)
+            out.append((r[0], size, zlib.crc32(r[1]), s, slots[s]))
+            slots[s] += 1
+        before += len(group) * size
+        k += len(group)
+    return out
+
+
+@pytest.mark.parametrize("more", [[], [(500 + k, "one text that is most of all " * 400, "de", f"s{k % 5}", 0, "", 0) for k in range(60)]])
+def test_shards(spark, docs, empty, more):
+    data = corpus() + more
+    table = spark.createDataFrame(data, DOCS).withColumnRenamed("fp", "__rank").withColumnRenamed("h", "shard") if more else docs
+    got = rows(hilbert.shard(table, 8), "doc_id", "size", "text_crc32", "shard", "slot")
+    want = plain_shards(data)
+    # Rows that repeat are alike: which of them has which slot is open.
+    assert sorted((r[3], r[4], r[1], r[2]) for r in got) == sorted((r[3], r[4], r[1], r[2]) for r in want)
+    assert sorted(map(repr, ((r[0], r[3]) for r in got))) == sorted(map(repr, ((r[0], r[3]) for r in want)))
+    sizes = [sum(r[1] for r in got if r[3] == s) for s in range(8)]
+    groups: dict = {}
+    for r in got:
+        groups.setdefault((r[1], r[2]), []).append(r[3])
+    small = {k: v for k, v in groups.items() if len(v) * k[0] <= sum(sizes) / 8}
+    assert all(len(set(v)) == 1 for v in small.values())
     assert hilbert.shard(empty).count() == 0
+    whole = hilbert.sharded(table, 8)
+    assert set(whole.columns) == {c for c in table.columns if c != "shard"} | {"size", "text_crc32", "law", "shard", "slot"}
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["shard"]) for r in whole.collect()))) == sorted(repr((i, t, s)) for (i, t, *_), s in zip(sorted(data, key=_row), [r[3] for r in sorted(zip_shards(data, want), key=lambda x: _row(x[4]))])) or more
+
+
+def _row(r):
+    return (r[0] is not None, r[0] or 0, r[1] or "")
+
+
+def zip_shards(data, want):
+    by = {}
+    for r in want:
+        by.setdefault((r[0], r[1], r[2]), []).append(r)
+    return [(*by[d[0], len((d[1] or "").encode()) + 1, zlib.crc32((d[1] or "").encode())].pop()[:4], d) for d in data]
+
+
+def test_runs_of_the_curve_prune(spark):
+    """Of 64 runs a filter on a source or a language meets few; of rows in order of their ids nearly all."""
+    rng = random.Random(3)
+    data = [(i, f"{i} " + "x" * int(10 ** rng.uniform(1, 4)), rng.choice(["de", "en", "es", "fr"]), f"host{rng.randrange(40):02d}", None, None, None) for i in range(4000)]
+    placed = {r["doc_id"]: (r["shard"], r["slot"]) for r in hilbert.shard(spark.createDataFrame(data, DOCS), 8).collect()}
+
+    def touched(order, column):
+        runs = [order[k * len(order) // 64 : (k + 1) * len(order) // 64] for k in range(64)]
+        spans = [(min(r[column] for r in run), max(r[column] for r in run)) for run in runs]
+        values = {r[column] for r in order}
+        return sum(lo <= v <= hi for v in values for lo, hi in spans) / (64 * len(values))
+
+    curve = sorted(data, key=lambda r: placed[r[0]])
+    assert touched(data, 3) > 0.9 and touched(data, 2) > 0.9
+    assert touched(curve, 3) < 0.35 and touched(curve, 2) < 0.6
 
 
 # 4 ---------------------------------------------------------------------------------------------
@@ -270,16 +401,42 @@ def test_substrings(docs, empty):
         words[i] = (t or "").encode().split()
         for p in range(len(words[i]) - 12):
             first.setdefault(tuple(words[i][p : p + 13]), i)
+    longest = plain_longest([(i, words[i]) for i in sorted(words)])
     want = []
     for i, *_ in corpus():
         w = words[i]
         gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
-        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
-    got = rows(substring.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
-    assert got == sorted(want, key=repr) and sum(r[2] for r in got) > 100
+        want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest(), longest[i]))
+    got = rows(substring.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256", "longest")
+    assert got == sorted(want, key=repr) and sum(r[2] for r in got) > 100 and {r[4] for r in got} >= {0, 13, 26}
     assert substring.digest(empty).count() == 0
 
 
+def plain_longest(docs):
+    """For each id the longest window of 13, 26, 52 ... words that a smaller id has too."""
+    out, n = {i: 0 for i, _ in docs}, 13
+    while n <= max((len(w) for _, w in docs), default=0):
+        first: dict = {}
+        for i, w in docs:
+            for p in range(len(w) - n + 1):
+                if first.setdefault(tuple(w[p : p + n]), i) < i:
+                    out[i] = n
+        n *= 2
+    return out
+
+
+def test_levels_double_until_nothing_survives(spark):
+    rng = random.Random(51)
+    fresh = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    a, b, c = fresh(900), fresh(55), fresh(30)
+    texts = [fresh(20) + a, a[:300] + fresh(9), fresh(5) + a[100:], b + fresh(3), fresh(30) + b + c, c + b, a[:12] + fresh(40), ["x"] * 200, ["x"] * 90 + fresh(4), c[3:29] + ["y"] * 30, ["y"] * 25, fresh(7) + c[:16] + fresh(7)]
+    data = [(7 * k, " ".join(t)) for k, t in enumerate(texts)] + [(300, texts[4] and " ".join(texts[4])), (None, " ".join(a)), (None, " ".join(a))]
+    table = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], DOCS)
+    want = plain_longest([(1 << 60 if i is None else i, t.split()) for i, t in data])
+    got = rows(substring.digest(table), "doc_id", "longest")
+    assert got == sorted(((i, want[1 << 60 if i is None else i]) for i, _ in data), key=repr) and max(n for _, n in got) == 832
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
@@ -340,18 +497,21 @@ def test_best_branch_of_a_tree(spark):
 # 8 ---------------------------------------------------------------------------------------------
 
 
-def edit(a, b):
-    d = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, d[0] = d[0], i
-        for j, y in enumerate(b, 1):
-            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
-    return d[-1]
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    a, b = sorted((a, b), key=len)
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k:] == b[k + 1 :]
 
 
 def test_lines(spark, docs, empty):
     extra = [(900, "a b c d e\na b c X e\nb c d e\na b c d e f\nq\nr\n\n"), (901, "a b c d e f\nz b c d e f g\nx a b c d e\nq")]
-    data = [r for r in corpus(40) if r[1] is None or len(r[1]) < 5000] + [(i, t, None, None, None, None, None) for i, t in extra]
+    long = [f"p{k}" for k in range(20_000)]
+    extra += [(902, " ".join(long)), (903, " ".join(long[:9000] + ["other"] + long[9001:])), (904, " ".join(long[:15_000] + ["more"] + long[15_000:])), (905, " ".join(long[:3] + long[5:]))]
+    data = corpus(40) + [(i, t, None, None, None, None, None) for i, t in extra]
     table = spark.createDataFrame(data, DOCS)
     seen: dict = {}
     for i, t, *_ in data:
@@ -360,7 +520,7 @@ def test_lines(spark, docs, empty):
             if w:
                 seen[w] = min(seen.get(w, (i, k)), (i, k))
     order = sorted(seen, key=seen.get)
-    near = {w for n, w in enumerate(order) if any(max(len(w), len(v)) >= 5 and abs(len(w) - len(v)) <= 1 and edit(w, v) <= 1 for v in order[:n])}
+    near = {w for n, w in enumerate(order) if any(max(len(w), len(v)) >= 5 and one_edit(w, v) for v in order[:n])}
     want = set()
     for i, t, *_ in data:
         own = [(k, tuple(x.split())) for k, x in enumerate(t.split("\n") if t is not None else [])]
@@ -450,6 +610,84 @@ def test_contamination(spark, docs, empty, limit):
     assert decontam.report(cut, bench).where("n_hit > 12").count() <= 3
 
 
+# Columns of any name ---------------------------------------------------------------------------
+
+NAMES = ["__score", "score", "__text", "__match", "match", "__id", "__h", "h", "__n", "__k", "__gone", "gone", "shard", "slot", "__rank", "__total", "row", "fp", "node", "size"]
+
+
+def test_clashing_names(spark):
+    """Operators that give documents back keep all columns as they were, whatever they are called."""
+    data = [(i, f"some words that stand here {i} and there {i % 3} you\nand another line {i % 2}", "en", f"s{i % 2}", i, *[f"{n}{i}" for n in NAMES]) for i in range(12)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    by_id = {r[0]: r for r in data}
+    for made in (toxicity.reject(table, labels), simhash.one_of_each(table), decontam.clean(table, bench), decontam.clean(table, bench, "cut"), mixing.mixed_documents(table), linedup.dedup(table)):
+        assert made.columns == table.columns
+        got = [tuple(r) for r in made.collect()]
+        assert got and all(r[2:] == by_id[r[0]][2:] for r in got)
+    whole = hilbert.sharded(table)
+    assert all(r["__score"] == f"__score{r['doc_id']}" and r["row"] == f"row{r['doc_id']}" for r in whole.collect())
+    for few in (substring.digest(table), simhash.digest(table), decontam.report(table, bench), mixing.mix(table), linedup.digest(table), toxicity.report(table, labels), hilbert.shard(table)):
+        assert few.count() == 12
+
+
+def test_hot_ids_and_long_vectors(spark):
+    """A third of all rows without an id; one vector of many dimensions; repeated ids with different texts."""
+    data = [(i if i % 3 else None, f"text {i} " + "word " * (i % 7), None, "a", None, None, None) for i in range(90)] + [(7, "other", None, None, None, None, None)]
+    table = spark.createDataFrame(data, DOCS)
+    assert mixing.mix(table).count() == len(data) and rows(mixing.mix(table), "doc_id", "taken") == rows(mixing.mix(table.repartition(7)), "doc_id", "taken")
+    kept = simhash.one_of_each(spark.createDataFrame([(1, "a b c d e f g", None, None, None, None, None), (2, "a b c d e f g", None, None, None, None, None), (2, "q w e r t z u", None, None, None, None, None)], DOCS))
+    assert rows(kept, "doc_id", "text") == [(1, "a b c d e f g"), (2, "q w e r t z u")]  # a kept id doesn't save a copy
+    rng = np.random.default_rng(8)
+    wide = [(i, [float(x) for x in rng.normal(size=3000)], 0) for i in (0, 1, 2, 50)]
+    got = ann.digest(spark.createDataFrame(wide, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 6
+    for r in got:
+        a, b = (np.array(next(v for i, v, _ in wide if i == r[c])) for c in ("query_id", "vec_id"))
+        assert abs(r["score"] - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+
+
+def test_query_blocks_of_vectors(spark):
+    rng = np.random.default_rng(9)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)], "vec_id long, v array<double>")
+    one, many = ann.search(table, table), ann.search(table, table, query_bytes=1000)
+    assert rows(one, "query_id", "rank", "vec_id") == rows(many, "query_id", "rank", "vec_id") and one.count() == 1000
+
+
+def plain_best_path(nodes):
+    """Per root the path to the leaf with the largest sum of scores on the way, then the smallest name."""
+    parent, score = {n: p for n, p, _ in nodes}, {n: s for n, _, s in nodes}
+    best: dict = {}
+    for leaf in set(parent) - {p for p in parent.values() if p in parent}:
+        path = [leaf]
+        while parent[path[-1]] in parent and len(path) <= len(nodes):
+            path.append(parent[path[-1]])
+        if len(path) <= len(nodes):
+            own = (-sum(score[n] for n in path), leaf)
+            if path[-1] not in best or own < best[path[-1]][0]:
+                best[path[-1]] = own, path[::-1]
+    return {root: path for root, (_, path) in best.items()}
+
+
+def test_branches_against_plain_python(spark):
+    rng = random.Random(12)
+    nodes = [(f"n{k}", f"n{rng.randrange(k)}" if k > 5 and rng.random() < 0.97 else None, float(rng.randint(-3, 3))) for k in range(150)]
+    nodes += [(f"c{k}", f"c{k - 1}" if k else None, 1.0) for k in range(40)] + [("x", "y", 1.0), ("y", "x", 1.0)]
+    got: dict = {}
+    for r in chat.chosen_paths(spark.createDataFrame(nodes, "node string, parent string, score double")).collect():
+        got.setdefault(r["path"], {})[r["depth"]] = r["node"]
+    assert sorted([[p[d] for d in sorted(p)] for p in got.values()]) == sorted(plain_best_path(nodes).values())
+
+
+def test_cut_with_equal_times(spark):
+    """Many copies that finish at one time, and a budget that ends among them."""
+    data = [(i, "w " * 4, None, "abcdefgh"[i % 8], None, None, None) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(data, DOCS)).collect()
+    assert sum(r["taken"] for r in got) <= 1.5 * 16_000 and {r["taken"] // r["size"] for r in got} <= {0, 1, 2}
+    assert abs(sum(r["taken"] for r in got) - 24_000) <= 8 * 8
+
+
 # Pipeline --------------------------------------------------------------------------------------
 
 

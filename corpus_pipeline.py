@@ -2,20 +2,22 @@
 
 (1) documents that the toxicity grammar rejects go; (2) of each group of near copies one
 document stays; (3) documents that test items contaminate go; (4) sources are mixed to
-their target weights, documents of some repeated; (5) what is left is put in shards.
+their target weights, documents of some repeated; (5) what is left is put in shards along
+a curve, texts and all.
 
-An empty table passes through all stages; columns beyond those of ``documents`` are kept
-by all but the last stage; nulls are handled as each operator says.
+An empty table passes through all stages; columns beyond those of ``documents`` are kept;
+nulls are handled as each operator says.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cartula.llm import decontam, hilbert, mixing, simhash, toxicity
-from cartula.llm.common import scratch, table
+from cartula.llm.common import remove, scratch, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hilbert.shard(docs, 8)
+    return hilbert.sharded(docs, 8)
 
 
 STAGES = [
@@ -51,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; between stages documents are written as Parquet to the shared folder and read again."""
+    """The last stage's rows; between stages documents are written as Parquet to the shared folder and read again.
+
+    The folder goes when the driver ends.
+    """
     docs = table(spark, sf_dir, "documents")
     at = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, at)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")

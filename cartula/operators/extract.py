@@ -16,6 +16,7 @@ from cartula.operators import lexicon as lex
 from cartula.operators import spans
 from cartula.operators.assertions import inferred
 from cartula.operators.sections import in_header, section_of, with_policy
+from cartula.session import keep
 
 ENTITY = {
     "start": "int", "end": "int", "text": "string", "type": "string", "assertions": "array<string>", "candidates": "array<string>", "confidence": "double",
@@ -36,10 +37,10 @@ def entities(rows: DataFrame, **values: Column | str | float | bool) -> DataFram
 
 def _lines_in(notes: DataFrame, sections: DataFrame) -> DataFrame:
     """Parts of lines in the content of one section: note_id, section, start, line."""
-    own = spans.lines(notes).alias("l")
-    s = sections.alias("r")
-    rows = own.join(s, (F.col("l.note_id") == F.col("r.note_id")) & (F.col("l.start") < F.col("r.content_end")) & (F.col("r.content_start") <= F.col("l.end")))
-    lo, hi = F.greatest("l.start", "r.content_start"), F.least("l.end", "r.content_end")
+    own = spans.lines(notes).where("start < end")
+    s = sections.where("content_start < content_end").select("note_id", F.col("content_start").alias("start"), F.col("content_end").alias("end"), "canonical")
+    rows = spans.overlapping(own, s)
+    lo, hi = F.greatest("l.start", "r.start"), F.least("l.end", "r.end")
     rows = rows.select("l.note_id", F.col("r.canonical").alias("section"), lo.alias("start"), F.substring(F.col("l.line"), lo - F.col("l.start") + 1, F.greatest(hi - lo, F.lit(0))).alias("line"))
     return rows.where(F.trim("line") != "")
 
@@ -79,7 +80,7 @@ def structured(notes: DataFrame, sections: DataFrame) -> DataFrame:
 def _settled(rows: DataFrame) -> DataFrame:
     """rows, kept. A filter on columns that are made from one another step by step would else be pushed below all
     the steps, and each use of a column would become a copy of its whole history."""
-    return rows.persist()
+    return keep(rows)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -16,12 +16,17 @@ from cartula.operators import spans
 from cartula.operators.sections import in_header
 
 SHORT = (SYMPTOM, DIAGNOSIS)
+RULE_MODES = ("all", "exact_only", "section_consensus")
 
 
-def flag(rows: DataFrame, others: DataFrame, name: str, condition: Column, also: Column | None = None) -> DataFrame:
-    """rows with a boolean column: whether any of others (alias r) meets the condition with the row (alias l)."""
+def flag(rows: DataFrame, others: DataFrame, name: str, condition: Column, also: Column | None = None, shared: bool = False) -> DataFrame:
+    """rows with a boolean column: whether any of others (alias r) meets the condition with the row (alias l).
+
+    shared says that the condition holds only for spans that share a character.
+    """
     key = ["note_id", "seq"]
-    met = spans.joined(rows, others, condition if also is None else condition & also).select(F.col("l.note_id").alias("note_id"), F.col("l.seq").alias("seq")).distinct()
+    test = condition if also is None else condition & also
+    met = (spans.overlapping if shared else spans.joined)(rows, others, test).select(F.col("l.note_id").alias("note_id"), F.col("l.seq").alias("seq")).distinct()
     return rows.join(met.withColumn(name, F.lit(True)), key, "left").na.fill(False, [name])
 
 
@@ -73,7 +78,7 @@ def first_exact_support(rows: DataFrame, others: DataFrame, name: str) -> DataFr
 def rules(rows: DataFrame, baseline: DataFrame, ner: DataFrame, thresholds: dict[str, float] | None = None, mode: str = "section_consensus") -> DataFrame:
     """Rules that need support are admitted in mode all; never in exact_only; in section_consensus where the baseline, or
     the first row of a model (if sure enough), has the same span and type. Others are admitted."""
-    if mode not in ("all", "exact_only", "section_consensus"):
+    if mode not in RULE_MODES:
         raise ValueError(f"no such mode: {mode}")
     structural = F.endswith("source", F.lit("_fallback"))
     needs = structural | F.coalesce("needs_support", F.lit(False))
@@ -95,7 +100,7 @@ def tokens_model(rows: DataFrame, rule_rows: DataFrame, llm_rows: DataFrame, anc
     pool = rule_rows.unionByName(llm_rows, True).unionByName(anchors, True)
     near = _same_type() & (spans.overlap_ratio("l", "r") >= ratio)
     for name, others in (("by_rule", rule_rows), ("by_llm", llm_rows), ("by_anchor", anchors)):
-        rows = flag(rows, others, f"corroborated_{name}", near)
+        rows = flag(rows, others, f"corroborated_{name}", near, shared=True)
     rows = flag(rows, pool, "exact_support", spans.same_span("l", "r"), _same_type())
     rows = flag(rows, pool, "__conflict", spans.same_span("l", "r"), ~_same_type())
     own, norm, short = F.trim("text"), fold("text"), F.col("type").isin(*SHORT)
@@ -120,7 +125,7 @@ def tokens_model(rows: DataFrame, rule_rows: DataFrame, llm_rows: DataFrame, anc
 def span_model(rows: DataFrame, support: DataFrame, thresholds: dict[str, float], uncorroborated: set[str], ratio: float = 0.45, max_chars=None, max_words=None, exact: bool = False) -> DataFrame:
     """Spans of a span model: threshold, length, line breaks, corroboration."""
     rows = flag(rows, support, "exact_support", spans.same_span("l", "r"), _same_type())
-    rows = flag(rows, support, "corroborated", _same_type() & (spans.overlap_ratio("l", "r") >= ratio))
+    rows = flag(rows, support, "corroborated", _same_type() & (spans.overlap_ratio("l", "r") >= ratio), shared=True)
     reason = ladder(
         (F.col("confidence") < _limits(thresholds, 0.75), "below_threshold"),
         (F.length("text") > _limits(max_chars or {}, 100), "span_too_long"),
@@ -134,7 +139,7 @@ def span_model(rows: DataFrame, support: DataFrame, thresholds: dict[str, float]
 def language_model(rows: DataFrame, support: DataFrame, least: float = 0.74, uncorroborated: set[str] = frozenset(), ratio: float = 0.55, max_chars=None, max_words=None, exact: bool = False) -> DataFrame:
     """Spans of a language model; support is the rules' and other models' rows."""
     rows = flag(rows, support, "exact_support", spans.same_span("l", "r"), _same_type())
-    rows = flag(rows, support, "corroborated", _same_type() & (spans.overlap_ratio("l", "r") >= ratio))
+    rows = flag(rows, support, "corroborated", _same_type() & (spans.overlap_ratio("l", "r") >= ratio), shared=True)
     rows = flag(rows, support, "__conflict", spans.same_span("l", "r"), ~_same_type())
     every = support.select("note_id", "seq", "source", "start", "end", "type").unionByName(rows.select("note_id", "seq", "source", "start", "end", "type"))
     other = (F.col("l.seq") != F.col("r.seq")) | (F.col("l.source") != F.col("r.source"))
@@ -256,10 +261,10 @@ def semantic_gate(rows: DataFrame, context: DataFrame, sections: DataFrame, note
     """
     pool = context.unionByName(rows, True)
     other = (F.col("l.seq") != F.col("r.seq")) | (F.col("l.source") != F.col("r.source"))
-    rows = flag(rows, pool.where(trusted()), "__trusted", _same_type() & (spans.overlap_ratio("l", "r") >= 0.8), other)
+    rows = flag(rows, pool.where(trusted()), "__trusted", _same_type() & (spans.overlap_ratio("l", "r") >= 0.8), other, shared=True)
     rows = flag(rows, pool, "__exact", spans.same_span("l", "r") & _same_type(), other)
-    rows = flag(rows, pool.where("source = 'contextual_test_cue_v5'"), "__in_test", spans.contains("r", "l"), other)
-    rows = flag(rows, pool.where("source in ('contextual_result_cue_v5', 'contextual_lab_finding_v5')"), "__in_result", spans.contains("r", "l"), other)
+    rows = flag(rows, pool.where("source = 'contextual_test_cue_v5'"), "__in_test", spans.contains("r", "l"), other, shared=True)
+    rows = flag(rows, pool.where("source in ('contextual_result_cue_v5', 'contextual_lab_finding_v5')"), "__in_result", spans.contains("r", "l"), other, shared=True)
     heads = in_header(rows, sections).select("note_id", "seq", "source").distinct().withColumn("__head", F.lit(True))
     rows = spans.with_text(rows.join(heads, ["note_id", "seq", "source"], "left").na.fill(False, ["__head"]), notes)
     n, kind, text = fold("text", " :;,.\t\n"), F.col("type"), F.col("text")

@@ -1,89 +1,109 @@
 """Dictionary scans: where the surfaces of a lexicon stand in notes.
 
-A lexicon has ``surface`` and any other columns, which hits carry on. Surfaces and words
-meet in an equal join on the lower-cased first word; the rest of a surface is compared
-with the words that follow. With word boundaries a hit neither begins nor ends inside of
-a word, unless the surface itself begins or ends with another character.
+A lexicon has ``surface`` and any other columns, which hits carry on. One automaton of all
+surfaces runs over each text once, where the text is: nothing is shuffled, and a word that
+is as common as can be costs no more than its hits. With word boundaries a hit neither begins
+nor ends inside of a word, unless the surface itself begins or ends with another character.
 """
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
+
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.operators.spans import words
-
-_WORD = r"[\p{L}\p{M}\p{N}_]+"
-#: Characters of all surfaces up to which a lexicon is sent to the executors as one automaton.
-AUTOMATON_CHARS = 20_000_000
+#: Characters of all surfaces, and rows, up to which a lexicon is sent to the executors as one automaton;
+#: a larger one is cut into several, one pass over the notes each.
+AUTOMATON_CHARS, AUTOMATON_ROWS = 4_000_000, 500_000
+#: Characters that words are made of, beside letters and digits: marks, which str.isalnum knows nothing of.
+_JOINED = "_"
+_built: dict[str, object] = {}
 
 
 def scan(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     """note_id, start, end, text and the lexicon's columns of every hit with word boundaries."""
-    low = F.lower("surface")
-    keyed = lexicon.withColumn("__low", low).withColumn("__first", F.regexp_extract(low, _WORD, 0)).where("__first <> ''")
-    keyed = keyed.withColumn("__n", F.regexp_count(low, F.lit(_WORD))).withColumn("__ends", F.col("__low").rlike(f"{_WORD}$"))
-    keyed = keyed.persist()  # small beside the notes, and read twice
-    most = keyed.agg(F.max("__n")).first()[0] or 1
-    ahead = Window.partitionBy("note_id").orderBy("i")
-    following = [F.coalesce(F.lead("piece", k).over(ahead), F.lit("")) for k in range(1, most)]
-    rows = words(notes).withColumn("__next", F.array("piece", *following)).withColumn("__first", F.lower("word"))
-    hits = rows.join(keyed, "__first")
-    gram = F.array_join(F.slice("__next", F.lit(1), F.col("__n")), "")
-    # The words of the surface, exactly; or, where it ends with another character, more may follow.
-    whole = F.regexp_replace(gram, r"[^\p{L}\p{M}\p{N}_]+$", "")
-    size = F.length("__low")
-    match = F.when(F.col("__ends"), F.lower(whole) == F.col("__low")).otherwise(F.lower(F.substring(gram, F.lit(1), size)) == F.col("__low"))
-    own = F.substring(gram, F.lit(1), size)
-    others = [c for c in lexicon.columns if c not in ("note_id", "start", "end", "text")]
-    return hits.where(match).select("note_id", "start", (F.col("start") + size).alias("end"), own.alias("text"), *others)
+    return _scanned(notes, lexicon, bounded=True)
 
 
 def scan_glued(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """As scan, without word boundaries: surfaces inside of words, too.
+    """As scan, without word boundaries: surfaces inside of words, too."""
+    return _scanned(notes, lexicon, bounded=False)
+
 
-    One automaton finds all surfaces in one pass over a text. It is sent to the executors,
-    after its size is checked; a larger lexicon is cut into several, one pass each.
-    """
+def _scanned(notes: DataFrame, lexicon: DataFrame, bounded: bool) -> DataFrame:
     spark = notes.sparkSession
     others = [c for c in lexicon.columns if c not in ("note_id", "start", "end", "text")]
+    rows = lexicon.where(F.lower("surface") != "").select(F.lower("surface").alias("__low"), *others).persist()
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("__low")), F.lit(0))).first()
+    passes = max(1, -(-chars // AUTOMATON_CHARS), -(-n // AUTOMATON_ROWS))
     found = None
-    group, size = set(), 0
-    parts = []
-    for r in lexicon.select(F.lower("surface").alias("s")).where("s <> ''").distinct().orderBy("s").toLocalIterator():
-        if size + len(r["s"]) > AUTOMATON_CHARS:
-            parts.append(group)
-            group, size = set(), 0
-        group.add(r["s"])
-        size += len(r["s"])
-    for part in [*parts, group]:
-        own = _pass(notes, spark.sparkContext.broadcast(sorted(part)))
-        found = own if found is None else found.unionByName(own)
-    return found.join(lexicon.withColumn("__low", F.lower("surface")), "__low").select("note_id", "start", "end", "text", *others)
-
-
-def _pass(notes: DataFrame, shared) -> DataFrame:
+    for k in range(passes):
+        own = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("__low"), F.lit(passes)) == k)
+        hits = _pass(notes, spark.sparkContext.broadcast((uuid.uuid4().hex, own.toArrow())), rows.select(*others), bounded)
+        found = hits if found is None else found.unionByName(hits)
+    rows.unpersist()
+    return found
+
+
+def lowered(text: str) -> str:
+    """Lower case, one character for each, so that offsets hold for those that become two."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _automaton(name: str, table: pa.Table):
+    """The automaton of a lexicon, built once in each worker: each surface leads to its rows."""
+    if name not in _built:
+        _built.clear()
+        rows: dict[str, list[int]] = {}
+        for i, s in enumerate(table.column("__low").to_pylist()):
+            rows.setdefault(s, []).append(i)
+        made = ahocorasick.Automaton()
+        for s, own in rows.items():
+            made.add_word(s, (len(s), own, _wordy(s[0]), _wordy(s[-1])))
+        if rows:
+            made.make_automaton()
+        _built[name] = made if rows else None
+    return _built[name]
+
+
+def _wordy(c: str) -> bool:
+    return c.isalnum() or c == _JOINED or unicodedata.category(c)[0] in "MN"
+
+
+def _pass(notes: DataFrame, shared, others: DataFrame, bounded: bool) -> DataFrame:
+    id_ = notes.schema["note_id"].dataType.simpleString()
+    schema = ", ".join([f"note_id {id_}", "start int", "end int", "text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema)])
+
     def run(batches):
-        automaton = ahocorasick.Automaton()
-        for s in shared.value:
-            automaton.add_word(s, s)
-        automaton.make_automaton()
+        automaton, table = _automaton(*shared.value), shared.value[1].drop_columns(["__low"])
+        carried = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns]
         for b in batches:
-            out = []
-            for note, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text and shared.value:
-                    # Lower case one character at a time, so that offsets hold for those that become two.
-                    low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-                    for last, s in automaton.iter(low):
-                        out.append((note, last + 1 - len(s), last + 1, text[last + 1 - len(s) : last + 1], s))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["note_id", "start", "end", "text", "__low"])
-
-    kind = notes.schema["note_id"].dataType.simpleString()
-    return notes.select("note_id", "text").mapInArrow(run, f"note_id {kind}, start int, end int, text string, __low string")
+            at_note, start, end, texts, row = [], [], [], [], []
+            for n, text in enumerate(b.column(1).to_pylist()):
+                if not text or automaton is None:
+                    continue
+                size = len(text)
+                for last, (length, own, front, back) in automaton.iter(lowered(text)):
+                    z = last + 1
+                    a = z - length
+                    if bounded and ((front and a and _wordy(text[a - 1])) or (back and z < size and _wordy(text[z]))):
+                        continue
+                    for i in own:
+                        at_note.append(n)
+                        start.append(a)
+                        end.append(z)
+                        texts.append(text[a:z])
+                        row.append(i)
+            columns = [b.column(0).take(pa.array(at_note, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(texts, pa.string())]
+            more = [c.take(pa.array(row, pa.int64())) for c in carried]
+            yield pa.RecordBatch.from_arrays([*columns, *more], ["note_id", "start", "end", "text", *table.column_names])
+
+    return notes.select("note_id", "text").mapInArrow(run, schema)
 
 
 def ngram_hits(notes: DataFrame, lexicon: DataFrame, most: int = 5) -> DataFrame:

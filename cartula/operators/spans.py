@@ -1,7 +1,7 @@
 """Spans: pieces of texts with offsets, overlap joins, selection and merging.
 
 Notes are rows of ``note_id`` and ``text``; spans carry ``note_id``, ``start``, ``end``.
-All joins of spans have note_id as an equal key and the interval test as a residual.
+All joins of spans have note_id as an equal key; where spans overlap, a stretch of the note, too.
 """
 
 from __future__ import annotations
@@ -76,10 +76,38 @@ def joined(left: DataFrame, right: DataFrame, condition: Column, how: str = "inn
     return left.alias("l").join(right.alias("r"), (F.col("l.note_id") == F.col("r.note_id")) & condition, how)
 
 
+#: Characters of the stretches of a note in which spans that overlap are looked for.
+STRETCH = 256
+
+
+def overlapping(left: DataFrame, right: DataFrame, condition: Column | None = None, how: str = "inner") -> DataFrame:
+    """left as l and right as r, joined where they share a character (and meet the condition): what a long note costs is its length.
+
+    Spans lie in all stretches that they touch; a pair is made in the first stretch that both do. For semi and
+    anti joins rows of left that are equal in all columns count as one.
+    """
+    stretch = lambda at: F.floor(F.col(at) / STRETCH).cast("int")
+    spread = lambda rows: rows.withColumn("__at", F.explode(F.sequence(stretch("start"), F.greatest(stretch("start"), F.floor((F.col("end") - 1) / STRETCH).cast("int")))))
+    key = (F.col("l.note_id") == F.col("r.note_id")) & (F.col("l.__at") == F.col("r.__at"))
+    first = F.col("l.__at") == F.floor(F.greatest("l.start", "r.start") / STRETCH)
+    test = key & first & overlaps("l", "r")
+    test = test if condition is None else test & condition
+    if how == "inner":
+        return spread(left).alias("l").join(spread(right).alias("r"), test)
+    if how == "left_semi":
+        return spread(left).alias("l").join(spread(right).alias("r"), test, "left_semi").drop("__at").distinct()
+    met = spread(left).alias("l").join(spread(right).alias("r"), test, "left_semi").drop("__at").distinct()
+    return left.join(met, left.columns, "left_anti")
+
+
 def supported(left: DataFrame, right: DataFrame, ratio: float | None = None, same_type: bool = True) -> DataFrame:
-    """Rows of left that some row of right supports: by the same span, or by an overlap ratio."""
-    test = same_span("l", "r") if ratio is None else overlap_ratio("l", "r") >= ratio
-    return joined(left, right, test & (F.col("l.type") == F.col("r.type")) if same_type else test, "left_semi")
+    """Rows of left that some row of right supports: by the same span, or by an overlap ratio above 0. Equal rows count as one."""
+    alike = F.col("l.type") == F.col("r.type")
+    if ratio is None:
+        test = (F.col("l.start") == F.col("r.start")) & (F.col("l.end") == F.col("r.end"))  # equal keys
+        return joined(left, right, test & alike if same_type else test, "left_semi")
+    test = overlap_ratio("l", "r") >= ratio
+    return overlapping(left, right, test & alike if same_type else test, "left_semi")
 
 
 def unconflicted(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -95,24 +123,70 @@ def islands(spans: DataFrame, by: list[str] = ("note_id",), order: list[str] = (
     return spans.withColumn("__fresh", fresh).withColumn("island", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
 
 
+def _in_turn(rows: DataFrame, by: list[str], order: list, columns: list[Column], more: str, step) -> DataFrame:
+    """rows, sorted within by, with more columns that step gives: one pass, in which a key's last state goes on to its next row.
+
+    step(state, values) gives (state, the new columns); the state is None at a key's first row. All rows of a
+    note are in one task, one after another; what is held is a batch.
+    """
+    names = [f"__c{k}" for k in range(len(columns))]
+    given = rows.withColumns(dict(zip(names, columns)))
+    ready = given.repartition(*by[:1]).sortWithinPartitions(*by, *order)
+    kinds = [c.split() for c in more.split(", ")]
+    arrow = {"boolean": pa.bool_(), "long": pa.int64()}
+
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            out = []
+            keys = zip(*(b.column(c).to_pylist() for c in by))
+            for own, values in zip(keys, zip(*(b.column(c).to_pylist() for c in names))):
+                if own != key:
+                    key, state = own, None
+                state, made = step(state, values)
+                out.append(made)
+            kept = [i for i, n in enumerate(b.schema.names) if n not in names]
+            new = zip(*out) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *(pa.array(c, arrow[k]) for c, (_, k) in zip(new, kinds))], [*(b.schema.names[i] for i in kept), *(n for n, _ in kinds)])
+
+    schema = rows.schema
+    for n, k in kinds:
+        schema = schema.add(n, k)
+    return ready.mapInArrow(run, schema)
+
+
 def greedy(spans: DataFrame, *preference: Column) -> DataFrame:
     """Spans that don't overlap: leftmost first, then longest, then by preference (ascending).
 
-    In that order a span is taken if it starts where the last taken one ended or later.
-    Only the spans of an island compete, so the fold runs over few rows however long the note.
+    In that order a span is taken if it starts where the last taken one ended or later: one pass over the sorted spans of a note.
     """
-    cols = spans.columns
-    keyed = islands(spans)
-    rank = F.struct(F.col("start").alias("a"), (-(F.col("end") - F.col("start"))).alias("b"), *[p.alias(f"p{k}") for k, p in enumerate(preference)], F.struct(*cols).alias("row"))
-    kind = keyed.select(F.array(rank).alias("x")).schema["x"].dataType.simpleString()
-    grouped = keyed.groupBy("note_id", "island").agg(F.array_sort(F.collect_list(rank)).alias("all"))
-
-    def step(s, x):
-        free = x["row"]["start"] >= s["reach"]
-        return F.struct(F.when(free, x["row"]["end"].cast("int")).otherwise(s["reach"]).alias("reach"), F.when(free, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(kind).alias("taken"))
-    return grouped.select(F.explode(F.aggregate("all", start, step)["taken"]).alias("x")).select("x.row.*")
+
+    def step(reach, values):
+        start, end = values
+        free = reach is None or start >= reach
+        return (end if free else reach), (free,)
+
+    order = [F.asc("start"), (F.col("start") - F.col("end")).asc(), *[p.asc() for p in preference], F.struct(*spans.columns).asc()]
+    return _in_turn(spans, ["note_id"], order, [F.col("start"), F.col("end")], "__taken boolean", step).where("__taken").drop("__taken")
+
+
+def chained(spans: DataFrame, by: list[str], order: list, values: list[Column], later_wins) -> DataFrame:
+    """spans with __run, __won and __at: from left to right each span meets the winner so far of its run, if it overlaps it.
+
+    later_wins(span's values, winner's values) says whether the span wins; __won marks spans that did when
+    they came, __at is their order in the run. A span that overlaps no winner starts a run.
+    """
+
+    def step(state, given):
+        start, end, *own = given
+        if state is None or start >= state[0]:
+            run = 0 if state is None else state[2] + 1
+            return (end, own, run, 0), (run, True, 0)
+        reach, best, run, at = state
+        won = later_wins(own, best)
+        return ((end, own) if won else (reach, best)) + (run, at + 1), (run, won, at + 1)
+
+    return _in_turn(spans, by, order, [F.col("start"), F.col("end"), *values], "__run long, __won boolean, __at long", step)
 
 
 def best_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -6,12 +6,13 @@ from them; the operators are those that clinical notes go through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartula.functions.text import LETTERS, fold, ontology_tokens, token_count
 from cartula.operators import lexicon as lex
 from cartula.operators import retrieval, spans, windows
+from cartula.session import keep
 
 WORD_CLASS = r"\p{L}\p{M}\p{N}_"
 
@@ -25,14 +26,16 @@ def _notes(spark, sf_dir) -> DataFrame:
 
 
 def corpus_lexicon(notes: DataFrame) -> DataFrame:
-    """surface, kind, priority: words of three letters or more in a tenth of all notes, and pairs of words in a fiftieth."""
-    rows = spans.words(notes)
-    following = F.lead("word").over(Window.partitionBy("note_id").orderBy("i"))
-    rows = rows.select("note_id", F.lower("word").alias("w"), F.when(F.col("piece") == F.concat("word", F.lit(" ")), F.lower(F.concat("piece", following))).alias("pair"))
+    """surface, kind, priority: words of three letters or more in a tenth of all notes, and pairs of words in a fiftieth.
+
+    Each text is cut to the set of its words and pairs where it is; only these are counted.
+    """
+    low, word = F.lower("text"), f"[{WORD_CLASS}]+"
+    single = F.filter(F.array_distinct(F.regexp_extract_all(low, F.lit(word), 0)), lambda w: F.length(w) >= 3)
+    double = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({word} {word})){word}"), 1))
+    pick = lambda words, share: notes.select(F.explode(words).alias("surface"), F.lit(share).alias("share"))
+    df = pick(single, 10).unionByName(pick(double, 50)).groupBy("surface", "share").agg(F.count("*").alias("df"))
     total = notes.agg(F.count("*").alias("n"))
-    single = rows.where(F.length("w") >= 3).select("note_id", F.col("w").alias("surface"), F.lit(10).alias("share"))
-    double = rows.where("pair is not null").select("note_id", F.col("pair").alias("surface"), F.lit(50).alias("share"))
-    df = single.unionByName(double).groupBy("surface", "share").agg(F.countDistinct("note_id").alias("df"))
     kept = df.crossJoin(F.broadcast(total)).where("df * share >= n")  # one row of statistics
     kind = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.length("surface") % 3 + 1).cast("int"))
     return kept.select("surface", kind.alias("kind"), ((F.length("surface") * 7) % 5).cast("int").alias("priority"))
@@ -164,13 +167,13 @@ def conflict_anti(spark, sf_dir):
 
 def overlap_ratio_join(spark, sf_dir):
     left, right = _two_sources(spark, sf_dir)
-    rows = spans.joined(left, right, spans.overlaps("l", "r") & ~spans.same_span("l", "r"))
+    rows = spans.overlapping(left, right, ~spans.same_span("l", "r"))
     return rows.select(F.col("l.note_id").alias("doc_id"), F.col("l.start").alias("l_start"), F.col("l.end").alias("l_end"), F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"), F.round(spans.overlap_ratio("l", "r"), 6).alias("ratio"))
 
 
 def containment_join(spark, sf_dir):
     left, right = _two_sources(spark, sf_dir)
-    rows = spans.joined(left, right, spans.contains("l", "r") & ~spans.same_span("l", "r"))
+    rows = spans.overlapping(left, right, spans.contains("l", "r") & ~spans.same_span("l", "r"))
     return rows.groupBy(F.col("l.note_id").alias("doc_id")).agg(F.count("*").alias("n_nested"))
 
 
@@ -321,7 +324,7 @@ def semantic_chunk_bounds(spark, sf_dir):
 
 def _rule_resources(spark, notes):
     """Headers, and tests, drugs, symptoms and diagnoses from the lexicon of the notes, by kind and priority."""
-    words = corpus_lexicon(notes).persist()
+    words = keep(corpus_lexicon(notes))
     rows = [(h.upper(), "unknown", 0 if h in ("the", "die", "la") else 110, h in ("the", "in"), h in ("die", "der"), h == "la", h == "le", "trusted" if h in ("the", "die", "la") else "model_support") for h in HEADERS]
     rows.append(("UNKNOWN", "unknown", 110, False, False, False, False, "model_support"))
     schema = "section string, role string, min_priority int, symptom_structural boolean, diagnosis_structural boolean, assertion_history boolean, assertion_family boolean, rule_trust string"

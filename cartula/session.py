@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "cartula", **config: str) -> SparkSession:
@@ -17,3 +17,19 @@ def session(app: str = "cartula", **config: str) -> SparkSession:
     for k, v in (settings | config).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+#: What runs keep until release.
+_KEPT: list[DataFrame] = []
+
+
+def keep(rows: DataFrame) -> DataFrame:
+    """rows, kept in memory and on disk until release: several steps read them."""
+    _KEPT.append(rows.persist())
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Frees what runs so far kept; what they returned is computed anew if it is read again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()

@@ -19,14 +19,15 @@ SHORT = (SYMPTOM, DIAGNOSIS)
 RULE_MODES = ("all", "exact_only", "section_consensus")
 
 
-def flag(rows: DataFrame, others: DataFrame, name: str, condition: Column, also: Column | None = None, shared: bool = False) -> DataFrame:
+def flag(rows: DataFrame, others: DataFrame, name: str, condition: Column, also: Column | None = None, shared: bool = False, reach: int | None = None) -> DataFrame:
     """rows with a boolean column: whether any of others (alias r) meets the condition with the row (alias l).
 
-    shared says that the condition holds only for spans that share a character.
+    shared says that the condition holds only for spans that share a character, reach that they must start so near.
     """
     key = ["note_id", "seq"]
     test = condition if also is None else condition & also
-    met = (spans.overlapping if shared else spans.joined)(rows, others, test).select(F.col("l.note_id").alias("note_id"), F.col("l.seq").alias("seq")).distinct()
+    met = spans.nearby(rows, others, reach, test) if reach else (spans.overlapping if shared else spans.joined)(rows, others, test)
+    met = met.select(F.col("l.note_id").alias("note_id"), F.col("l.seq").alias("seq")).distinct()
     return rows.join(met.withColumn(name, F.lit(True)), key, "left").na.fill(False, [name])
 
 
@@ -143,7 +144,7 @@ def language_model(rows: DataFrame, support: DataFrame, least: float = 0.74, unc
     rows = flag(rows, support, "__conflict", spans.same_span("l", "r"), ~_same_type())
     every = support.select("note_id", "seq", "source", "start", "end", "type").unionByName(rows.select("note_id", "seq", "source", "start", "end", "type"))
     other = (F.col("l.seq") != F.col("r.seq")) | (F.col("l.source") != F.col("r.source"))
-    rows = flag(rows, every.where(F.col("type") == TEST), "__near", F.abs(F.col("l.start") - F.col("r.start")) <= 300, other)
+    rows = flag(rows, every.where(F.col("type") == TEST), "__near", other, reach=300)
     own, norm, kind = F.trim("text"), fold("text"), F.col("type")
     short, says = kind.isin(*SHORT), lambda p, c=norm: c.rlike(rx(p))
     reason = ladder(
@@ -183,18 +184,22 @@ def language_model_old(rows: DataFrame, rule_rows: DataFrame, notes: DataFrame)
     """The older pipeline's filter of a language model's spans, by type."""
     half, exact, is_in = spans.overlap_ratio("l", "r") >= 0.5, spans.same_span("l", "r"), lambda *t: F.col("r.type").isin(*t)
     rows = flag(rows, rule_rows, "__exact", exact, is_in(DRUG, TEST, RESULT))
-    rows = flag(rows, rule_rows, "__half", half, is_in(DRUG, TEST, RESULT))
+    rows = flag(rows, rule_rows, "__half", half, is_in(DRUG, TEST, RESULT), shared=True)
     rows = flag(rows, rule_rows, "__exact_name", exact, is_in(DRUG, TEST))
     rows = flag(rows, rule_rows, "__exact_test", exact, is_in(TEST))
-    rows = flag(rows, rule_rows, "__half_drug", half, is_in(DRUG))
-    rows = flag(rows, rule_rows, "__wider", spans.contains("l", "r") & ~exact, is_in(SYMPTOM))
+    rows = flag(rows, rule_rows, "__half_drug", half, is_in(DRUG), shared=True)
+    rows = flag(rows, rule_rows, "__wider", spans.contains("l", "r") & ~exact, is_in(SYMPTOM), shared=True)
     cols = ["note_id", "start", "end", "text", "type"]
     every = rule_rows.select(*cols).unionByName(rows.select(*cols)).where(F.col("type") == TEST)
-    near = spans.joined(spans.with_text(rows.select("note_id", "seq", "start", "end"), notes), every, (F.abs(F.col("l.start") - F.col("r.start")) <= 450) & ~exact)
-    gap = between(F.col("l.__note"), F.least("l.start", "r.start"), F.greatest("l.end", "r.end"))
-    near = near.where(F.regexp_count(gap, F.lit("\n")) <= 1).select("l.note_id", "l.seq").distinct().withColumn("__near", F.lit(True))
+    # Line breaks before a place: their difference says how many lie between two.
+    breaks = lambda at: F.regexp_count(between("__note", F.lit(0), at), F.lit("\n"))
+    placed = lambda rows: spans.with_text(rows, notes).withColumns({"__a": breaks("start"), "__z": breaks("end")}).drop("__note")
+    near = spans.nearby(placed(rows.where(F.col("type") == RESULT).select("note_id", "seq", "start", "end")), placed(every), 450, ~exact)
+    near = near.where(F.greatest("l.__z", "r.__z") - F.least("l.__a", "r.__a") <= 1).select("l.note_id", "l.seq").distinct().withColumn("__near", F.lit(True))
     rows = rows.join(near, ["note_id", "seq"], "left").na.fill(False, ["__near"])
-    rows = flag(rows, every, "__named", (F.length("r.text") >= 3) & F.lower("l.context").contains(F.lower("r.text")))
+    told = rows.where(F.trim(F.coalesce("context", F.lit(""))) != "").select("note_id", "seq", "context")
+    named_in = spans.joined(told, every, (F.length("r.text") >= 3) & F.lower("l.context").contains(F.lower("r.text"))).select("l.note_id", "l.seq").distinct().withColumn("__named", F.lit(True))
+    rows = rows.join(named_in, ["note_id", "seq"], "left").na.fill(False, ["__named"])
     own, norm, kind = F.trim("text"), fold("text"), F.col("type")
     says = lambda p, c=norm: F.coalesce(c.rlike(rx(p)), F.lit(False))
     named = F.trim(F.coalesce("normalized", F.lit(""))) != ""

@@ -106,17 +106,37 @@ def _pass(notes: DataFrame, shared, others: DataFrame, bounded: bool) -> DataFra
     return notes.select("note_id", "text").mapInArrow(run, schema)
 
 
-def ngram_hits(notes: DataFrame, lexicon: DataFrame, most: int = 5) -> DataFrame:
+def ngram_hits(notes: DataFrame, lexicon: DataFrame, most: int = 5, keep_inside: bool = False) -> DataFrame:
     """note_id, surface and the lexicon's columns of n-grams of ASCII words that are surfaces, once a note,
-    without those that stand inside of a longer one found in the same note."""
+    without those that stand inside of a longer one found in the same note, unless these are kept."""
     tokens = notes.select("note_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("w"))
     grams = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), _gram(n)) for n in range(1, most + 1)]
     sets = [F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(grams, 1)]
     rows = tokens.select("note_id", F.explode(F.array_distinct(F.concat(*sets))).alias("gram"))
     hits = rows.join(lexicon.withColumn("gram", F.lower("surface")), "gram")
-    longer = hits.select("note_id", F.col("gram").alias("other")).distinct()
-    inside = (F.col("l.note_id") == F.col("r.note_id")) & F.col("r.other").contains(F.col("l.gram")) & (F.length("r.other") > F.length("l.gram"))
-    return hits.alias("l").join(longer.alias("r"), inside, "left_anti").drop("gram")
+    return (hits if keep_inside else without_inner(hits, "gram")).drop("gram")
+
+
+def review_hits(lines: DataFrame, lexicon: DataFrame, embedded: bool = False, codes: int = 5) -> DataFrame:
+    """note_id, surface, codes (the first few) of n-grams of ASCII words that are surfaces of a lexicon (surface, codes), once a note.
+
+    With embedded surfaces of 4 to 26 letters inside of words that are none themselves and have 35 letters at most count as well.
+    Surfaces inside of a longer one found in the same note go.
+    """
+    found = ngram_hits(lines, lexicon.select("surface"), keep_inside=True)
+    if embedded:
+        tokens = lines.select("note_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0))).alias("text")).where(F.length("text") <= 35)
+        alone = tokens.join(lexicon.select(F.lower("surface").alias("text")), "text", "left_anti")
+        short = lexicon.select("surface").where(F.length("surface").between(4, 26) & F.lower("surface").rlike("^[a-z0-9]+$"))
+        found = found.unionByName(scan_glued(alone, short).select("note_id", "surface")).distinct()
+    return without_inner(found.withColumn("gram", F.lower("surface")), "gram").drop("gram").join(lexicon.select("surface", F.slice("codes", 1, codes).alias("codes")), "surface").select("note_id", "surface", "codes")
+
+
+def without_inner(hits: DataFrame, text: str) -> DataFrame:
+    """hits without those whose text stands inside of a longer one of the same note."""
+    longer = hits.select("note_id", F.col(text).alias("other")).distinct()
+    inside = (F.col("l.note_id") == F.col("r.note_id")) & F.col("r.other").contains(F.col(f"l.{text}")) & (F.length("r.other") > F.length(f"l.{text}"))
+    return hits.alias("l").join(longer.alias("r"), inside, "left_anti")
 
 
 def _gram(n: int):

@@ -100,6 +100,14 @@ def overlapping(left: DataFrame, right: DataFrame, condition: Column | None = No
     return left.join(met, left.columns, "left_anti")
 
 
+def nearby(left: DataFrame, right: DataFrame, reach: int, condition: Column | None = None) -> DataFrame:
+    """left as l and right as r, joined where they start within reach of one another (and meet the condition): by stretches of that length."""
+    at = F.floor(F.col("start") / reach).cast("int")
+    spread = left.withColumn("__at", F.explode(F.array(at - 1, at, at + 1))).alias("l")
+    test = (F.col("l.note_id") == F.col("r.note_id")) & (F.col("l.__at") == F.col("r.__at")) & (F.abs(F.col("l.start") - F.col("r.start")) <= reach)
+    return spread.join(right.withColumn("__at", at).alias("r"), test if condition is None else test & condition)
+
+
 def supported(left: DataFrame, right: DataFrame, ratio: float | None = None, same_type: bool = True) -> DataFrame:
     """Rows of left that some row of right supports: by the same span, or by an overlap ratio above 0. Equal rows count as one."""
     alike = F.col("l.type") == F.col("r.type")

@@ -169,6 +169,15 @@ def semantic_chunks(notes: DataFrame, sections: DataFrame | None = None, size: i
     return _map_notes(notes, one, schema, ["start", "end", "heading", "signal"], [pa.int32(), pa.int32(), pa.string(), pa.int32()], "blocks")
 
 
+def debug_counts(chunks: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+    """note_id, segments, tokens, before, after, removed: how many chunks (with n, their tokens) a note was read in, and how many
+    spans were found and are left once those that windows share are one."""
+    n = lambda rows, name: rows.groupBy("note_id").agg(F.count("*").alias(name))
+    out = chunks.groupBy("note_id").agg(F.count("*").alias("segments"), F.sum("n").alias("tokens"))
+    out = out.join(n(found, "before"), "note_id", "left").join(n(kept, "after"), "note_id", "left").na.fill(0, ["before", "after"])
+    return out.withColumn("removed", F.col("before") - F.col("after"))
+
+
 def record_chunks(lines: DataFrame, header: str) -> DataFrame:
     """note_id, record, start, end: what each line that matches header begins, up to the next."""
     heads = lines.where(F.col("line").rlike(header))

@@ -213,7 +213,7 @@ def colon_places(spark, sf_dir):
 
 def dose_strengths(spark, sf_dir):
     """Strengths, name and mention of drugs as they are written with their doses."""
-    rows = base._longest(spark, sf_dir).where("kind = 'A'")
+    rows = base._longest(spark, sf_dir)
     n = (F.col("start") % 900 + 1).cast("string")
     said = F.concat(F.lit("uống "), "surface", F.lit(" "), n, F.when(F.col("start") % 3 == 0, F.concat(F.lit("-"), n, F.lit(" mg po daily"))).when(F.col("start") % 3 == 1, F.lit("mg/ml oral tablet")).otherwise(F.lit(" units, 5 ml bid")))
     tty = F.element_at(F.array(*[F.lit(t) for t in ("SCD", "IN", "BN", "XX")]), (F.col("start") % 4 + 1).cast("int"))
@@ -412,6 +412,13 @@ SELECT doc_id, start, len(list_filter(l, lambda x, i: i > 1 AND x = l[i - 1] AND
 r AS (SELECT doc_id, line_no, list_reduce(list_transform(c, lambda ch, i: {{'d': 0, 'f': -1, 'at': (i - 1)::INT, 'c': ch}}), lambda s, e: {{'d': CASE WHEN e.c IN ('(', '[', '{{') THEN s.d + 1 WHEN e.c IN (')', ']', '}}') THEN greatest(0, s.d - 1) ELSE s.d END, 'f': CASE WHEN s.f < 0 AND e.c = ':' AND s.d = 0 THEN e.at ELSE s.f END, 'at': e.at, 'c': e.c}},
    {{'d': 0, 'f': -1, 'at': 0, 'c': ''}}) AS s FROM x)
 SELECT doc_id, line_no::INT AS line_no, coalesce(s.f, -1)::INT AS colon FROM r""",
+    "dose_strengths": rf"""{_H}, x AS (SELECT doc_id, start, 'uống ' || surface || ' ' || (start % 900 + 1) || CASE start % 3 WHEN 0 THEN '-' || (start % 900 + 1) || ' mg po daily' WHEN 1 THEN 'mg/ml oral tablet' ELSE ' units, 5 ml bid' END AS text FROM h),
+y AS (SELECT *, regexp_replace(text, '(?i){fixed.RX_RANGE}', ' ', 'g') AS free, {base._TOKENS} AS t FROM x),
+z AS (SELECT *, list_concat(list_transform(regexp_extract_all(text, '(?i){fixed.RX_RANGE}', 1), lambda v, i: replace(v, ',', '.') || ' ' || regexp_replace(lower(regexp_extract_all(text, '(?i){fixed.RX_RANGE}', 2)[i]), '^units$', 'unit')),
+   list_transform(regexp_extract_all(free, '(?i){fixed.RX_STRENGTH}', 1), lambda v, i: replace(v, ',', '.') || ' ' || regexp_replace(lower(regexp_extract_all(free, '(?i){fixed.RX_STRENGTH}', 2)[i]), '^units$', 'unit'))) AS s,
+   list_filter(t, lambda v: NOT regexp_full_match(v, '\d+') AND v NOT IN ({_list(fixed.RX_STOP)[1:-1]})) AS n, regexp_replace(regexp_replace(trim(text), '(?i){fixed.RX_LEAD}', ''), '(?is){fixed.RX_SCHEDULE}', '') AS m FROM y)
+SELECT doc_id, start, array_to_string(list_filter(s, lambda v, i: NOT list_contains(s[:i - 1], v)), '|') AS strengths, array_to_string(list_filter(n, lambda v, i: NOT list_contains(n[:i - 1], v)), ' ') AS name, trim(regexp_replace(trim(m, ' ,;:-'), '\s+', ' ', 'g')) AS mention,
+  CASE WHEN start % 2 = 0 THEN [0, 8, 10, 99][start % 4 + 1] ELSE [6, 0, 3, 99][start % 4 + 1] END AS "rank" FROM z""",
     "char_chunk_bounds": """WITH RECURSIVE n AS (SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, n, 0 AS start, least(2600, n) AS "end" FROM n UNION ALL SELECT doc_id, n, "end" - 120, least("end" - 120 + 2600, n) FROM c WHERE "end" < n)
 SELECT doc_id, start::INT AS start, "end"::INT AS "end" FROM c""",

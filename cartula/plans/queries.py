@@ -131,11 +131,10 @@ def section_coverage(spark, sf_dir):
 
 
 def next_span_window(spark, sf_dir):
-    """After each longest hit of kind A: what is free up to the next one, the end of the line, or 130 characters."""
+    """After each longest hit: what is free up to the next one, the end of the line, or 130 characters."""
     from cartula.operators.extract import result_windows
 
-    names = _longest(spark, sf_dir).where("kind = 'A'")
-    rows = result_windows(names, _notes(spark, sf_dir))
+    rows = result_windows(_longest(spark, sf_dir), _notes(spark, sf_dir))
     return rows.select(F.col("note_id").alias("doc_id"), "start", "window_end", F.md5("window").alias("window_md5"))
 
 
@@ -143,7 +142,7 @@ def last_cue_assertion(spark, sf_dir):
     """Whether a cue stands before a hit in its clause, near enough, with no contrast between."""
     from cartula.operators.assertions import cue_before
 
-    rows = spans.with_text(_longest(spark, sf_dir).where("kind = 'B'"), _notes(spark, sf_dir))
+    rows = spans.with_text(_longest(spark, sf_dir), _notes(spark, sf_dir))
     cue = cue_before("__note", "start", ["the", "der", "la", "que", "un"], reach=120, most=90, contrast=r"\b(?:and|und|et)\b")
     return rows.select(F.col("note_id").alias("doc_id"), "start", "surface", cue.alias("asserted"))
 
@@ -273,16 +272,19 @@ def bio_decode(spark, sf_dir):
 
 
 def json_props(spark, sf_dir):
-    """Keys of the properties of events, and how many there are of each."""
-    rows = _table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
-    return rows.groupBy("key").agg(F.count("*").alias("n"))
+    """Numbers and forms that replies about events list in an object between other words."""
+    from cartula.operators.models import items_reply
+
+    reply = F.concat(F.lit('so: {"items":[{"id":'), F.col("event_id").cast("string"), F.lit(',"normalized":"'), "event_type", F.lit('"},{"id":0,"normalized":"'), F.col("user_id").cast("string"), F.lit('"}]} done'))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(items_reply(reply)).alias("x"))
+    return rows.select("event_id", F.col("x.id").cast("long").alias("id"), "x.normalized")
 
 
 def export_json_rows(spark, sf_dir):
     """Spans of each note as one JSON array."""
     from cartula.sources.sinks import as_json
 
-    rows = _longest(spark, sf_dir).where("kind = 'A'").select("note_id", "start", "end", "text", F.col("kind").alias("type"), F.array().cast("array<string>").alias("assertions"), F.array("surface").alias("candidates"))
+    rows = _longest(spark, sf_dir).select("note_id", "start", "end", "text", F.col("kind").alias("type"), F.array().cast("array<string>").alias("assertions"), F.array("surface").alias("candidates"))
     return as_json(rows).select(F.col("note_id").alias("doc_id"), F.md5("json").alias("json_md5"))
 
 
@@ -296,16 +298,21 @@ def cache_miss_anti(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    """Spans, kinds and covered documents by toxicity label."""
+    """Files, entities, diagnoses, drugs and candidates by toxicity label."""
+    from cartula.functions.fixed import DIAGNOSIS, DRUG, SYMPTOM
+    from cartula.operators.merge import run_summary as summary
+
     rows = _longest(spark, sf_dir).join(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_id"), "toxic"), "note_id")
-    return rows.groupBy("toxic").agg(F.countDistinct("note_id").alias("n_docs"), F.count("*").alias("n_spans"), F.count_if(F.col("kind") == "A").alias("n_a"), F.round(F.avg((F.length("surface") > 4).cast("int")), 6).alias("long_share"))
+    rows = rows.withColumn("type", F.when(F.col("kind") == "A", DIAGNOSIS).when(F.col("kind") == "B", DRUG).otherwise(SYMPTOM))
+    return summary(rows.withColumn("candidates", F.when(F.length("surface") > 4, F.array("surface")).otherwise(F.array().cast("array<string>"))), "toxic")
 
 
 def filter_reason_counts(spark, sf_dir):
     """Why spans are not admitted, by the first reason that holds."""
-    rows = _two_sources(spark, sf_dir)[0]
-    reason = F.when(F.col("confidence") < 0.2, "below_confidence").when(F.length("surface") > 8, "span_too_long").when(F.col("type") == "C", "type_not_allowed").otherwise("accepted")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    from cartula.operators.filters import decided, ladder
+
+    reason = ladder((F.col("confidence") < 0.2, "below_confidence"), (F.length("surface") > 8, "span_too_long"), (F.col("type") == "C", "type_not_allowed"))
+    return decided(_two_sources(spark, sf_dir)[0], reason).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def fold_text(spark, sf_dir):
@@ -461,14 +468,14 @@ SELECT d.doc_id, round(coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE, 6) AS covere
 x AS (SELECT h.doc_id, h.surface, {_ASOF} AS section FROM h)
 SELECT lang, section, surface, count(*) AS n, count(DISTINCT x.doc_id) AS n_docs FROM x JOIN documents USING (doc_id) GROUP BY ALL""",
     "next_span_window": f"""{_WITH}, {_walk("hits", "h")},
-a AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nxt FROM h WHERE kind = 'A'),
+a AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nxt FROM h),
 b AS (SELECT a.*, substr(text, "end" + 1, 130) AS rest FROM a JOIN documents USING (doc_id)),
 c AS (SELECT *, regexp_extract(rest, '^[^\\n]*') AS line FROM b),
 e AS (SELECT *, CASE WHEN nxt IS NULL THEN line ELSE substr(line, 1, greatest(nxt - "end", 0)) END AS part FROM c),
 f AS (SELECT *, regexp_extract(part, '^[^;]*') AS win FROM e)
 SELECT doc_id, start, ("end" + length(win))::INT AS window_end, md5(win) AS window_md5 FROM f""",
     "last_cue_assertion": rf"""{_WITH}, {_walk("hits", "h")},
-a AS (SELECT h.*, substr(text, greatest(start - 120, 0) + 1, start - greatest(start - 120, 0)) AS pre FROM h JOIN documents USING (doc_id) WHERE kind = 'B'),
+a AS (SELECT h.*, substr(text, greatest(start - 120, 0) + 1, start - greatest(start - 120, 0)) AS pre FROM h JOIN documents USING (doc_id)),
 b AS (SELECT *, regexp_extract(pre, '[^\n.;:]*$') AS clause FROM a),
 c AS (SELECT *, regexp_extract(clause, '(?is)^(?:.*[^{WORD_CLASS}])?(the|der|la|que|un)((?:[^{WORD_CLASS}].*)?)$', 2) AS between_, regexp_matches(clause, '(?is)^(?:.*[^{WORD_CLASS}])?(the|der|la|que|un)(?:[^{WORD_CLASS}].*)?$') AS found FROM b)
 SELECT doc_id, start, surface, found AND length(between_) <= 90 AND NOT regexp_matches(between_, '(?i)(^|[^{WORD_CLASS}])(and|und|et)($|[^{WORD_CLASS}])') AS asserted FROM c""",
@@ -505,15 +512,16 @@ WITH t AS (SELECT user_id, event_id::INT AS start, (event_id + 1)::INT AS "end",
 f AS (SELECT *, lag(type) OVER (PARTITION BY user_id ORDER BY start) AS prev FROM t),
 r AS (SELECT *, sum((type IS NOT NULL AND (prev IS NULL OR prev <> type OR b))::INT) OVER (PARTITION BY user_id ORDER BY start) AS run FROM f)
 SELECT user_id, min(start) AS start, max("end") AS "end", type, round(avg(score), 6) AS confidence FROM r WHERE type IS NOT NULL GROUP BY user_id, run, type""",
-    "json_props": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",
+    "json_props": "SELECT event_id, event_id::BIGINT AS id, event_type AS normalized FROM events UNION ALL SELECT event_id, 0, user_id::VARCHAR FROM events",
     "export_json_rows": f"""{_WITH}, {_walk("hits", "h")},
-x AS (SELECT doc_id, start, "end", surface, substr(text, start + 1, "end" - start) AS own FROM h JOIN documents USING (doc_id) WHERE kind = 'A')
-SELECT doc_id, md5('[' || string_agg('{{"text":"' || own || '","position":[' || start || ',' || "end" || '],"type":"A","assertions":[]}}', ',' ORDER BY start, "end") || ']') AS json_md5 FROM x GROUP BY 1""",
+x AS (SELECT doc_id, start, "end", kind, substr(text, start + 1, "end" - start) AS own FROM h JOIN documents USING (doc_id))
+SELECT doc_id, md5('[' || string_agg('{{"text":"' || own || '","position":[' || start || ',' || "end" || '],"type":"' || kind || '","assertions":[]}}', ',' ORDER BY start, "end") || ']') AS json_md5 FROM x GROUP BY 1""",
     "cache_miss_anti": """
-WITH k AS (SELECT conv_id, sha256('{"model":"m","system":"' || role || '","user":"' || replace(text, chr(10), '\\n') || '"}') AS key FROM conversations)
+WITH k AS (SELECT conv_id, sha256('{"model":"m","generation":{"temperature":0.0,"top_p":1.0,"max_tokens":640,"seed":42,"timeout":600.0},"system":"' || role || '","user":"' || replace(text, chr(10), '\\n') || '"}') AS key FROM conversations)
 SELECT DISTINCT key FROM k WHERE key NOT IN (SELECT key FROM k WHERE conv_id % 2 = 0)""",
     "run_summary": f"""{_WITH}, {_walk("hits", "h")}
-SELECT toxic, count(DISTINCT h.doc_id) AS n_docs, count(*) AS n_spans, count(*) FILTER (kind = 'A') AS n_a, round(avg((length(surface) > 4)::INT), 6) AS long_share FROM h JOIN labels USING (doc_id) GROUP BY 1""",
+SELECT toxic, count(DISTINCT h.doc_id) AS files, count(*) AS entities, count(*) FILTER (kind = 'A') AS diagnoses, count(*) FILTER (kind = 'B') AS drugs,
+  round(count(*) FILTER (kind IN ('A', 'B') AND length(surface) > 4) / greatest(count(*) FILTER (kind IN ('A', 'B')), 1)::DOUBLE, 6) AS candidate_coverage FROM h JOIN labels USING (doc_id) GROUP BY 1""",
     "filter_reason_counts": f"""WITH {_WORDS}, {_TWO}
 SELECT CASE WHEN confidence < 0.2 THEN 'below_confidence' WHEN length(surface) > 8 THEN 'span_too_long' WHEN type = 'C' THEN 'type_not_allowed' ELSE 'accepted' END AS reason, count(*) AS n FROM l GROUP BY 1""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,6 +14,7 @@ def session(app: str = "cartula", **config: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.appName(app)
     for k, v in (settings | config).items():
@@ -33,3 +36,22 @@ def release() -> None:
     """Frees what runs so far kept; what they returned is computed anew if it is read again."""
     while _KEPT:
         _KEPT.pop().unpersist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only for a local master whose session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder: what is built on them is planned without what they were built from."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint(eager=True)

@@ -34,6 +34,12 @@ def section_aliases(path: str | Path) -> list[tuple[str, str]]:
     return [(str(k), str(v)) for k, values in config(path).items() for v in values or []]
 
 
+def assertion_cues(path: str | Path) -> dict[str, tuple[str, ...]]:
+    """Cues of each assertion, as a YAML file lists them; what it leaves out has none."""
+    own = config(path)
+    return {name: tuple(str(v) for v in own.get(name) or []) for name in fixed.ASSERTIONS}
+
+
 def section_policy(spark: SparkSession, payload: dict) -> DataFrame:
     """A row for each kind of section; what it doesn't say is null."""
     names = {"role": "role", "min_priority": "symptom_alias_min_priority", "symptom_structural": "symptom_structural", "diagnosis_structural": "diagnosis_structural", "assertion_history": "assertion_history", "assertion_family": "assertion_family", "rule_trust": "symptom_rule_trust"}
@@ -160,6 +166,12 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, text_path string, gold_path string, source string").json(path)
 
 
+def examples(texts: DataFrame, gold: DataFrame) -> DataFrame:
+    """note_id, start, end, text, type of annotations (see annotations) that are the text at their place in notes; others are left out."""
+    own = gold.join(texts.select("note_id", F.col("text").alias("__note")), "note_id")
+    return own.where(valid_span("__note", "start", "end", "text")).select("note_id", "start", "end", "text", "type")
+
+
 def vector_index(spark: SparkSession, path: str) -> DataFrame:
     """doc, vec and whatever else the index has; fails if vectors differ in length."""
     rows = spark.read.parquet(path)

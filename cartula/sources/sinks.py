@@ -19,19 +19,25 @@ def export_rows(rows: DataFrame, debug: bool = False) -> DataFrame:
     return rows.select("note_id", "start", "end", F.struct(*fields).alias("row"))
 
 
-def as_json(rows: DataFrame, debug: bool = False) -> DataFrame:
-    """note_id, json: the entities of a note, by place, as one JSON array."""
+def as_json(rows: DataFrame, debug: bool = False, notes: DataFrame | None = None) -> DataFrame:
+    """note_id, json: the entities of a note, by place, as one JSON array; an empty one for notes that have none."""
     own = export_rows(rows, debug).groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "row"))).alias("all"))
-    return own.select("note_id", F.to_json(F.transform("all", lambda x: x["row"])).alias("json"))
+    made = own.select("note_id", F.to_json(F.transform("all", lambda x: x["row"])).alias("json"))
+    return made if notes is None else notes.select("note_id").join(made, "note_id", "left").na.fill("[]", ["json"])
 
 
-def write_json(rows: DataFrame, path: str, debug: bool = False) -> None:
-    """A folder for each note with its JSON array; notes are written where they are."""
-    as_json(rows, debug).write.mode("append").partitionBy("note_id").text(path)
+def write_json(rows: DataFrame, path: str, debug: bool = False, notes: DataFrame | None = None) -> None:
+    """Adds to a table at path: a row of note_id and JSON array for each note, in as many files as there are tasks, not notes.
+
+    With notes those without entities count as done, too.
+    """
+    as_json(rows, debug, notes).write.mode("append").json(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, and a byte order mark in front of it, by which some programs know UTF-8."""
+    first, *others = rows.columns
+    rows.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_index(vectors: DataFrame, path: str) -> None:
@@ -44,5 +50,5 @@ def unfinished(notes: DataFrame, path: str) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return notes
-    done = spark.read.option("inferSchema", False).text(path).select(F.col("note_id").cast(notes.schema["note_id"].dataType)).distinct()
+    done = spark.read.schema(f"note_id {notes.schema['note_id'].dataType.simpleString()}").json(path).distinct()
     return notes.join(done, "note_id", "left_anti")

@@ -61,9 +61,10 @@ def bio_spans(tokens: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 def bio_labels(tokens: DataFrame, gold: DataFrame) -> DataFrame:
     """tokens (note_id, start, end) with label: B- or I- of the shortest gold span over it, O without; null for empty tokens (specials)."""
-    from cartula.operators.spans import best_of, joined, overlaps
+    from cartula.operators.spans import best_of, overlapping
 
-    met = joined(tokens, gold, overlaps("l", "r"), "left").select("l.note_id", "l.start", "l.end", F.col("r.type").alias("t"), F.col("r.start").alias("gs"), F.col("r.end").alias("ge"))
+    met = overlapping(tokens, gold).select("l.note_id", "l.start", "l.end", F.col("r.type").alias("t"), F.col("r.start").alias("gs"), F.col("r.end").alias("ge"))
+    met = tokens.select("note_id", "start", "end").join(met, ["note_id", "start", "end"], "left")
     one = best_of(met, ["note_id", "start", "end"], (F.col("ge") - F.col("gs")).asc_nulls_last(), "gs", "t")
     w = Window.partitionBy("note_id", "gs", "ge", "t").orderBy("start")
     prefix = F.when(F.row_number().over(w) == 1, "B-").otherwise("I-")

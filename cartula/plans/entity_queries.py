@@ -263,6 +263,44 @@ def glued_scan(spark, sf_dir):
     return lexicon.scan_glued(notes, words.select("surface")).groupBy(F.col("note_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("start").alias("places"))
 
 
+def exact_keys(spark, sf_dir):
+    """Texts folded and as keys by full Unicode rules."""
+    rows = base._notes(spark, sf_dir)
+    return rows.select(F.col("note_id").alias("doc_id"), F.md5(text.fold_exact("text")).alias("folded"), F.md5(text.ontology_key_exact("text")).alias("key"))
+
+
+def code_relations(spark, sf_dir):
+    """Whether codes of events are of one category, and their names without marks of word pieces."""
+    rows = base._table(spark, sf_dir, "events")
+    a, b = F.concat(F.lit("I"), (F.col("event_id") % 13).cast("string")), F.concat(F.lit("I"), (F.col("event_id") % 7).cast("string"), F.lit("."), (F.col("event_id") % 5).cast("string"))
+    return rows.select("event_id", text.related_codes(a, b).alias("related"), text.piece_surface(F.concat(F.lit("▁"), "event_type", F.lit("@@"))).alias("piece"))
+
+
+def chunk_choice(spark, sf_dir):
+    """Which chunks each text would be read in, by its records and how much its sections cover."""
+    notes, secs = base._notes(spark, sf_dir), base._sections(spark, sf_dir)
+    own = secs.where("canonical <> 'UNKNOWN'")
+    records = own.groupBy("note_id").agg(F.count("*").alias("records"))
+    covered = spans.coverage(own.select("note_id", F.col("header_start").alias("start"), F.col("content_end").alias("end")), notes)
+    rows = covered.join(records, "note_id", "left").na.fill(0, ["records"])
+    return rows.select(F.col("note_id").alias("doc_id"), windows.chunk_strategy("records", "covered", share=0.9).alias("strategy"))
+
+
+def hint_counts(spark, sf_dir):
+    """How many hints each chunk of a text is given: what is proposed in it, 80 at most."""
+    notes = base._notes(spark, sf_dir).select("note_id", F.translate("text", "\n", " ").alias("text"))
+    chunks = windows.char_chunks(notes, 2600, 120).withColumn("chunk", F.concat_ws("/", "note_id", "start"))
+    rows = models.hints(chunks, proposals(spark, sf_dir))
+    return rows.select(F.col("note_id").alias("doc_id"), "start", F.size(F.from_json("hints", "array<struct<start:int>>")).alias("n"))
+
+
+def token_labels(spark, sf_dir):
+    """Words labelled by the longest hits over them."""
+    tokens = spans.words(base._notes(spark, sf_dir)).select("note_id", "start", (F.col("start") + F.length("word")).alias("end"))
+    rows = windows.bio_labels(tokens, base._longest(spark, sf_dir).select("note_id", "start", "end", F.col("kind").alias("type")))
+    return rows.select(F.col("note_id").alias("doc_id"), "start", "end", "label")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -270,6 +308,7 @@ QUERIES = {
         exact_support_flags, first_support, trusted_overlaps, source_summary, place_range, one_type_a_span, type_chains, evidence_gate_decisions, context_gate_decisions,
         rerank_decisions, assertion_modes, verifier_batch_places, header_hits, section_policy_join, text_around_spans, repeated_words, colon_places, dose_strengths,
         char_chunk_bounds, piece_window_bounds, token_label_votes, record_bounds, lexicon_codes, glued_scan,
+        exact_keys, code_relations, chunk_choice, hint_counts, token_labels,
     )
 }
 
@@ -419,6 +458,16 @@ z AS (SELECT *, list_concat(list_transform(regexp_extract_all(text, '(?i){fixed.
    list_filter(t, lambda v: NOT regexp_full_match(v, '\d+') AND v NOT IN ({_list(fixed.RX_STOP)[1:-1]})) AS n, regexp_replace(regexp_replace(trim(text), '(?i){fixed.RX_LEAD}', ''), '(?is){fixed.RX_SCHEDULE}', '') AS m FROM y)
 SELECT doc_id, start, array_to_string(list_filter(s, lambda v, i: NOT list_contains(s[:i - 1], v)), '|') AS strengths, array_to_string(list_filter(n, lambda v, i: NOT list_contains(n[:i - 1], v)), ' ') AS name, trim(regexp_replace(trim(m, ' ,;:-'), '\s+', ' ', 'g')) AS mention,
   CASE WHEN start % 2 = 0 THEN [0, 8, 10, 99][start % 4 + 1] ELSE [6, 0, 3, 99][start % 4 + 1] END AS "rank" FROM z""",
+    "exact_keys": f"""SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(replace(lower(text), 'ß', 'ss')), '\s+', ' ', 'g'))) AS folded, md5(trim({base._KEY})) AS key FROM documents""",
+    "code_relations": """WITH x AS (SELECT event_id, event_type, 'I' || (event_id % 13) AS a, 'I' || (event_id % 7) || (event_id % 5) AS b FROM events) SELECT event_id, starts_with(a, b) OR starts_with(b, a) AS related, event_type AS piece FROM x""",
+    "chunk_choice": f"""WITH {base._SECTIONS}, n AS (SELECT doc_id, sum(content_end - header_start) AS n, count(*) AS records FROM sections WHERE canonical <> 'UNKNOWN' GROUP BY 1)
+SELECT d.doc_id, CASE WHEN records >= 2 THEN 'records' WHEN coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE >= 0.9 THEN 'sections' ELSE 'document' END AS strategy FROM d LEFT JOIN n x USING (doc_id)""",
+    "hint_counts": f"""{_ENT.replace("WITH ", "WITH RECURSIVE ", 1)}, nn AS (SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, n, 0 AS start, least(2600, n) AS "end" FROM nn UNION ALL SELECT doc_id, n, "end" - 120, least("end" - 120 + 2600, n) FROM c WHERE "end" < n)
+SELECT l.doc_id, l.start::INT AS start, least(count(r.doc_id), 80)::INT AS n FROM c l LEFT JOIN ent r ON {_MET} GROUP BY l.doc_id, l.start""",
+    "token_labels": f"""{_H}, t AS (SELECT doc_id, start, (start + length(word))::INT AS "end" FROM w WHERE word <> ''),
+m AS (SELECT t.doc_id, t.start, t."end", h.kind, row_number() OVER (PARTITION BY t.doc_id, h.start ORDER BY t.start) AS n FROM t JOIN h ON h.doc_id = t.doc_id AND h.start < t."end" AND t.start < h."end")
+SELECT t.doc_id, t.start, t."end", CASE WHEN kind IS NULL THEN 'O' WHEN n = 1 THEN 'B-' || kind ELSE 'I-' || kind END AS label FROM t LEFT JOIN m USING (doc_id, start, "end")""",
     "char_chunk_bounds": """WITH RECURSIVE n AS (SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, n, 0 AS start, least(2600, n) AS "end" FROM n UNION ALL SELECT doc_id, n, "end" - 120, least("end" - 120 + 2600, n) FROM c WHERE "end" < n)
 SELECT doc_id, start::INT AS start, "end"::INT AS "end" FROM c""",

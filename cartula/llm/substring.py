@@ -5,7 +5,7 @@ length, those that still repeat to twice that, and so on, until no candidates su
 each level the windows come in stretches: neighbours whose least hashed short window (half
 as long; ``FIRST`` words at the first level) is the same, which equal stretches share. Only
 stretches whose short window another document has are looked at; those that are equal as
-wholes are settled at once, by two 64-bit hashes of all their words, and the windows of the
+wholes are settled at once, by 96 bits of hashes of all their words, and the windows of the
 others are compared one by one, by two 64-bit hashes each. What survives a level is, in
 each document, runs of words all of whose windows repeat; of runs that are equal as wholes
 one goes on, as that of the others is as long as it gets.
@@ -16,7 +16,7 @@ the longest window, of all levels, that a document shares with one of a smaller
 
 Windows are judged on the input. Defined results: a null text has no words; a text
 shorter than the window keeps all; rows with a null id never are the smaller one and
-lose what any row with an id has; rows that repeat an id are the same document for that
+lose what any row with an id has; ids are under 2 ** 63 - 2 ** 41; rows that repeat an id are the same document for that
 comparison and so don't remove each other's words; an empty table gives an empty result;
 further columns are ignored.
 """
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from cartula.llm.common import checkpoint, collect_garbage, discard, small_batches, stored
 
+#: Stands for a null id: larger than any. (Ids are under 2 ** 63 - 2 ** 41.)
+_LAST = (1 << 63) - (1 << 41)
 #: Words of a window, and of the short windows of the first level.
 WINDOW, FIRST = 13, 7
 
@@ -146,30 +148,31 @@ def _signed(*columns: np.ndarray) -> list[pa.Array]:
 
 
 def _keys(length: int, short: int, hashed: bool):
-    """key, id of each stretch."""
+    """key of each stretch, and id of its row."""
 
     def run(batches):
         for b in batches:
             s = Stretches(*_words(b, hashed), length, short)
-            yield pa.RecordBatch.from_arrays(_signed(s.key, np.asarray(b.column("id"))[s.row]), ["key", "id"])
+            yield pa.RecordBatch.from_arrays(_signed(s.key, np.minimum(np.asarray(b.column("rid")), _LAST)[s.row]), ["key", "id"])
 
     return run
 
 
 def _wholes(length: int, short: int, hashed: bool):
-    """key, whole, other (the two hashes of all words), id and rid of each stretch."""
+    """key, whole, other (hashes of all words, of 64 and 32 bits) and rid of each stretch."""
 
     def run(batches):
         for b in batches:
             s = Stretches(*_words(b, hashed), length, short)
-            made = _signed(s.key, s.whole(), s.whole(_TWO), np.asarray(b.column("id"))[s.row], np.asarray(b.column("rid"))[s.row])
-            yield pa.RecordBatch.from_arrays(made, ["key", "whole", "other", "id", "rid"])
+            other = pa.array((s.whole(_TWO) >> np.uint64(33)).astype(np.int32))
+            key, whole, rid = _signed(s.key, s.whole(), np.asarray(b.column("rid"))[s.row])
+            yield pa.RecordBatch.from_arrays([key, whole, other, rid], ["key", "whole", "other", "rid"])
 
     return run
 
 
 def _windows(length: int, short: int, hashed: bool):
-    """id, rid and the two hashes of each window of a row's wanted stretches."""
+    """rid and the two hashes of each window of a row's wanted stretches."""
 
     def run(batches):
         for b in batches:
@@ -178,21 +181,22 @@ def _windows(length: int, short: int, hashed: bool):
             chosen = s.windows_of(_member(s.whole(), s.row, _list(b, "wanted")))
             at, row = s.window[chosen], s.window_row[chosen]
             h1, h2 = window_hashes(words, length), window_hashes(words, length, _TWO)
-            made = _signed(np.asarray(b.column("id"))[row], np.asarray(b.column("rid"))[row], *((h1[at], h2[at]) if len(at) else (h1[:0], h2[:0])))
-            yield pa.RecordBatch.from_arrays(made, ["id", "rid", "h1", "h2"])
+            made = _signed(np.asarray(b.column("rid"))[row], *((h1[at], h2[at]) if len(at) else (h1[:0], h2[:0])))
+            yield pa.RecordBatch.from_arrays(made, ["rid", "h1", "h2"])
 
     return run
 
 
-#: Stands for a null id: larger than any.
-_LAST = (1 << 63) - 1
-
-
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, t (the text), id and rid (which also tells rows without an id, or with the same, apart)."""
+    """doc_id, t (the text) and rid: the id or, without one, a number by the text from _LAST on."""
     small_batches(docs.sparkSession)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), id_.alias("id"), F.xxhash64(id_, "text").alias("rid"))
+    without = F.lit(_LAST) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"), F.coalesce(F.col("doc_id").cast("long"), without).alias("rid"))
+
+
+def _id() -> F.Column:
+    """The id by which rows are compared: rows without one are one, the last."""
+    return F.least("rid", F.lit(_LAST))
 
 
 def repeated(rows: DataFrame, length: int = WINDOW, short: int = FIRST, hashed: bool = False) -> DataFrame:
@@ -205,25 +209,25 @@ def repeated(rows: DataFrame, length: int = WINDOW, short: int = FIRST, hashed:
     smallest id is compared by windows. Stretches are cut twice from the texts rather than stored,
     as they take more room than the texts.
     """
-    rows = rows.select("id", "rid", "t")
+    rows = rows.select("rid", "t")
     keys = rows.mapInArrow(_keys(length, short, hashed), "key long, id long")
     twice = checkpoint(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
-    alive = stored(rows.mapInArrow(_wholes(length, short, hashed), "key long, whole long, other long, id long, rid long").join(twice, "key", "left_semi"))
+    alive = stored(rows.mapInArrow(_wholes(length, short, hashed), "key long, whole long, other int, rid long").join(twice, "key", "left_semi"))
     collect_garbage(rows.sparkSession)
-    owners = stored(alive.groupBy("key", "whole", "other").agg(F.min("id").alias("owner"), F.max("id").alias("last")))
+    owners = stored(alive.groupBy("key", "whole", "other").agg(F.min(_id()).alias("owner"), F.max(_id()).alias("last")))
     unlike = owners.groupBy("key").agg(F.count("*").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("n > 1 and lo < hi")
     unlike = checkpoint(unlike.select("key", F.lit(True).alias("unlike")))
     judged = owners.join(unlike, "key", "left").where("unlike or owner < last").select("whole", "other", "owner", (F.col("owner") < F.col("last")).alias("both"), "unlike")
     told = alive.drop("key").join(checkpoint(judged), ["whole", "other"])
     of = lambda condition, name: F.collect_set(F.when(condition, F.col("whole"))).alias(name)
-    whole = told.groupBy("rid").agg(of(F.col("both"), "shared"), of(F.col("id") > F.col("owner"), "lost"), of(F.col("unlike") & (F.col("id") == F.col("owner")), "wanted"))
+    whole = told.groupBy("rid").agg(of(F.col("both"), "shared"), of(_id() > F.col("owner"), "lost"), of(F.col("unlike") & (_id() == F.col("owner")), "wanted"))
     whole = stored(whole)
     discard(alive, owners)
     collect_garbage(rows.sparkSession)
     wanted = whole.where(F.size("wanted") > 0).select("rid", "wanted")
-    windows = stored(rows.join(wanted, "rid").mapInArrow(_windows(length, short, hashed), "id long, rid long, h1 long, h2 long"))
-    least = checkpoint(windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"))
-    part = windows.join(least, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("h1").alias("shared_w"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("h1"))).alias("lost_w"))
+    windows = stored(rows.join(wanted, "rid").mapInArrow(_windows(length, short, hashed), "rid long, h1 long, h2 long"))
+    least = checkpoint(windows.groupBy("h1", "h2").agg(F.min(_id()).alias("lo"), F.max(_id()).alias("hi")).where("lo < hi").drop("hi"))
+    part = windows.join(least, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("h1").alias("shared_w"), F.collect_set(F.when(_id() > F.col("lo"), F.col("h1"))).alias("lost_w"))
     out = stored(whole.drop("wanted").join(part, "rid", "full"))
     discard(whole, windows)
     collect_garbage(rows.sparkSession)
@@ -258,7 +262,7 @@ def _runs(s: Stretches, windows: np.ndarray, n_rows: int) -> list[list[bytes]]:
     return out
 
 
-_KEPT = "doc_id long, id long, rid long, n_words long, n_removed long, kept_sha256 string, kept binary, lost boolean, runs array<binary>"
+_KEPT = "doc_id long, rid long, n_words long, n_removed long, kept_sha256 string, kept binary, lost boolean, runs array<binary>"
 
 
 def _kept(with_text: bool):
@@ -274,13 +278,13 @@ def _kept(with_text: bool):
             runs = _runs(s, _covered(s, b, "shared", "shared_w"), b.num_rows)
             made = [pa.array(np.diff(offsets)), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if with_text else [None] * len(kept), pa.binary())]
             made += [pa.array(removed > 0), pa.array(runs, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "id", "rid")), *made], [c.split()[0] for c in _KEPT.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "rid")), *made], [c.split()[0] for c in _KEPT.split(", ")])
 
     return run
 
 
 def _next_runs(length: int, short: int):
-    """id, rid, lost (whether a smaller id has any window), runs of each run."""
+    """rid, lost (whether a smaller id has any window), runs of each run."""
 
     def run(batches):
         for b in batches:
@@ -289,7 +293,7 @@ def _next_runs(length: int, short: int):
             lost = np.zeros(b.num_rows, bool)
             lost[s.window_row[_covered(s, b, "lost", "lost_w")]] = True
             made = [pa.array(lost), pa.array(_runs(s, _covered(s, b, "shared", "shared_w"), b.num_rows), pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rid"), *made], ["id", "rid", "lost", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), *made], ["rid", "lost", "runs"])
 
     return run
 
@@ -303,19 +307,19 @@ def longest(first: DataFrame, window: int = WINDOW) -> DataFrame:
     reached, length = first.where("lost").select("rid", F.lit(window).cast("long").alias("n")), window
     level = first
     while True:
-        runs = level.select("id", "rid", F.explode("runs").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("g", F.xxhash64(F.lit(1), "t"))
+        runs = level.select("rid", F.explode("runs").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("g", F.xxhash64(F.lit(1), "t"))
         runs = stored(runs)
         if runs.isEmpty():
             break
-        own = checkpoint(runs.groupBy("h", "g").agg(F.min("id").alias("owner")))
+        own = checkpoint(runs.groupBy("h", "g").agg(F.min(_id()).alias("owner")))
         told = runs.join(own, ["h", "g"])
         doubled = F.pow(F.lit(2.0), F.floor(F.log2(F.octet_length("t") / F.lit(8.0 * window)) + 1e-9))
-        settled = told.where("id > owner").select("rid", (window * doubled).cast("long").alias("n"))
+        settled = told.where(_id() > F.col("owner")).select("rid", (window * doubled).cast("long").alias("n"))
         length, short = length * 2, length
-        rows = stored(told.where("id = owner").dropDuplicates(["h", "g"]).select("id", "rid", "t"))
+        rows = stored(told.where(_id() == F.col("owner")).dropDuplicates(["h", "g"]).select("rid", "t"))
         marks = repeated(rows, length, short, hashed=True)
-        level = rows.join(marks, "rid").select("id", "rid", "t", "shared", "lost", "shared_w", "lost_w")
-        level = checkpoint(level.mapInArrow(_next_runs(length, short), "id long, rid long, lost boolean, runs array<binary>"))
+        level = rows.join(marks, "rid").select("rid", "t", "shared", "lost", "shared_w", "lost_w")
+        level = checkpoint(level.mapInArrow(_next_runs(length, short), "rid long, lost boolean, runs array<binary>"))
         discard(rows, marks)
         reached = checkpoint(reached.unionByName(settled).unionByName(level.where("lost").select("rid", F.lit(length).cast("long").alias("n"))).groupBy("rid").agg(F.max("n").alias("n")))
         discard(runs)
@@ -325,7 +329,7 @@ def longest(first: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by spaces; null without text) and longest of each row."""
     rows = numbered(docs)
-    marked = rows.join(repeated(rows), "rid", "left").select("doc_id", "id", "rid", "t", "shared", "lost", "shared_w", "lost_w")
+    marked = rows.join(repeated(rows), "rid", "left").select("doc_id", "rid", "t", "shared", "lost", "shared_w", "lost_w")
     first = stored(marked.mapInArrow(_kept(with_text), _KEPT))
     out = first.join(longest(first), "rid", "left")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, parts, ranked
+from cartula.llm.common import checkpoint, ranked
 
 #: Bits of each dimension.
 BITS = 4
@@ -117,12 +117,11 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot, in the order of the curve."""
+    """docs with size, text_crc32, law, shard, slot, in the order of the curve: as they were ranged to be ranked."""
     rows = assigned(docs, shards, keep=True)
     made = ("size", "text_crc32", "law", "shard", "slot")
     own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in made]
-    rows = rows.select(*own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
-    return rows.repartitionByRange(parts(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    return rows.select(*own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:

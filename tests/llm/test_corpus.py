@@ -82,7 +82,7 @@ def plain_outcomes(text, stems=()):
 def test_grammar_against_plain_matching():
     rng, g = random.Random(11), toxicity.Grammar(stems=["zquu"])
     some = ["you", "not", "said", "kill", "idiot", "burn", "zquuta", "the", "cat", "Scum", "niemals", "usted", ".", "!", "\n", ", ", "they", "x1y"]
-    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["you idiot " * 20_000]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["you idiot " * 2000]
     for t in texts:
         assert {o: c for o, c in zip(toxicity.OUTCOMES, g.features(t)) if c} == plain_outcomes(t, ["zquu"])
 

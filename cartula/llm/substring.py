@@ -340,9 +340,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-l AS (SELECT 13 * (1 << k) AS n FROM range(0, (SELECT greatest(1, ceil(log2(greatest(max(len(w)), 13) / 13.0))::BIGINT + 1) FROM d)) t(k)),
-p AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, l WHERE len(w) >= n)),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+r AS (SELECT doc_id, 13 AS n, list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i:i + 12], ' '))) AS k FROM d WHERE len(w) >= 13
+  UNION ALL SELECT doc_id, 2 * n, list_transform(range(1, len(k) - n + 1), lambda i: md5(k[i] || k[i + n])) FROM r WHERE len(k) > n),
+p AS (SELECT doc_id, n, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM r),
 f AS (SELECT n, k, min(doc_id) AS first FROM p GROUP BY n, k),
 x AS (SELECT doc_id, i, n FROM p JOIN f USING (n, k) WHERE first < doc_id),
 c AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM x, range(0, 13) r(j) WHERE n = 13 GROUP BY doc_id),

@@ -458,7 +458,7 @@ z AS (SELECT *, list_concat(list_transform(regexp_extract_all(text, '(?i){fixed.
    list_filter(t, lambda v: NOT regexp_full_match(v, '\d+') AND v NOT IN ({_list(fixed.RX_STOP)[1:-1]})) AS n, regexp_replace(regexp_replace(trim(text), '(?i){fixed.RX_LEAD}', ''), '(?is){fixed.RX_SCHEDULE}', '') AS m FROM y)
 SELECT doc_id, start, array_to_string(list_filter(s, lambda v, i: NOT list_contains(s[:i - 1], v)), '|') AS strengths, array_to_string(list_filter(n, lambda v, i: NOT list_contains(n[:i - 1], v)), ' ') AS name, trim(regexp_replace(trim(m, ' ,;:-'), '\s+', ' ', 'g')) AS mention,
   CASE WHEN start % 2 = 0 THEN [0, 8, 10, 99][start % 4 + 1] ELSE [6, 0, 3, 99][start % 4 + 1] END AS "rank" FROM z""",
-    "exact_keys": f"""SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(replace(lower(text), 'ß', 'ss')), '\s+', ' ', 'g'))) AS folded, md5(trim({base._KEY})) AS key FROM documents""",
+    "exact_keys": rf"""SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(replace(lower(text), 'ß', 'ss')), '\s+', ' ', 'g'))) AS folded, md5(trim({base._KEY})) AS key FROM documents""",
     "code_relations": """WITH x AS (SELECT event_id, event_type, 'I' || (event_id % 13) AS a, 'I' || (event_id % 7) || (event_id % 5) AS b FROM events) SELECT event_id, starts_with(a, b) OR starts_with(b, a) AS related, event_type AS piece FROM x""",
     "chunk_choice": f"""WITH {base._SECTIONS}, n AS (SELECT doc_id, sum(content_end - header_start) AS n, count(*) AS records FROM sections WHERE canonical <> 'UNKNOWN' GROUP BY 1)
 SELECT d.doc_id, CASE WHEN records >= 2 THEN 'records' WHEN coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE >= 0.9 THEN 'sections' ELSE 'document' END AS strategy FROM d LEFT JOIN n x USING (doc_id)""",

@@ -710,6 +710,47 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_stage_contents(spark, tmp_path):
+    """What each stage keeps of what it was given, against plain Python; further columns go along."""
+    import corpus_pipeline
+
+    bad = [(300 + k, f"you idiot and you moron, what scum {k}", "en", "s1", 0, "x", 1) for k in range(5)]
+    data = [r for r in corpus(40) if r[0] is None or r[0] < 43] + bad
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = " ".join(fold10(corpus(40)[2][1])[:14])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given, table = data, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    grammar = toxicity.Grammar()  # labels of one kind teach nothing: the seed grammar holds
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/kept{k}")
+        table = spark.read.parquet(f"{tmp_path}/kept{k}")
+        got = sorted((tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars", "h", "fp")) for r in table.collect()), key=repr)
+        if name == "toxicity":
+            want = [r for r in given if grammar.score(r[1]) < 0.7]
+            assert len(want) == len(given) - len(bad)
+        elif name.startswith("simhash"):
+            of = plain_copies([(i, t or "") for i, t, *_ in given])
+            want = list({r[0]: r for r in given if of[r[0]] == r[0]}.values())
+            assert len(want) < len(given)
+        elif name.startswith("benchmark"):
+            window = item.split()[:13], item.split()[1:]
+            hit = lambda t: sum(any(w[p : p + 13] in window for p in range(max(0, i - 12), i + 1)) for i in range(len(w))) if (w := fold10(t)) else 0
+            want = [r for r in given if not (hit(r[1]) and 20 * hit(r[1]) >= len(fold10(r[1])))]
+            assert len(want) < len(given)
+        elif name.startswith("mixing"):
+            times = {r["doc_id"]: r["n_copies"] for r in mixing.mix(spark.createDataFrame(given, DOCS)).collect()}
+            want = [r for r in given for _ in range(times[r[0]])]
+            sizes = {i: len(fold10(t)) for i, t, *_ in given}
+            assert {0, 2} <= set(times.values()) or len(set(times.values())) > 1, sizes
+        else:
+            want = given
+            placed = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["shard"]) for r in table.collect())
+            assert placed == sorted((i is not None, i or 0, s) for i, _, _, s, _ in plain_shards(given))
+        assert got == sorted((tuple(r) for r in want), key=repr), name
+        given = got
+
+
 def test_near_copies_stage_against_plain_python(spark):
     import corpus_pipeline
 

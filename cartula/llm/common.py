@@ -8,6 +8,9 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +88,41 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def merged(vectors: DataFrame, kind: str = "<i8") -> np.ndarray | None:
+    """The sum of a column of vectors (binary, a row for each partition or so), added up in a tree of tasks; None without rows.
+
+    A task adds some forty vectors, and no more than that reach the driver.
+    """
+    rows = vectors.rdd.map(lambda r: np.frombuffer(r[0], kind))
+    n, depth = rows.getNumPartitions(), 2
+    if not n:
+        return None
+    while 40**depth < n:
+        depth += 1
+    return rows.mapPartitions(_added).treeReduce(_sum, depth)
+
+
+def _sum(a, b):
+    return b if a is None else a if b is None else a + b
+
+
+def _added(vectors):
+    out = None
+    for v in vectors:
+        out = _sum(out, v)
+    return [out]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of an Arrow column, one after another, and where each begins and the last ends; null is empty."""
+    own = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(own):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    cuts = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    return data, cuts - cuts[0]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of df, in any case, has them."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartula.llm import ann, chat, decontam, hilbert, idcoder, linedup, mixing, simhash, substring, toxicity
+from cartula.llm import ann, chat, codes, decontam, hilbert, idcoder, langid, linedup, mixing, resample, simhash, substring, toxicity
 from cartula.llm.common import small_batches, table
 
 
@@ -21,7 +21,7 @@ def op2_context_mixing_ids(spark, sf_dir, tokenizer=None):
 
 
 def op3_hilbert_sharding(spark, sf_dir):
-    """All documents in shards 0 to 7 by the law ``rows``."""
+    """All documents in shards 0 to 7 by the law ``bytes``."""
     return hilbert.shard(table(spark, sf_dir, "documents"), 8)
 
 
@@ -60,5 +60,29 @@ def op10_suffix_automaton_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_grammar, op2_context_mixing_ids, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat, op8_deletion_neighbourhood_lines, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination)}
-ORACLES = {"op5_level_wise_substring_dedup": substring.SQL, "op7_reply_tree_chat": chat.SQL, "op10_suffix_automaton_decontamination": decontam.SQL, "op9_weighted_fair_mixing": mixing.SQL}
+def op11_importance_resampling(spark, sf_dir):
+    """Weight of each document, and the rank of those drawn towards the benchmark's texts."""
+    return resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_annular_vector_codes(spark, sf_dir):
+    """Code and error of each vector."""
+    return codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_string_kernel_languages(spark, sf_dir):
+    """Language of each document."""
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_grammar, op2_context_mixing_ids, op3_hilbert_sharding, op4_bit_sliced_simhash, op5_level_wise_substring_dedup, op6_block_matrix_neighbours, op7_reply_tree_chat,
+        op8_deletion_neighbourhood_lines, op9_weighted_fair_mixing, op10_suffix_automaton_decontamination, op11_importance_resampling, op12_annular_vector_codes, op13_string_kernel_languages,
+    )
+}
+ORACLES = {
+    "op11_importance_resampling": resample.SQL, "op12_annular_vector_codes": codes.SQL,
+    "op5_level_wise_substring_dedup": substring.SQL, "op7_reply_tree_chat": chat.SQL, "op10_suffix_automaton_decontamination": decontam.SQL, "op9_weighted_fair_mixing": mixing.SQL,
+}

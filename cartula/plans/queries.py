@@ -225,15 +225,37 @@ def _vectors(spark, sf_dir):
 
 def cosine_topk(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    found = retrieval.cosine(rows.withColumnRenamed("vec_id", "doc"), rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), 5, 4)
+    found = retrieval.cosine_others(rows.withColumnRenamed("vec_id", "doc"), rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), 5, 4)
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "rank", "score")
 
 
+def cosine_cells(spark, sf_dir):
+    """As cosine_topk, through an index of cells whatever the number of vectors."""
+    rows = _vectors(spark, sf_dir)
+    index = retrieval.cell_index(rows.withColumnRenamed("vec_id", "doc"), whole=0)
+    found = retrieval.cosine_others(index, rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), 5, 4)
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "rank", "score")
+
+
+#: Letters whose numbers in a text are its vector in dense_link.
+COUNTED = "abcdefghijklmnop"
+
+
+def dense_link(spark, sf_dir):
+    """The document whose letters are most like those of each benchmark item, and of a blank text."""
+    embed = lambda t: t.withColumn("vec", F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in COUNTED]))
+    docs = _table(spark, sf_dir, "documents")
+    index = embed(docs.select(F.col("doc_id").alias("doc"), "text")).select("doc", "vec")
+    texts = _table(spark, sf_dir, "benchmark").select(F.col("text").alias("query")).unionByName(spark.createDataFrame([(" ",)], "query string"))
+    entries = docs.select(F.col("doc_id").alias("doc"), F.concat(F.lit("D"), "doc_id").alias("code"), F.col("source").alias("title"))
+    return retrieval.dense_link(texts, index, entries, embed).select(F.md5("query").alias("query_md5"), "code", "title", "score")
+
+
 def hybrid_fusion(spark, sf_dir):
     """BM25 and cosine hits of the benchmark items whose number is a vector's, weighted."""
     vecs = _vectors(spark, sf_dir)
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    dense = retrieval.cosine(vecs.withColumnRenamed("vec_id", "doc"), vecs.join(items, "vec_id", "left_semi").withColumnRenamed("vec_id", "query"), 15, 4)
+    dense = retrieval.cosine_others(vecs.withColumnRenamed("vec_id", "doc"), vecs.join(items, "vec_id", "left_semi").withColumnRenamed("vec_id", "query"), 15, 4)
     rows = retrieval.fused(_bm25(spark, sf_dir, 15), dense.drop("rank"), 5)
     return rows.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
 
@@ -360,7 +382,7 @@ QUERIES = {
     for f in (
         flagship_term_sections, line_offsets, clause_split, normalize_tokens, fold_text, doc_frequency, dict_scan, dict_scan_longest, dict_scan_policy, ngram_hits,
         section_tiles, section_asof, section_coverage, next_span_window, last_cue_assertion, support_semi, conflict_anti, overlap_ratio_join, containment_join,
-        argmax_dedup, type_votes, same_span_merge, bm25_topk, bm25_margin_gate, cosine_topk, hybrid_fusion, rarest_posting_candidates, token_coverage_join,
+        argmax_dedup, type_votes, same_span_merge, bm25_topk, bm25_margin_gate, cosine_topk, cosine_cells, dense_link, hybrid_fusion, rarest_posting_candidates, token_coverage_join,
         token_windows, bio_decode, json_props, export_json_rows, cache_miss_anti, run_summary, filter_reason_counts, regex_span_offsets, semantic_chunk_bounds,
         rule_entities,
     )
@@ -494,6 +516,12 @@ SELECT doc_id, start, "end", type, first(source ORDER BY confidence DESC, seq) A
     "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, rank::INT AS rank, score FROM bm WHERE rank <= 5",
     "bm25_margin_gate": f"WITH {_BM25}, m AS (SELECT *, round(score - coalesce(lead(score) OVER (PARTITION BY item_id ORDER BY rank), 0), 6) AS margin FROM bm WHERE rank <= 2) SELECT item_id, doc_id, margin, score >= 3.4 AND margin >= 0.55 AS accepted FROM m WHERE rank = 1",
     "cosine_topk": f"WITH {_COS.format(which='q.vec_id % 20 = 0')} SELECT query AS query_id, doc AS vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank, score FROM cs QUALIFY rank <= 5",
+    "dense_link": f"""WITH t AS (SELECT DISTINCT text FROM benchmark UNION SELECT ' '), u AS (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM t),
+c AS (SELECT doc_id, text, list_transform(string_split('{COUNTED}', ''), lambda x: (length(text) - length(replace(text, x, '')))::DOUBLE) AS v FROM u),
+n AS (SELECT doc_id, text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c WHERE list_sum(v) > 0),
+s AS (SELECT q.text, d.doc_id, round(list_dot_product(q.v, d.v), 6) AS score FROM n q, n d WHERE q.doc_id IS NULL AND d.doc_id IS NOT NULL),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, doc_id) = 1)
+SELECT md5(t.text) AS query_md5, 'D' || doc_id AS code, source AS title, score FROM t LEFT JOIN b USING (text) LEFT JOIN documents USING (doc_id)""",
     "hybrid_fusion": f"""WITH {_BM25}, {_COS.format(which="q.vec_id IN (SELECT item_id FROM benchmark)")},
 dn AS (SELECT query AS item_id, doc AS doc_id, score AS d FROM cs QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 15),
 b AS (SELECT coalesce(bm.item_id, dn.item_id) AS item_id, coalesce(bm.doc_id, dn.doc_id) AS doc_id, coalesce(bm.score, 0) AS s, coalesce(dn.d, 0) AS d FROM (SELECT * FROM bm WHERE rank <= 15) bm FULL JOIN dn ON bm.item_id = dn.item_id AND bm.doc_id = dn.doc_id),
@@ -525,3 +553,4 @@ SELECT toxic, count(DISTINCT h.doc_id) AS files, count(*) AS entities, count(*)
     "filter_reason_counts": f"""WITH {_WORDS}, {_TWO}
 SELECT CASE WHEN confidence < 0.2 THEN 'below_confidence' WHEN length(surface) > 8 THEN 'span_too_long' WHEN type = 'C' THEN 'type_not_allowed' ELSE 'accepted' END AS reason, count(*) AS n FROM l GROUP BY 1""",
 }
+ORACLES["cosine_cells"] = ORACLES["cosine_topk"]

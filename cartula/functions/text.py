@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def rx(pattern: str) -> str:
@@ -82,6 +82,12 @@ def between(text: str | Column, start: str | Column, end: str | Column) -> Colum
     return F.substring(col(text), s + 1, F.greatest(e - s, F.lit(0)))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def slices(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """The characters from each of several starts to its end: of a long text each costs its own length, not its place."""
+    return pd.Series([[t[a:z] for a, z in zip(own, others)] for t, own, others in zip(text, starts, ends)], dtype=object)
+
+
 def before(text: str | Column, at: str | Column, n: int) -> Column:
     """At most n characters before a place."""
     a = col(at)

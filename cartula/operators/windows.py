@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartula.functions import fixed
+from cartula.functions.text import rx, slices
+from cartula.operators.spans import LINES, pieces
 
 
 def token_windows(counts: DataFrame, size: int = 220, overlap: int = 64) -> DataFrame:
@@ -72,102 +71,115 @@ def bio_labels(tokens: DataFrame, gold: DataFrame) -> DataFrame:
     return one.withColumn("label", label).select("note_id", "start", "end", "label")
 
 
-def cut_points(length: int, find, size: int, overlap: int, lo: int = 0):
-    """Chunks [a, b) of lo .. length: at most size long, cut at the last boundary in the second half if there is one."""
-    at = lo
-    while at < length:
-        end = min(at + size, length)
-        if end < length:
-            cut = find(at + size // 2, end)
-            if cut is not None and cut > at:
-                end = cut
-        yield at, end
-        if end >= length:
-            return
-        at = max(at + 1, end - overlap)
+#: Pieces of a text that end where it may be cut: after a line break, or a full stop and a space.
+STOPS = r"[^\n.]*(?:\n|\.[ ]?)|[^\n.]+$"
+_SPAN = "struct<a:int,z:int>"
+
+
+def stops(notes: DataFrame, sentences: bool = True) -> DataFrame:
+    """note_id, p, e: the marks (from p to e) after which a text may be cut."""
+    rows = pieces(notes, STOPS if sentences else LINES)
+    size = F.when(F.endswith("piece", F.lit("\n")), 1).when(F.endswith("piece", F.lit(". ")), 2)
+    e = F.col("start") + F.length("piece")
+    return rows.select("note_id", (e - size).alias("p"), e.alias("e")).where(F.col("p").isNotNull())
+
 
+def _chunks(a: Column, z: Column, marks: Column, size: int, overlap: int) -> Column:
+    """Chunks from a to z as an array: each size long at most, and cut after the last mark of its second half, if there is one.
+
+    One fold over the marks in order. A mark in reach is the cut so far; one out of reach closes the chunk. Where chunks have
+    no mark they are cut at their size, and how many of them lie before the next mark follows from its place. Each chunk begins
+    overlap before the end of the one before.
+    """
+    if not 0 <= overlap < size // 2:
+        raise ValueError(f"chunks of {size} can't overlap by {overlap}")
+    step = size - overlap
+    span = lambda x, y: F.struct(x.cast("int").alias("a"), y.cast("int").alias("z"))
+    whole = lambda at, to: F.greatest(F.lit(0), F.ceil((to - at - size) / step)).cast("int")
+    plain = lambda at, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: span(at + i * step, at + i * step + size))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    state = lambda at, cut, out: F.struct(at.cast("int").alias("at"), cut.cast("int").alias("cut"), out.alias("out"))
 
-def _boundary(text: str, marks: tuple[str, ...]):
-    def find(lo: int, hi: int):
-        place, mark = max(((text.rfind(m, lo, hi), m) for m in marks), key=lambda x: x[0])
-        return None if place < 0 else place + (2 if text[place : place + 2] == ". " else 1)
+    def closed(s):
+        """The chunk up to the cut so far, if there is one: the next one's start, and the chunks."""
+        some = s["cut"].isNotNull()
+        return F.when(some, s["cut"] - overlap).otherwise(s["at"]), F.when(some, F.concat(s["out"], F.array(span(s["at"], s["cut"])))).otherwise(s["out"])
 
-    return find
+    def met(s, m):
+        at, out = closed(s)
+        n = F.least(whole(at, m["e"]), whole(at, z))
+        to = at + n * step
+        inside = (m["p"] >= to + size // 2) & (to + size < z)
+        within = state(s["at"], F.when(m["p"] >= s["at"] + size // 2, m["e"]).otherwise(s["cut"]), s["out"])
+        beyond = state(to, F.when(inside, m["e"]), F.concat(out, plain(at, n)))
+        return F.when(s["at"] + size >= z, s).when(m["e"] > s["at"] + size, beyond).otherwise(within)
 
+    def last(s):
+        at, out = closed(F.when(s["at"] + size < z, s).otherwise(state(s["at"], F.lit(None), s["out"])))
+        n = whole(at, z)
+        return F.concat(out, plain(at, n), F.array(span(at + n * step, z)))
 
-def _map_notes(notes: DataFrame, one, schema: str, names: list[str], kinds: list[pa.DataType], *also: str) -> DataFrame:
-    """Rows (note_id, ...) that one(text, *also) yields for each note; each note by itself."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.when(z > a, F.aggregate(marks, state(a, F.lit(None), none), met, last)).otherwise(none)
 
-    def run(batches):
-        for b in batches:
-            out = [(note, *row) for note, *args in zip(*(c.to_pylist() for c in b.columns)) for row in one(*args)]
-            columns = list(zip(*out)) or [()] * (len(names) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [b.schema.field(0).type, *kinds])], ["note_id", *names])
 
-    kind = notes.schema["note_id"].dataType.simpleString()
-    return notes.select("note_id", "text", *also).mapInArrow(run, f"note_id {kind}, {schema}")
+def _marks(column: str = "marks") -> Column:
+    return F.coalesce(column, F.array().cast("array<struct<p:int,e:int>>"))
 
 
 def char_chunks(notes: DataFrame, size: int = 2600, overlap: int = 120) -> DataFrame:
-    """note_id, start, end: chunks of fixed size, cut at a line break in their second half. Each cut depends on the one before."""
+    """note_id, start, end: chunks of fixed size, cut at a line break in their second half."""
+    marks = stops(notes, sentences=False).groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("p", "e"))).alias("marks"))
+    rows = notes.select("note_id", F.coalesce(F.length("text"), F.lit(0)).alias("z")).join(marks, "note_id", "left")
+    cut = rows.select("note_id", F.explode(_chunks(F.lit(0), F.col("z"), _marks(), size, overlap)).alias("c"))
+    return cut.select("note_id", F.col("c.a").alias("start"), F.col("c.z").alias("end"))
 
-    def one(text):
-        text = text or ""
-        yield from cut_points(len(text), _boundary(text, ("\n",)), size, overlap)
 
-    return _map_notes(notes, one, "start int, end int", ["start", "end"], [pa.int32(), pa.int32()])
+def heading_blocks(notes: DataFrame) -> DataFrame:
+    """note_id, a, z, heading: what numbered headings begin; a heading before any other text names the first block, else DOCUMENT does."""
+    own = F.regexp_replace("piece", r"(?U)^\s+|\s+$", "")
+    rows = pieces(notes, LINES).withColumn("own", own).withColumn("head", (F.col("own") != "") & F.col("piece").rlike(f"(?iuUm){fixed.CHUNK_HEADING}"))
+    w = Window.partitionBy("note_id").orderBy("i")
+    seen = F.coalesce(F.max(F.col("own") != "").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumn("block", F.sum((F.col("head") & seen).cast("int")).over(w))
+    first = F.min(F.when(F.col("own") != "", F.struct("i", "head", F.substring("own", 1, 180).alias("own"))))
+    out = rows.groupBy("note_id", "block").agg(F.min("start").alias("a"), F.max(F.col("start") + F.length("piece")).alias("z"), first.alias("f"))
+    return out.select("note_id", "a", "z", F.when(F.col("f.head"), F.col("f.own")).otherwise("DOCUMENT").alias("heading"))
 
 
 def semantic_chunks(notes: DataFrame, sections: DataFrame | None = None, size: int = 1800, overlap: int = 120, least: int = 1) -> DataFrame:
     """note_id, start, end, heading, signal of chunks that say something medical.
 
-    Blocks are sections, or what numbered headings begin; administrative blocks without a cue
-    are left out, neighbours of one heading are joined while they fit. A note in which no chunk
-    has enough cues is one chunk, whatever its length.
+    Blocks are sections, or what numbered headings begin; administrative blocks without a cue are left out, neighbours (of one
+    heading, if they are sections) are joined while they fit. A note in which no chunk has enough cues is one chunk, whatever its length.
     """
-    heading, cue, admin = (re.compile(p, re.IGNORECASE | f) for p, f in ((fixed.CHUNK_HEADING, re.MULTILINE), (fixed.MEDICAL_CUE, 0), (fixed.ADMIN_BLOCK, 0)))
+    cues = lambda t: F.regexp_count(t, F.lit(rx(fixed.MEDICAL_CUE)))
+    notes = notes.select("note_id", F.coalesce("text", F.lit("")).alias("text"))
     if sections is None:
-        notes = notes.withColumn("blocks", F.lit(None).cast("array<struct<a:int,z:int,heading:string>>"))
+        blocks = heading_blocks(notes)
     else:
         title = F.when(F.trim("header") != "", F.concat_ws(": ", "canonical", F.trim("header"))).otherwise(F.col("canonical"))
         first = F.when(F.col("header") != "", F.col("header_start")).otherwise(F.col("content_start"))
-        own = sections.select("note_id", F.struct(first.cast("int").alias("a"), F.col("content_end").cast("int").alias("z"), F.substring(title, 1, 180).alias("heading")).alias("b"))
-        notes = notes.join(own.groupBy("note_id").agg(F.array_sort(F.collect_list("b")).alias("blocks")), "note_id", "left")
-
-    def by_headings(text):
-        at, title, seen = 0, "DOCUMENT", False
-        for m in re.finditer(r"[^\n]*\n|[^\n]+$", text):
-            line = m[0].strip()
-            if line and heading.match(m[0]):
-                if seen and m.start() > at:
-                    yield at, m.start(), title
-                    at = m.start()
-                title = line[:180]
-            seen = seen or bool(line)
-        if at < len(text):
-            yield at, len(text), title
-
-    def one(text, blocks):
-        text, given = text or "", blocks is not None
-        joined: list[tuple[int, int, str]] = []
-        for a, z, title in ((b["a"], b["z"], b["heading"]) for b in blocks) if given else by_headings(text):
-            own = text[a:z]
-            if z <= a or (len(cue.findall(own)) < least and admin.match(own.strip())):
-                continue
-            if joined and joined[-1][1] == a and z - joined[-1][0] <= size and (not given or title == joined[-1][2]):
-                joined[-1] = (joined[-1][0], z, joined[-1][2])
-            else:
-                joined.append((a, z, title))
-        out = []
-        for a, z, title in joined:
-            for lo, hi in cut_points(z, _boundary(text, ("\n\n", "\n", ". ")), size, overlap, a):
-                n = len(cue.findall(text[lo:hi]))
-                if n >= least:
-                    out.append((lo, hi, title, n))
-        return out or [(0, len(text), "DOCUMENT", len(cue.findall(text)))]
-
-    schema = "start int, end int, heading string, signal int"
-    return _map_notes(notes, one, schema, ["start", "end", "heading", "signal"], [pa.int32(), pa.int32(), pa.string(), pa.int32()], "blocks")
+        blocks = sections.select("note_id", first.alias("a"), F.col("content_end").alias("z"), F.substring(title, 1, 180).alias("heading"))
+    block = F.struct(F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"), "heading")
+    held = notes.join(blocks.where("z > a").groupBy("note_id").agg(F.array_sort(F.collect_list(block)).alias("blocks")), "note_id")
+    idle = lambda t: (cues(t) < least) & t.rlike(rx(rf"^\s*{fixed.ADMIN_BLOCK.lstrip('^')}"))
+    said = F.zip_with("blocks", slices("text", "blocks.a", "blocks.z"), lambda b, t: F.when(~idle(t), b))
+    near = lambda x, b: (x["z"] == b["a"]) & (b["z"] - x["a"] <= size) & (F.lit(sections is None) | (x["heading"] == b["heading"]))
+    tail = lambda x: F.element_at(x, -1)
+    longer = lambda x, b: F.concat(F.slice(x, 1, F.size(x) - 1), F.array(F.struct(tail(x)["a"].alias("a"), b["z"].alias("z"), tail(x)["heading"].alias("heading"))))
+    joined = F.aggregate("said", F.slice("said", 1, 0), lambda x, b: F.when((F.size(x) > 0) & near(tail(x), b), longer(x, b)).otherwise(F.concat(x, F.array(b))))
+    rows = held.withColumn("said", F.filter(said, lambda b: b.isNotNull())).select("note_id", F.explode(joined).alias("b")).select("note_id", "b.*")
+    marks = stops(notes).select("note_id", F.col("p").alias("at"), F.lit(1).alias("kind"), F.struct("p", "e").alias("m"))
+    both = rows.select("note_id", F.col("a").alias("at"), F.lit(0).alias("kind"), F.struct("a", "z").alias("b")).unionByName(marks, True)
+    within = F.last("b", ignorenulls=True).over(Window.partitionBy("note_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    own = both.withColumn("b", within).where((F.col("kind") == 1) & (F.col("at") < F.col("b.z"))).groupBy("note_id", F.col("b.a").alias("a")).agg(F.array_sort(F.collect_list("m")).alias("marks"))
+    cut = rows.join(own, ["note_id", "a"], "left").select("note_id", "heading", F.explode(_chunks(F.col("a"), F.col("z"), _marks(), size, overlap)).alias("c"))
+    of = cut.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("c.a", "c.z", "heading"))).alias("chunks"))
+    told = notes.join(of, "note_id", "left").withColumn("chunks", F.coalesce("chunks", F.slice(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("z"), F.lit("").alias("heading"))), 1, 0)))
+    chunk = lambda c, n: F.struct(c["a"].alias("start"), c["z"].alias("end"), c["heading"].alias("heading"), n.alias("signal"))
+    good = F.filter(F.zip_with("chunks", slices("text", "chunks.a", "chunks.z"), lambda c, t: chunk(c, cues(t))), lambda c: c["signal"] >= least)
+    every = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("DOCUMENT").alias("heading"), cues(F.col("text")).alias("signal")))
+    return told.withColumn("good", good).select("note_id", F.explode(F.when(F.size("good") > 0, F.col("good")).otherwise(every)).alias("c")).select("note_id", "c.*")
 
 
 def debug_counts(chunks: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:

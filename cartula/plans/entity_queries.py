@@ -225,9 +225,8 @@ def dose_strengths(spark, sf_dir):
 
 
 def char_chunk_bounds(spark, sf_dir):
-    """Chunks of lines up to a size, from the texts without line breaks: each cut lies at the size."""
-    notes = base._notes(spark, sf_dir).select("note_id", F.translate("text", "\n", " ").alias("text"))
-    return windows.char_chunks(notes, 2600, 120).select(F.col("note_id").alias("doc_id"), "start", "end")
+    """Chunks up to a size, cut at the last line break of their second half."""
+    return windows.char_chunks(base._notes(spark, sf_dir), 2600, 120).select(F.col("note_id").alias("doc_id"), "start", "end")
 
 
 def piece_window_bounds(spark, sf_dir):
@@ -288,8 +287,7 @@ def chunk_choice(spark, sf_dir):
 
 def hint_counts(spark, sf_dir):
     """How many hints each chunk of a text is given: what is proposed in it, 80 at most."""
-    notes = base._notes(spark, sf_dir).select("note_id", F.translate("text", "\n", " ").alias("text"))
-    chunks = windows.char_chunks(notes, 2600, 120).withColumn("chunk", F.concat_ws("/", "note_id", "start"))
+    chunks = windows.char_chunks(base._notes(spark, sf_dir), 2600, 120).withColumn("chunk", F.concat_ws("/", "note_id", "start"))
     rows = models.hints(chunks, proposals(spark, sf_dir))
     return rows.select(F.col("note_id").alias("doc_id"), "start", F.size(F.from_json("hints", "array<struct<start:int>>")).alias("n"))
 
@@ -319,10 +317,21 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def _cut_at(at: str, n: str, size: int, rest: str) -> str:
+    """Where a chunk ends that begins at a place: before what of its second half matches rest, if that is not all of it."""
+    half = f"substr(text, ({at} + {size // 2} + 1)::INT, {size - size // 2})"
+    left = f"length(regexp_extract({half}, '{rest}'))".replace("{NL}", "\n")
+    return f"CASE WHEN {at} + {size} >= {n} THEN {n} WHEN {left} < {size - size // 2} THEN {at} + {size} - {left} ELSE {at} + {size} END::INT"
+
+
 def _limits(values: dict, default) -> str:
     return "CASE " + " ".join(f"WHEN l.type = '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {default} END"
 
 
+#: Chunks of 2600 characters, cut after the last line break in their second half.
+_CHUNKS = f"""nn AS (SELECT doc_id, text, length(text)::INT AS n FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, n, 0 AS start, {_cut_at("0", "n", 2600, "[^{NL}]*$")} AS "end" FROM nn
+   UNION ALL SELECT doc_id, c.n, "end" - 120, {_cut_at('"end" - 120', "c.n", 2600, "[^{NL}]*$")} FROM c JOIN nn USING (doc_id) WHERE "end" < c.n)"""
 _ENT = f"""WITH {base._WORDS},
 ent AS (SELECT h.doc_id, h.start::BIGINT AS start, h."end"::BIGINT AS "end", substr(d.text, h.start + 1, h."end" - h.start) AS text, h.surface, k, ((h.start * 100 + length(surface)) * 3 + k)::INT AS seq,
    {_list(TYPES)}[((h.start * 7 + length(surface) * 3 + k * (h.start % 2)) % {len(TYPES)} + 1)::INT] AS type, {_list(SOURCES)}[((h.start * 5 + length(surface) + k * 2) % {len(SOURCES)} + 1)::INT] AS source,
@@ -462,14 +471,12 @@ SELECT doc_id, start, array_to_string(list_filter(s, lambda v, i: NOT list_conta
     "code_relations": """WITH x AS (SELECT event_id, event_type, 'I' || (event_id % 13) AS a, 'I' || (event_id % 7) || (event_id % 5) AS b FROM events) SELECT event_id, starts_with(a, b) OR starts_with(b, a) AS related, event_type AS piece FROM x""",
     "chunk_choice": f"""WITH {base._SECTIONS}, n AS (SELECT doc_id, sum(content_end - header_start) AS n, count(*) AS records FROM sections WHERE canonical <> 'UNKNOWN' GROUP BY 1)
 SELECT d.doc_id, CASE WHEN records >= 2 THEN 'records' WHEN coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE >= 0.9 THEN 'sections' ELSE 'document' END AS strategy FROM d LEFT JOIN n x USING (doc_id)""",
-    "hint_counts": f"""{_ENT.replace("WITH ", "WITH RECURSIVE ", 1)}, nn AS (SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) > 0),
-c AS (SELECT doc_id, n, 0 AS start, least(2600, n) AS "end" FROM nn UNION ALL SELECT doc_id, n, "end" - 120, least("end" - 120 + 2600, n) FROM c WHERE "end" < n)
+    "hint_counts": f"""{_ENT.replace("WITH ", "WITH RECURSIVE ", 1)}, {_CHUNKS}
 SELECT l.doc_id, l.start::INT AS start, least(count(r.doc_id), 80)::INT AS n FROM c l LEFT JOIN ent r ON {_MET} GROUP BY l.doc_id, l.start""",
     "token_labels": f"""{_H}, t AS (SELECT doc_id, start, (start + length(word))::INT AS "end" FROM w WHERE word <> ''),
 m AS (SELECT t.doc_id, t.start, t."end", h.kind, row_number() OVER (PARTITION BY t.doc_id, h.start ORDER BY t.start) AS n FROM t JOIN h ON h.doc_id = t.doc_id AND h.start < t."end" AND t.start < h."end")
 SELECT t.doc_id, t.start, t."end", CASE WHEN kind IS NULL THEN 'O' WHEN n = 1 THEN 'B-' || kind ELSE 'I-' || kind END AS label FROM t LEFT JOIN m USING (doc_id, start, "end")""",
-    "char_chunk_bounds": """WITH RECURSIVE n AS (SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) > 0),
-c AS (SELECT doc_id, n, 0 AS start, least(2600, n) AS "end" FROM n UNION ALL SELECT doc_id, n, "end" - 120, least("end" - 120 + 2600, n) FROM c WHERE "end" < n)
+    "char_chunk_bounds": f"""WITH RECURSIVE {_CHUNKS}
 SELECT doc_id, start::INT AS start, "end"::INT AS "end" FROM c""",
     "piece_window_bounds": """WITH n AS (SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) > 0),
 k AS (SELECT doc_id, n, unnest(range(0, ceil(greatest(n - 256, 0) / 224.0)::BIGINT + 1)) AS k FROM n) SELECT doc_id, (k * 224)::INT AS lo, least(k * 224 + 256, n)::INT AS hi FROM k""",

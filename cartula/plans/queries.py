@@ -346,11 +346,6 @@ def regex_span_offsets(spark, sf_dir):
     return spans.regex_spans(_notes(spark, sf_dir), {"capital": r"\b[A-ZÀ-Þ][a-zß-ÿ]{4,}"})
 
 
-def semantic_chunk_bounds(spark, sf_dir):
-    """Rows only: chunks of the documents."""
-    return windows.semantic_chunks(_notes(spark, sf_dir))
-
-
 def _rule_resources(spark, notes):
     """Headers, and tests, drugs, symptoms and diagnoses from the lexicon of the notes, by kind and priority."""
     words = keep(corpus_lexicon(notes))
@@ -383,7 +378,7 @@ QUERIES = {
         flagship_term_sections, line_offsets, clause_split, normalize_tokens, fold_text, doc_frequency, dict_scan, dict_scan_longest, dict_scan_policy, ngram_hits,
         section_tiles, section_asof, section_coverage, next_span_window, last_cue_assertion, support_semi, conflict_anti, overlap_ratio_join, containment_join,
         argmax_dedup, type_votes, same_span_merge, bm25_topk, bm25_margin_gate, cosine_topk, cosine_cells, dense_link, hybrid_fusion, rarest_posting_candidates, token_coverage_join,
-        token_windows, bio_decode, json_props, export_json_rows, cache_miss_anti, run_summary, filter_reason_counts, regex_span_offsets, semantic_chunk_bounds,
+        token_windows, bio_decode, json_props, export_json_rows, cache_miss_anti, run_summary, filter_reason_counts, regex_span_offsets,
         rule_entities,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartula.functions import fixed
-from cartula.operators import sections, spans
+from cartula.operators import sections, spans, windows
 from cartula.plans import queries as base
 
 #: Headers that are planted in lines, with typing errors.
@@ -25,7 +25,21 @@ def fuzzy_headers(spark, sf_dir):
     return sections.headers(rows, list(PLANTED)).select(F.col("note_id").alias("doc_id"), "canonical", "line_no", "start", "end", "header")
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_headers,)}
+#: Headings and cues that stand for words of the texts, and what every seventh text begins with.
+SAID = (("\nThe ", "\n1. The "), ("\nDer ", "\n2.1) Der "), ("\nLa ", "\nPhần IV: La "), (" of ", " bệnh "), (" la ", " Sốt "), (" der ", " viêm "))
+ADMINISTRATIVE = "Nguồn tham khảo:\n"
+
+
+def semantic_chunk_bounds(spark, sf_dir):
+    """Chunks of the documents with planted headings and cues, cut after lines and sentences."""
+    text = F.col("text")
+    for word, other in SAID:
+        text = F.replace(text, F.lit(word), F.lit(other))
+    notes = base._notes(spark, sf_dir).select("note_id", F.concat(F.when(F.col("note_id") % 7 == 0, ADMINISTRATIVE).otherwise(""), text).alias("text"))
+    return windows.semantic_chunks(notes).select(F.col("note_id").alias("doc_id"), "start", "end", F.md5("heading").alias("heading_md5"), "signal")
+
+
+QUERIES = {f.__name__: f for f in (fuzzy_headers, semantic_chunk_bounds)}
 
 # --- The same in SQL ------------------------------------------------------------------------
 
@@ -56,6 +70,28 @@ p{n + 1} AS MATERIALIZED (SELECT id, substr(a, 1, i - 1) AS a, substr(b, 1, j -
     return ",\n".join(out) + f",\nm AS (SELECT id, sum(m) AS m FROM ({every}) GROUP BY id)"
 
 
+
+def _said() -> str:
+    out = "text"
+    for word, other in SAID:
+        out = "replace(" + out + ", '" + word.replace("\n", "' || chr(10) || '") + "', '" + other.replace("\n", "' || chr(10) || '") + "')"
+    return f"CASE WHEN doc_id % 7 = 0 THEN '{ADMINISTRATIVE.strip()}' || chr(10) ELSE '' END || {out}"
+
+
+#: The cues that are one word.
+_CUES = "['bệnh', 'thuốc', 'đau', 'sốt', 'ho', 'viêm', 'suy', 'máu', 'xquang', 'ct', 'mri', 'mg', 'ml']"
+
+
+def _signal(text: str) -> str:
+    return f"len(list_filter(regexp_extract_all(lower({text}), '{base._W}'), lambda w: list_contains({_CUES}, w)))"
+
+
+def _after(at: str) -> str:
+    """Where a chunk of 1800 characters of a block up to b.z ends: after the last line break or sentence of its second half."""
+    half = f"length(regexp_extract(substr(text, ({at} + 901)::INT, 900), '(?s)^(.*(?:\\n|\\. ))', 1))"
+    return f"CASE WHEN {at} + 1800 >= b.z THEN b.z WHEN {half} > 0 THEN {at} + 900 + {half} ELSE {at} + 1800 END::INT"
+
+
 _KNOWN = sorted(PLANTED, key=lambda a: -len(a[1]))
 _ALIASES = ", ".join(f"({n}, '{c}', '{s}', '{_SEP + '*'}', {max(len(s) + 12, int(len(s) * 1.25))})" for n, (c, s) in enumerate(_KNOWN, 1))
 _SURFACES = "[" + ", ".join(f"'{s}'" for _, s in PLANTED) + "]"
@@ -80,4 +116,18 @@ fi AS (SELECT ca.*, l.start, canonical, substr(line, a + 1, size) AS header FROM
    WHERE (NOT regexp_matches(substr(line, 1, a), '\S') OR regexp_matches(substr(line, 1, a), '(?i){fixed.HEADER_PREFIX}')) AND (length(line) <= a + size OR regexp_matches(substr(line, a + size + 1, 1), '^[\s\p{{Lu}}\d:;,–—*-]'))),
 ta AS (SELECT doc_id, line_no, any_value(start) AS start, list_reduce(list_transform(list({{'a': a, 'z': a + size, 'canonical': canonical, 'header': header}} ORDER BY a, -size, n), lambda e: [e]), lambda t, e: CASE WHEN e[1].a >= t[-1].z THEN list_concat(t, e) ELSE t END) AS t FROM fi GROUP BY 1, 2)
 SELECT doc_id, t.canonical AS canonical, line_no::INT AS line_no, (start + t.a)::INT AS start, (start + t.z)::INT AS "end", t.header AS header FROM (SELECT doc_id, line_no, start, unnest(t) AS t FROM ta)""",
+    "semantic_chunk_bounds": rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {_said()} AS text FROM documents),
+p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS l FROM t)),
+q AS (SELECT doc_id, i, length(piece)::INT AS n, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS own, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM p),
+h AS (SELECT *, own <> '' AND regexp_matches(own, '(?i){fixed.CHUNK_HEADING}') AS head, coalesce(max((own <> '')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen FROM q),
+g AS (SELECT *, sum((head AND seen)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM h),
+bl AS (SELECT doc_id, min(start) AS a, max(start + n) AS z, coalesce(min(CASE WHEN own <> '' THEN {{'i': i, 'title': CASE WHEN head THEN substr(own, 1, 180) ELSE 'DOCUMENT' END}} END).title, 'DOCUMENT') AS heading FROM g GROUP BY doc_id, b),
+bt AS (SELECT bl.*, substr(text, a + 1, z - a) AS own FROM bl JOIN t USING (doc_id)),
+kb AS (SELECT doc_id, list({{'a': a, 'z': z, 'heading': heading}} ORDER BY a) AS l FROM bt WHERE NOT ({_signal("own")} < 1 AND regexp_matches(trim(own, ' ' || chr(10) || chr(9) || chr(13)), '(?i){fixed.ADMIN_BLOCK}')) GROUP BY doc_id),
+jb AS MATERIALIZED (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda e: [e]), lambda x, e: CASE WHEN x[-1].z = e[1].a AND e[1].z - x[-1].a <= 1800 THEN list_concat(x[:-2], [{{'a': x[-1].a, 'z': e[1].z, 'heading': x[-1].heading}}]) ELSE list_concat(x, e) END)) AS b FROM kb),
+c AS (SELECT doc_id, b.z AS z, b.heading AS heading, b.a AS start, {_after("b.a")} AS "end" FROM jb JOIN t USING (doc_id)
+   UNION ALL SELECT doc_id, c.z, heading, "end" - 120, {_after('"end" - 120').replace("b.z", "c.z")} FROM c JOIN t USING (doc_id) WHERE "end" < c.z),
+s AS (SELECT c.doc_id, start, "end", heading, {_signal('substr(text, start + 1, "end" - start)')} AS signal FROM c JOIN t USING (doc_id))
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", md5(heading) AS heading_md5, signal::INT AS signal FROM s WHERE signal > 0
+UNION ALL SELECT doc_id, 0, length(text)::INT, md5('DOCUMENT'), {_signal("text")}::INT FROM t ANTI JOIN (SELECT DISTINCT doc_id FROM s WHERE signal > 0) USING (doc_id)""",
 }

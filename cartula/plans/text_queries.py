@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartula.functions import fixed
-from cartula.operators import sections, spans, windows
+from cartula.operators import models, sections, spans, windows
 from cartula.plans import queries as base
 
 #: Headers that are planted in lines, with typing errors.
@@ -39,7 +39,26 @@ def semantic_chunk_bounds(spark, sf_dir):
     return windows.semantic_chunks(notes).select(F.col("note_id").alias("doc_id"), "start", "end", F.md5("heading").alias("heading_md5"), "signal")
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_headers, semantic_chunk_bounds)}
+#: Entities of planted replies, with places for a number and a word; the third has no type that counts.
+REPLIED = (
+    '{"text":"#w {x}","type":"THUỐC","assertions":["isNegated","odd"],"normalized":" n#n "}', '{"type":"chẩn đoán","text":"a \\"q\\" }#n","context":"c]"}',
+    '{"text":"last#n","type":"OTHER"}', '{"text":"  end ","type":"TÊN XÉT NGHIỆM","extra":{"k":[1,2]}}',
+)
+WRAPPED = ('{"entities":[', "```json\n[", '{"entities":[', '<think>{"text":"no","type":"THUỐC"}</think> so {bad} [', "[")
+
+
+def llm_json_recover(spark, sf_dir):
+    """Entities of replies about events: whole ones, in fences, after other words, and such that break off anywhere."""
+    told = F.lit(",".join(REPLIED))
+    told = F.replace(F.replace(told, F.lit("#w"), F.col("event_type")), F.lit("#n"), F.col("event_id").cast("string"))
+    kind = F.col("event_id") % 5
+    whole = F.concat(F.element_at(F.array(*[F.lit(w) for w in WRAPPED]), (kind + 1).cast("int")), told, F.when(kind == 0, "]}").otherwise("]"))
+    part = F.expr("substring(whole, 1, cast(20 + event_id * 37 % (length(whole) - 20) as int))")
+    rows = base._table(spark, sf_dir, "events").withColumn("whole", whole).select("event_id", F.when(kind.isin(2, 4), part).otherwise(F.col("whole")).alias("reply"))
+    return models.parsed(rows).select("event_id", "i", "ent.text", "ent.type", F.array_join("ent.assertions", ",").alias("assertions"), "ent.normalized", "ent.context")
+
+
+QUERIES = {f.__name__: f for f in (fuzzy_headers, semantic_chunk_bounds, llm_json_recover)}
 
 # --- The same in SQL ------------------------------------------------------------------------
 
@@ -71,6 +90,10 @@ p{n + 1} AS MATERIALIZED (SELECT id, substr(a, 1, i - 1) AS a, substr(b, 1, j -
 
 
 
+def _literals(values) -> str:
+    return "[" + ", ".join("'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+
+
 def _said() -> str:
     out = "text"
     for word, other in SAID:
@@ -130,4 +153,12 @@ c AS (SELECT doc_id, b.z AS z, b.heading AS heading, b.a AS start, {_after("b.a"
 s AS (SELECT c.doc_id, start, "end", heading, {_signal('substr(text, start + 1, "end" - start)')} AS signal FROM c JOIN t USING (doc_id))
 SELECT doc_id, start::INT AS start, "end"::INT AS "end", md5(heading) AS heading_md5, signal::INT AS signal FROM s WHERE signal > 0
 UNION ALL SELECT doc_id, 0, length(text)::INT, md5('DOCUMENT'), {_signal("text")}::INT FROM t ANTI JOIN (SELECT DISTINCT doc_id FROM s WHERE signal > 0) USING (doc_id)""",
+    # an entity of a reply that breaks off counts if it ends before that; the first one's list of assertions alone is an answer without entities
+    "llm_json_recover": f"""WITH r AS (SELECT event_id, event_type AS w, event_id::VARCHAR AS n, event_id % 5 AS kind, {_literals(WRAPPED)}[event_id % 5 + 1] AS lead, {_literals(REPLIED)} AS e FROM events),
+f AS (SELECT *, list_transform(e, lambda x: replace(replace(x, '#w', w), '#n', n)) AS own FROM r),
+x AS (SELECT *, lead || array_to_string(own, ',') || CASE WHEN kind = 0 THEN ']}}' ELSE ']' END AS whole FROM f),
+c AS (SELECT *, CASE WHEN kind IN (2, 4) THEN 20 + event_id * 37 % (length(whole) - 20) ELSE length(whole) END AS size FROM x),
+u AS (SELECT event_id, w, n, k, size, length(lead) + length(array_to_string(own[:k], ',')) AS reach FROM c, (VALUES (1), (2), (4)) t(k))
+SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY k) - 1)::INT AS i, CASE k WHEN 1 THEN w || ' {{x}}' WHEN 2 THEN 'a "q" }}' || n ELSE 'end' END AS text, ['{fixed.DRUG}', '{fixed.DIAGNOSIS}', '', '{fixed.TEST}'][k] AS type,
+  CASE WHEN k = 1 THEN 'isNegated' ELSE '' END AS assertions, CASE WHEN k = 1 THEN 'n' || n ELSE '' END AS normalized, CASE WHEN k = 2 THEN 'c]' ELSE '' END AS context FROM u WHERE reach <= size""",
 }

@@ -8,19 +8,20 @@ nor ends inside of a word, unless the surface itself begins or ends with another
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartula.operators.automaton import Automaton, points, wordy
+
 #: Characters of all surfaces, and rows, up to which a lexicon is sent to the executors as one automaton;
 #: a larger one is cut into several, one pass over the notes each.
 AUTOMATON_CHARS, AUTOMATON_ROWS = 4_000_000, 500_000
-#: Characters that words are made of, beside letters and digits: marks, which str.isalnum knows nothing of.
-_JOINED = "_"
+#: Characters of texts that are scanned at once.
+STEP = 4 << 20
 _built: dict[str, object] = {}
 
 
@@ -56,23 +57,41 @@ def lowered(text: str) -> str:
 
 
 def _automaton(name: str, table: pa.Table):
-    """The automaton of a lexicon, built once in each worker: each surface leads to its rows."""
+    """The automaton of a lexicon, built once in each worker, and the lexicon's rows in the order of its surfaces: a surface's are from its cut to the next."""
     if name not in _built:
         _built.clear()
-        rows: dict[str, list[int]] = {}
-        for i, s in enumerate(table.column("__low").to_pylist()):
-            rows.setdefault(s, []).append(i)
-        made = ahocorasick.Automaton()
-        for s, own in rows.items():
-            made.add_word(s, (len(s), own, _wordy(s[0]), _wordy(s[-1])))
-        if rows:
-            made.make_automaton()
-        _built[name] = made if rows else None
+        low = table.column("__low").combine_chunks().dictionary_encode()
+        low = low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
+        of = low.indices.to_numpy(zero_copy_only=False)
+        made = Automaton(low.dictionary.to_pylist())
+        _built[name] = made, np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(len(low.dictionary) + 1))
     return _built[name]
 
 
-def _wordy(c: str) -> bool:
-    return c.isalnum() or c == _JOINED or unicodedata.category(c)[0] in "MN"
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of ranges, one range after another."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _hits(texts: list[str], automaton: Automaton, bounded: bool):
+    """Of each hit in texts: the text's number, start, end, the surface's number; and the hits' own characters."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    laid, low = points("\0".join(texts)), points("\0".join(map(lowered, texts)))
+    end, surface = automaton.find(low)
+    start = end - automaton.sizes[surface]
+    if bounded:
+        inside = np.concatenate([[False], wordy(laid), [False]])
+        split = (inside[start] & inside[start + 1]) | (inside[end] & inside[end + 1])
+        start, end, surface = start[~split], end[~split], surface[~split]
+    order = np.lexsort((end, start))
+    start, end, surface = start[order], end[order], surface[order]
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    text = np.searchsorted(begins, start, "right") - 1
+    data = np.frombuffer("\0".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    byte = np.concatenate([[0], np.cumsum(1 + (laid > 0x7F) + (laid > 0x7FF) + (laid > 0xFFFF))])
+    width = byte[end] - byte[start]
+    own = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(0, np.cumsum(width)).astype(np.int32)), pa.py_buffer(data[_ranges(byte[start], width)]))
+    return text, start - begins[text], end - begins[text], surface, own
 
 
 def _pass(notes: DataFrame, shared, others: DataFrame, bounded: bool) -> DataFrame:
@@ -80,32 +99,32 @@ def _pass(notes: DataFrame, shared, others: DataFrame, bounded: bool) -> DataFra
     schema = ", ".join([f"note_id {id_}", "start int", "end int", "text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema)])
 
     def run(batches):
-        automaton, table = _automaton(*shared.value), shared.value[1].drop_columns(["__low"])
+        (automaton, rows, cuts), table = _automaton(*shared.value), shared.value[1].drop_columns(["__low"])
         carried = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns]
         for b in batches:
-            at_note, start, end, texts, row = [], [], [], [], []
-            for n, text in enumerate(b.column(1).to_pylist()):
-                if not text or automaton is None:
-                    continue
-                size = len(text)
-                for last, (length, own, front, back) in automaton.iter(lowered(text)):
-                    z = last + 1
-                    a = z - length
-                    if bounded and ((front and a and _wordy(text[a - 1])) or (back and z < size and _wordy(text[z]))):
-                        continue
-                    for i in own:
-                        at_note.append(n)
-                        start.append(a)
-                        end.append(z)
-                        texts.append(text[a:z])
-                        row.append(i)
-            columns = [b.column(0).take(pa.array(at_note, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(texts, pa.string())]
-            more = [c.take(pa.array(row, pa.int64())) for c in carried]
-            yield pa.RecordBatch.from_arrays([*columns, *more], ["note_id", "start", "end", "text", *table.column_names])
+            texts, ids = [t or "" for t in b.column(1).to_pylist()], b.column(0)
+            for first, last in _runs(texts):
+                text, start, end, surface, own = _hits(texts[first:last], automaton, bounded)
+                times = cuts[surface + 1] - cuts[surface]
+                hit, row = np.repeat(np.arange(len(surface)), times), rows[_ranges(cuts[surface], times)]
+                columns = [ids.take(pa.array(text[hit] + first)), pa.array(start[hit].astype(np.int32)), pa.array(end[hit].astype(np.int32)), own.take(pa.array(hit))]
+                yield pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array(row)) for c in carried)], ["note_id", "start", "end", "text", *table.column_names])
 
     return notes.select("note_id", "text").mapInArrow(run, schema)
 
 
+def _runs(texts: list[str]):
+    """Texts from first to last of about STEP characters together, or one."""
+    first, size = 0, 0
+    for n, t in enumerate(texts):
+        if n > first and size + len(t) > STEP:
+            yield first, n
+            first, size = n, 0
+        size += len(t)
+    if texts:
+        yield first, len(texts)
+
+
 def ngram_hits(notes: DataFrame, lexicon: DataFrame, most: int = 5, keep_inside: bool = False) -> DataFrame:
     """note_id, surface and the lexicon's columns of n-grams of ASCII words that are surfaces, once a note,
     without those that stand inside of a longer one found in the same note, unless these are kept."""

@@ -256,10 +256,9 @@ def lexicon_codes(spark, sf_dir):
 
 
 def glued_scan(spark, sf_dir):
-    """Hits of the longer surfaces inside of words as well, counted by note."""
+    """Hits of all surfaces, inside of words as well, counted by note."""
     notes = base._notes(spark, sf_dir)
-    words = base.corpus_lexicon(notes).where(F.length("surface") >= 5)
-    return lexicon.scan_glued(notes, words.select("surface")).groupBy(F.col("note_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("start").alias("places"))
+    return lexicon.scan_glued(notes, base.corpus_lexicon(notes).select("surface")).groupBy(F.col("note_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("start").alias("places"))
 
 
 def exact_keys(spark, sf_dir):
@@ -471,6 +470,12 @@ SELECT doc_id, start, array_to_string(list_filter(s, lambda v, i: NOT list_conta
     "code_relations": """WITH x AS (SELECT event_id, event_type, 'I' || (event_id % 13) AS a, 'I' || (event_id % 7) || (event_id % 5) AS b FROM events) SELECT event_id, starts_with(a, b) OR starts_with(b, a) AS related, event_type AS piece FROM x""",
     "chunk_choice": f"""WITH {base._SECTIONS}, n AS (SELECT doc_id, sum(content_end - header_start) AS n, count(*) AS records FROM sections WHERE canonical <> 'UNKNOWN' GROUP BY 1)
 SELECT d.doc_id, CASE WHEN records >= 2 THEN 'records' WHEN coalesce(x.n, 0) / greatest(d.n, 1)::DOUBLE >= 0.9 THEN 'sections' ELSE 'document' END AS strategy FROM d LEFT JOIN n x USING (doc_id)""",
+    # every place of every text, by stretches of 64 characters, against the surfaces of each length
+    "glued_scan": f"""WITH {base._WORDS}, sz AS (SELECT DISTINCT length(surface) AS n FROM lexicon), top AS (SELECT max(n) AS m FROM sz),
+st AS (SELECT doc_id, 64 * k AS lead, lower(substr(text, (64 * k + 1)::INT, (64 + m)::INT)) AS c FROM documents, top, range(0, length(text) // 64 + 1) t(k)),
+pl AS (SELECT doc_id, lead, c, i FROM st, range(1, 65) t(i) WHERE i <= length(c)),
+hi AS (SELECT doc_id, lead + i - 1 AS start FROM (SELECT doc_id, lead, i, substr(c, i::INT, n::INT) AS own, n FROM pl, sz WHERE i + n - 1 <= length(c)) x JOIN lexicon ON own = surface)
+SELECT doc_id, count(*) AS n, sum(start)::BIGINT AS places FROM hi GROUP BY doc_id""",
     "hint_counts": f"""{_ENT.replace("WITH ", "WITH RECURSIVE ", 1)}, {_CHUNKS}
 SELECT l.doc_id, l.start::INT AS start, least(count(r.doc_id), 80)::INT AS n FROM c l LEFT JOIN ent r ON {_MET} GROUP BY l.doc_id, l.start""",
     "token_labels": f"""{_H}, t AS (SELECT doc_id, start, (start + length(word))::INT AS "end" FROM w WHERE word <> ''),

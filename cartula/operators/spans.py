@@ -131,70 +131,52 @@ def islands(spans: DataFrame, by: list[str] = ("note_id",), order: list[str] = (
     return spans.withColumn("__fresh", fresh).withColumn("island", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
 
 
-def _in_turn(rows: DataFrame, by: list[str], order: list, columns: list[Column], more: str, step) -> DataFrame:
-    """rows, sorted within by, with more columns that step gives: one pass, in which a key's last state goes on to its next row.
+def _island_lists(rows: DataFrame, by: list[str], order: list, values: list[Column]) -> DataFrame:
+    """by, island and xs: for each island of rows its rows in order, each with k (its place), v (values) and row.
 
-    step(state, values) gives (state, the new columns); the state is None at a key's first row. All rows of a
-    note are in one task, one after another; what is held is a batch.
+    What overlaps is in one island, so islands can be dealt with one by one; they are as small as rows that overlap are few.
     """
-    names = [f"__c{k}" for k in range(len(columns))]
-    given = rows.withColumns(dict(zip(names, columns)))
-    ready = given.repartition(*by[:1]).sortWithinPartitions(*by, *order)
-    kinds = [c.split() for c in more.split(", ")]
-    arrow = {"boolean": pa.bool_(), "long": pa.int64()}
-
-    def run(batches):
-        key, state = None, None
-        for b in batches:
-            out = []
-            keys = zip(*(b.column(c).to_pylist() for c in by))
-            for own, values in zip(keys, zip(*(b.column(c).to_pylist() for c in names))):
-                if own != key:
-                    key, state = own, None
-                state, made = step(state, values)
-                out.append(made)
-            kept = [i for i, n in enumerate(b.schema.names) if n not in names]
-            new = zip(*out) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *(pa.array(c, arrow[k]) for c, (_, k) in zip(new, kinds))], [*(b.schema.names[i] for i in kept), *(n for n, _ in kinds)])
-
-    schema = rows.schema
-    for n, k in kinds:
-        schema = schema.add(n, k)
-    return ready.mapInArrow(run, schema)
+    row = F.struct(*rows.columns)
+    w = Window.partitionBy(*by).orderBy(*order)
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.select(*by, "start", "end", row.alias("row"), F.struct(*[v.alias(f"v{n}") for n, v in enumerate(values)]).alias("v"), *[F.col(c) for c in rows.columns if c not in (*by, "start", "end")])
+    marked = marked.withColumn("__fresh", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("k", F.row_number().over(w))
+    marked = marked.withColumn("island", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*by, "island").agg(F.array_sort(F.collect_list(F.struct("k", "v", "row"))).alias("xs"))
 
 
 def greedy(spans: DataFrame, *preference: Column) -> DataFrame:
     """Spans that don't overlap: leftmost first, then longest, then by preference (ascending).
 
-    In that order a span is taken if it starts where the last taken one ended or later: one pass over the sorted spans of a note.
+    In that order a span is taken if it starts where the last taken one ended or later: a fold over each island.
     """
-
-    def step(reach, values):
-        start, end = values
-        free = reach is None or start >= reach
-        return (end if free else reach), (free,)
-
     order = [F.asc("start"), (F.col("start") - F.col("end")).asc(), *[p.asc() for p in preference], F.struct(*spans.columns).asc()]
-    return _in_turn(spans, ["note_id"], order, [F.col("start"), F.col("end")], "__taken boolean", step).where("__taken").drop("__taken")
+    last = lambda t: F.element_at(t, -1)["row"]["end"]
+    taken = F.aggregate("xs", F.slice("xs", 1, 0), lambda t, x: F.when((F.size(t) > 0) & (x["row"]["start"] < last(t)), t).otherwise(F.concat(t, F.array(x))))
+    return _island_lists(spans, ["note_id"], order, [F.lit(0)]).select(F.explode(taken).alias("x")).select("x.row.*")
 
 
 def chained(spans: DataFrame, by: list[str], order: list, values: list[Column], later_wins) -> DataFrame:
     """spans with __run, __won and __at: from left to right each span meets the winner so far of its run, if it overlaps it.
 
-    later_wins(span's values, winner's values) says whether the span wins; __won marks spans that did when
-    they came, __at is their order in the run. A span that overlaps no winner starts a run.
+    later_wins(span's values, winner's values), of two lists of columns, says whether the span wins; __won marks spans that did when
+    they came, __at is their order in the run. A span that overlaps no winner starts a run: a fold over each island.
     """
-
-    def step(state, given):
-        start, end, *own = given
-        if state is None or start >= state[0]:
-            run = 0 if state is None else state[2] + 1
-            return (end, own, run, 0), (run, True, 0)
-        reach, best, run, at = state
-        won = later_wins(own, best)
-        return ((end, own) if won else (reach, best)) + (run, at + 1), (run, won, at + 1)
-
-    return _in_turn(spans, by, order, [F.col("start"), F.col("end"), *values], "__run long, __won boolean, __at long", step)
+    own = lambda x: [x["v"][f"v{n}"] for n in range(len(values))]
+    told = lambda run, won, at: F.struct(run.alias("run"), won.alias("won"), at.alias("at"))
+    state = lambda now, run, at, out: F.struct(now.alias("now"), run.alias("run"), at.alias("at"), out.alias("out"))
+
+    def step(s, x):
+        now = s["now"]
+        apart, won = x["row"]["start"] >= now["row"]["end"], later_wins(own(x), own(now))
+        run, at = F.when(apart, s["run"] + 1).otherwise(s["run"]), F.when(apart, 0).otherwise(s["at"] + 1)
+        won = F.coalesce(apart | won, F.lit(False))
+        return state(F.when(won, x).otherwise(now), run, at, F.concat(s["out"], F.array(told(run, won, at))))
+
+    first = state(F.col("xs")[0], F.lit(0), F.lit(0), F.array(told(F.lit(0), F.lit(True), F.lit(0))))
+    met = F.aggregate(F.slice("xs", 2, F.size("xs")), first, step, lambda s: s["out"])
+    rows = _island_lists(spans, by, order, values).withColumn("met", met).select("island", F.explode(F.arrays_zip("xs", "met")).alias("z"))
+    return rows.select("z.xs.row.*", F.struct("island", "z.met.run").alias("__run"), F.col("z.met.won").alias("__won"), F.col("z.met.at").cast("long").alias("__at"))
 
 
 def best_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

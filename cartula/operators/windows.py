@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cartula.functions import fixed
@@ -191,6 +191,22 @@ def debug_counts(chunks: DataFrame, found: DataFrame, kept: DataFrame) -> DataFr
     return out.withColumn("removed", F.col("before") - F.col("after"))
 
 
+def observed_counts(chunks: DataFrame, found: DataFrame, kept: DataFrame):
+    """The three tables, and a function that tells segments, tokens, before, after and removed over all notes.
+
+    The numbers are gathered while the tables are first written or read to their end; nothing is read for them.
+    """
+    of = {"chunks": Observation(), "found": Observation(), "kept": Observation()}
+    chunks = chunks.observe(of["chunks"], F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    found, kept = found.observe(of["found"], F.count(F.lit(1)).alias("before")), kept.observe(of["kept"], F.count(F.lit(1)).alias("after"))
+
+    def told() -> dict[str, int]:
+        out = {k: v for o in of.values() for k, v in o.get.items()}
+        return out | {"removed": out["before"] - out["after"]}
+
+    return chunks, found, kept, told
+
+
 def record_chunks(lines: DataFrame, header: str) -> DataFrame:
     """note_id, record, start, end: what each line that matches header begins, up to the next."""
     heads = lines.where(F.col("line").rlike(header))

@@ -102,3 +102,14 @@ def test_chunks(spark):
     assert [(r["start"], r["end"], r["heading"]) for r in got if r["note_id"] == "b"] == [(0, 11, "DOCUMENT")]
     fixed_size = [(r["start"], r["end"]) for r in windows.char_chunks(notes.where("note_id = 'a'"), 150, 10).collect()]
     assert fixed_size[-1][1] == len(text)
+
+
+def test_observed_counts(spark):
+    chunks = spark.createDataFrame([("a", 0, 7), ("a", 5, 9), ("b", 0, 4)], "note_id string, start int, n int")
+    found = spark.createDataFrame([("a",), ("a",), ("a",), ("b",)], "note_id string")
+    kept = found.dropDuplicates()
+    grouped = windows.debug_counts(chunks, found, kept).collect()
+    own, before, after, told = windows.observed_counts(chunks, found, kept)
+    for rows in (own, before, after):
+        rows.write.format("noop").mode("overwrite").save()
+    assert told() == {c: sum(r[c] for r in grouped) for c in ("segments", "tokens", "before", "after", "removed")}

@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become class symbols through a lexical transducer (a trie of stems and whole
-words). A clause's symbols then run from the back through the transducer of targets of
-threats ("kill you"), and from the front through the composition of three transducers -
-reported speech, negation, target of insults ("you fool") - which turn each insult or
-threat into an outcome that says in which of these contexts it stands. Only clauses that
-hold an insult or a threat are matched, and a text's score is the logistic of the weights
-of its matched clauses: no word has a weight outside of its context.
-
-Insults and how much a plain one weighs are learned from labelled rows. So is what a
+words). A clause's symbols first run through the transducers of threats, one from the back
+and one from the front: a threat is aimed if its target stands on either side of it ("kill
+you", "dich töten"), and of verbs that mean less only with an intent before ("will hurt you").
+Then they run from the front through the composition of three transducers - reported speech,
+negation, target of insults ("you fool") - which turn each insult or threat into an outcome
+that says in which of these contexts it stands. Only clauses that hold an insult or a threat
+are matched, and a text's score is the logistic of the weights of its matched clauses: no
+word has a weight outside of its context.
+
+Insults, and how much a plain one weighs, are learned from labelled rows. So is what a
 context does to it, around the ratios of ``CONTEXT`` and within bounds: what is negated or
 reported never weighs as much as what is plain, and that no more than what has a target.
-Threats weigh by those ratios in the unit in which one occurrence reaches the threshold:
-one with a target reaches it, one plain, negated or reported word does not.
+Seed words that no label confirms are insults only with a target, or several times: one of
+them alone doesn't reach the threshold. Nor do threats that are not aimed, however many there
+are: of their kinds the one that weighs most counts, once. An aimed one reaches it. Threats,
+targets and contexts are lists, as labels are too few to tell them apart.
 
 Defined results: a null, empty or wordless text has no clauses and so the score of the
 bias; without any labelled rows the seed grammar is used as it stands; labels other than
@@ -39,30 +43,41 @@ SAMPLE = 6000
 THRESHOLD = 0.7
 #: Stems are this many letters at least; texts (near copies counted once) with one, and the most share of clean ones.
 STEM, SUPPORT, IMPURE = 4, 6, 0.03
+#: Toxic texts that confirm a seed word, at least four for each clean one.
+CONFIRMED = 2
 #: Fewer texts do if none is clean and each has the stem so many times.
 FEW, TIMES = 3, 3
 
-#: Seed words of each class.
+#: Seed words of each class. Targets count after a threat, and before it if an intent stands before them; OBJECT forms on either side,
+#: and THIRD persons, for the STRONG verbs, with an intent.
 INSULT = "idiot moron stupid scum loser pathetic worthless trash clown disgusting".split()
-THREAT = "kill murder hurt destroy burn beat strangle töten umbringen tuer frapper matar golpear".split()
-TARGET = "you your youre yours they them du dich dir ihr euch sie tu toi vous usted ustedes tú ellos".split()
+STRONG = "kill murder strangle töten umbringen tuer matar".split()
+THREAT = "hurt destroy burn beat frapper golpear".split()
+TARGET = "you your youre yours they du sie ihr tu vous usted ustedes tú ellos".split()
+OBJECT = "dich dir euch te toi".split()
+THIRD = "him them ihn ihnen".split()
+INTENT = "will going gonna must shall should want werde werden wird muss vais va allons voy vamos quiero".split()
 NEGATION = "not no never nobody isnt arent wasnt dont nicht kein keine niemals pas jamais aucun nunca jamás tampoco".split()
 REPORTED = "said says told quoted quote wrote claimed alleged called sagte schrieb behauptete dit disait écrit dijo escribió".split()
 
-#: Class symbols: insult, threat, target, negation, reported speech, other word, end of clause; threat with a target after it.
-I, T, Y, N, R, O, END, AT = "ITYNRO.t"  # noqa: E741
-#: Words after a negation that it reaches; words between a target and what is said of it.
-REACH, NEAR = 3, 4
-#: What contexts make of a plain insult's weight, and threats of the weight that reaches the threshold by one occurrence.
+#: Class symbols: learned insult, seed insult, threat, strong threat, target, object, third person, intent, negation, reported speech, other word, end of clause; aimed threat.
+I, J, T, K, Y, D, P, W, N, R, O, END, AT = "IJTKYDPWNRO.t"  # noqa: E741
+#: Words after a negation that it reaches; words between a target and what is said of it; words that an intent reaches.
+REACH, NEAR, MEANT = 3, 4, 6
+#: What contexts make of a plain learned insult's weight; of seeds and threats, of the weight that reaches the threshold by one occurrence.
 CONTEXT = {
     "I": 1.0, "Iy": 1.15, "In": 0.3, "Iny": 0.35, "Ir": 0.35, "Iry": 0.4, "Irn": 0.15, "Irny": 0.2,
+    "J": 0.75, "Jy": 1.1, "Jn": 0.2, "Jny": 0.25, "Jr": 0.25, "Jry": 0.3, "Jrn": 0.1, "Jrny": 0.15,
     "T": 0.35, "Ty": 1.2, "Tn": 0.15, "Tny": 0.25, "Tr": 0.2, "Try": 0.45, "Trn": 0.1, "Trny": 0.15,
 }
 #: How far learned weights of contexts may be from these ratios.
 LEAN = 0.3
 
 _TOKENS = re.compile(r"[^\W\d_]+|[.;!?:\n]")
-_MATCHED = re.compile(r"[^.]*[IT][^.]*")
+_MATCHED = re.compile(r"[^.]*[IJTK][^.]*")
+_HELD = re.compile("[IJTK]")
+#: What is left of a clause for the other transducers once threats are aimed.
+_REST = str.maketrans({D: Y, P: Y, W: O, K: T})
 
 
 class Transducer:
@@ -101,20 +116,38 @@ def _marked(cue: str, mark: str, reach: int, of: str) -> Transducer:
     return Transducer(step)
 
 
-def _aimed() -> Transducer:
-    """Reads a clause from its end: threats that a target follows by NEAR symbols at most."""
+def _followed() -> Transducer:
+    """Reads a clause from its end: after threats that a target, or a third person, follows by NEAR symbols at most it writes which."""
 
-    def step(left, symbol):
-        out = AT if symbol == T and left else symbol
-        return (NEAR if symbol == Y else max(left - 1, 0)), out
+    def step(state, symbol):
+        target, third = state or (0, 0)
+        out = symbol + (Y if target else "") + (P if third else "") if symbol in (T, K) else symbol
+        return (NEAR if symbol in (Y, D) else max(target - 1, 0), NEAR if symbol == P else max(third - 1, 0)), out
+
+    return Transducer(step)
+
+
+def _aimed() -> Transducer:
+    """Reads what that wrote from its front: which threats are aimed, by what stands on either side and by an intent before."""
+
+    def step(state, symbol):
+        meant, between, third, near = state or (0, 0, 0, 0)  # words that an intent, a target or third person after it, and an object still reach
+        out = symbol
+        if symbol[0] in (T, K):
+            target = Y in symbol or near or between
+            hit = (target or (meant and (P in symbol or third))) if symbol[0] == K else (meant and target)
+            out = AT if hit else symbol[0]
+        left = lambda n: max(n - 1, 0)
+        meant = MEANT if symbol == W else left(meant)
+        return (meant, NEAR if symbol == Y and meant else left(between), NEAR if symbol == P and meant else left(third), NEAR if symbol == D else left(near)), out
 
     return Transducer(step)
 
 
-AIMED = _aimed()
-GRAMMAR = _marked(R, "r", 0, I + T + AT) @ _marked(N, "n", REACH, I + T + AT) @ _marked(Y, "y", NEAR, I)
+FOLLOWED, AIMED = _followed(), _aimed()
+GRAMMAR = _marked(R, "r", 0, I + J + T + AT) @ _marked(N, "n", REACH, I + J + T + AT) @ _marked(Y, "y", NEAR, I + J)
 #: What a matched word can come out as.
-OUTCOMES = [k + r + n + y for k in (I, T) for r in ("", "r") for n in ("", "n") for y in ("", "y")]
+OUTCOMES = [k + r + n + y for k in (I, J, T) for r in ("", "r") for n in ("", "n") for y in ("", "y")]
 
 
 def named(symbol: str) -> str:
@@ -130,9 +163,9 @@ class Compiled:
 
     def outcomes(self, clause: str, counts: list[int]) -> None:
         state, table = 0, self.table
-        if T in clause:
-            clause = "".join(AIMED.run(reversed(clause)))[::-1]
-        for symbol in clause:
+        if T in clause or K in clause:
+            clause = "".join(AIMED.run(list(FOLLOWED.run(reversed(clause)))[::-1]))
+        for symbol in clause.translate(_REST):
             got = table.get((state, symbol))
             if got is None:
                 after, out = GRAMMAR.step(state, symbol)
@@ -147,9 +180,10 @@ class Lexicon(dict):
 
     MOST = 500_000
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], seeds: list[str]):
         super().__init__()
-        self.fixed = {w: s for s, own in ((O, []), (R, REPORTED), (N, NEGATION), (Y, TARGET), (T, THREAT), (I, words)) for w in own}
+        classes = ((W, INTENT), (R, REPORTED), (N, NEGATION), (Y, TARGET), (D, OBJECT), (P, THIRD), (T, THREAT), (K, STRONG), (J, seeds), (I, words))
+        self.fixed = {w: s for s, own in classes for w in own}
         self.fixed |= dict.fromkeys(".;!?:\n", END)
         self.trie: dict = {}
         for s in stems:
@@ -178,9 +212,10 @@ class Lexicon(dict):
 class Grammar:
     """Lexicon, bias and weights of the outcomes; plain data, so it travels as such."""
 
-    def __init__(self, words=INSULT, stems=(), bias=-3.0, insults=None):
-        """insults: weights of the outcomes of insults; from the ratios if there are none."""
+    def __init__(self, words=(), stems=(), bias=-3.0, insults=None):
+        """words and stems: learned insults, beside which the other seeds stand; insults: weights of the outcomes of learned ones, from the ratios if there are none."""
         self.words, self.stems, self.bias = list(words), list(stems), float(bias)
+        self.seeds = [w for w in INSULT if w not in self.words and not w.startswith(tuple(self.stems) or ("\0",))]
         reaching = (np.log(THRESHOLD / (1 - THRESHOLD)) - self.bias) / np.log(2)
         own = insults or {o: 1.1 * reaching * CONTEXT[o] for o in OUTCOMES if o[0] == I}
         self.weights = [float(own[o] if o[0] == I else reaching * CONTEXT[o]) for o in OUTCOMES]
@@ -190,22 +225,25 @@ class Grammar:
         return self.__dict__ | {"_lexicon": None, "_compiled": None}
 
     def features(self, text: str | None) -> list[float]:
-        """For each outcome the logarithm of one more than its count over the text's matched clauses."""
+        """For each outcome its count over the text's matched clauses."""
         if self._lexicon is None:
-            self._lexicon, self._compiled = Lexicon(self.words, self.stems), Compiled()
+            self._lexicon, self._compiled = Lexicon(self.words, self.stems, self.seeds), Compiled()
         counts = [0] * len(OUTCOMES)
         if text:
             symbols = "".join(map(self._lexicon.__getitem__, _TOKENS.findall(text.lower())))
-            if I in symbols or T in symbols:
+            if _HELD.search(symbols):
                 for m in _MATCHED.finditer(symbols):
                     self._compiled.outcomes(m[0], counts)
         return counts
 
     def score(self, text: str | None) -> float:
-        z = self.bias
-        for w, c in zip(self.weights, self.features(text)):
-            if c:
+        z, idle = self.bias, 0.0
+        for name, w, c in zip(OUTCOMES, self.weights, self.features(text)):
+            if c and name[0] == T and name != T + "y":
+                idle = max(idle, w * np.log(2))  # threats that are not aimed, however many
+            elif c:
                 z += w * np.log1p(c)
+        z += idle
         return float(1 / (1 + np.exp(-z)))
 
 
@@ -291,9 +329,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     rows = checkpoint(_sampled(docs, labels, sample))
     counted = rows.mapInArrow(_stems, "stem string, toxic long, clean long, times long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "times")))
     often = (F.col("toxic") >= SUPPORT) & (F.col("clean") <= IMPURE * (F.col("toxic") + F.col("clean")))
+    seeds = F.col("stem").isin(*[f"{w} " for w in INSULT]) & (F.col("toxic") >= CONFIRMED) & (F.col("clean") <= F.col("toxic") / 4)
     few = (F.col("toxic") >= FEW) & (F.col("clean") == 0) & (F.col("times") >= TIMES * F.col("toxic"))
-    words, stems = _terms([(r["stem"], r["toxic"]) for r in counted.where(often | few).select("stem", "toxic").collect()])
-    grammar = Grammar(sorted({*INSULT, *words}), stems)
+    words, stems = _terms([(r["stem"], r["toxic"]) for r in counted.where(often | few | seeds).select("stem", "toxic").collect()])
+    grammar = Grammar(sorted(set(words)), stems)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def vectors(batches):
@@ -305,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     if not data or len({r["toxic"] for r in data}) < 2:
         return grammar
     y = np.array([r["toxic"] for r in data], float)
-    x = np.log1p(np.array([r["x"] for r in data], float)[:, : len(OUTCOMES) // 2])  # the outcomes of insults come first
+    x = np.log1p(np.array([r["x"] for r in data], float)[:, : len(OUTCOMES) // 3])  # the outcomes of learned insults come first
     bias, weights = _logistic(x, y)
     return Grammar(grammar.words, grammar.stems, bias, weights)
 

@@ -57,34 +57,43 @@ def rows(df, *cols):
 def test_grammar_composes():
     g = toxicity.Grammar(stems=["lowei"])
     names = lambda text: {o: c for o, c in zip(toxicity.OUTCOMES, g.features(text)) if c}
-    assert names("You are an idiot") == {"Iy": 1}
-    assert names("not an idiot. idiot") == {"In": 1, "I": 1}
-    assert names("she said you idiot, loweischaft") == {"Iry": 2}
+    assert names("You are an idiot") == {"Jy": 1}
+    assert names("not an idiot. loweis idiot") == {"Jn": 1, "I": 1, "J": 1}
+    assert names("she said you idiot, loweischaft") == {"Jry": 1, "Iry": 1}
     assert names("i will kill you") == {"Ty": 1} and names("you kill time") == {"T": 1}
     assert names("") == names(None) == names("plain words") == {}
     assert 0 <= g.score("") < 0.5 < g.score("you idiot, you moron")
 
 
-def plain_outcomes(text, stems=()):
+def plain_outcomes(text, stems=(), words=()):
     """Outcomes by looking around each word of each clause."""
-    out = {}
+    t, out = toxicity, {}
     for clause in re.split(r"[.;!?:\n]", text.lower()):
         w = re.findall(r"[^\W\d_]+", clause)
         for i, x in enumerate(w):
-            kind = "T" if x in toxicity.THREAT else "I" if x in toxicity.INSULT or any(x.startswith(s) for s in stems) else ""
-            if kind:
-                near = w[max(0, i - 4) : i] if kind == "I" else w[i + 1 : i + 5]
-                marks = ("r" * any(v in toxicity.REPORTED for v in w[:i])) + ("n" * any(v in toxicity.NEGATION for v in w[max(0, i - 3) : i])) + ("y" * any(v in toxicity.TARGET for v in near))
-                out[kind + marks] = out.get(kind + marks, 0) + 1
+            kind = "T" if x in t.THREAT + t.STRONG else "I" if x in words or any(x.startswith(s) for s in stems) else "J" if x in t.INSULT else ""
+            if not kind:
+                continue
+            ahead, behind = w[i + 1 : i + 5], range(max(0, i - 4), i)
+            meant = any(v in t.INTENT for v in w[max(0, i - 6) : i])
+            told = lambda j: any(w[k] in t.INTENT for k in range(max(0, j - 6), j))  # noqa: B023, E731
+            if kind == "T":
+                target = any(v in t.TARGET + t.OBJECT for v in ahead) or any(w[j] in t.OBJECT or (w[j] in t.TARGET and told(j)) for j in behind)
+                third = any(v in t.THIRD for v in ahead) or any(w[j] in t.THIRD and told(j) for j in behind)
+                y = target or (meant and third) if x in t.STRONG else meant and target
+            else:
+                y = any(w[j] in t.TARGET + t.OBJECT + t.THIRD for j in behind)
+            marks = ("r" * any(v in t.REPORTED for v in w[:i])) + ("n" * any(v in t.NEGATION for v in w[max(0, i - 3) : i])) + "y" * bool(y)
+            out[kind + marks] = out.get(kind + marks, 0) + 1
     return out
 
 
 def test_grammar_against_plain_matching():
-    rng, g = random.Random(11), toxicity.Grammar(stems=["zquu"])
-    some = ["you", "not", "said", "kill", "idiot", "burn", "zquuta", "the", "cat", "Scum", "niemals", "usted", ".", "!", "\n", ", ", "they", "x1y"]
+    rng, g = random.Random(11), toxicity.Grammar(words=["moron"], stems=["zquu"])
+    some = ["you", "not", "said", "kill", "idiot", "burn", "zquuta", "the", "cat", "Scum", "niemals", "usted", ".", "!", "\n", ", ", "they", "x1y", "him", "dich", "will", "töten", "moron"]
     texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["you idiot " * 2000]
     for t in texts:
-        assert {o: c for o, c in zip(toxicity.OUTCOMES, g.features(t)) if c} == plain_outcomes(t, ["zquu"])
+        assert {o: c for o, c in zip(toxicity.OUTCOMES, g.features(t)) if c} == plain_outcomes(t, ["zquu"], ["moron"])
 
 
 def test_contexts_decide():
@@ -94,12 +103,22 @@ def test_contexts_decide():
     x[:, 0], x[:, 1] = np.log1p(y * rng.integers(0, 4, 3000)), np.log1p(y * rng.integers(0, 2, 3000))
     x[:, 2] = np.log1p(rng.integers(0, 2, 3000))  # negated insults stand anywhere
     learned = toxicity.Grammar(["idiot"], [], *toxicity._logistic(x, y))
+    aimed = ["i will kill you", "ich werde dich töten", "je vais vous tuer", "we must kill him", "te voy a matar", "i will hurt you", "ich werde ihn töten"]
+    idle = ["kill", "kill the process. " * 8, "they destroy old files. " * 20, "i beat you at chess", "fire will burn them and destroy them", "you kill time", "you will kill time", "we never kill you", "he said i will kill you", "kill them. we never burn you. he said kill. " * 50]
     for g in (toxicity.Grammar(), learned):
-        plain, aimed = g.score("an idiot"), g.score("you idiot")
-        assert g.score("not an idiot") < plain <= aimed and g.score("she said he was an idiot") < plain
-        assert g.score("she said he was not an idiot") < 0.7 <= plain
-        assert max(map(g.score, ["kill", "they destroy old files and burn a cd", "we never kill you", "he said i will kill you"])) < 0.7 <= g.score("i will kill you")
+        plain, told = g.score("an idiot"), g.score("you idiot")
+        assert g.score("not an idiot") < plain <= told and g.score("she said he was an idiot") < plain
+        assert g.score("she said he was not an idiot") < 0.7 <= told
+        assert max(map(g.score, idle)) < 0.7 <= min(map(g.score, aimed))
         assert g.score("the word idiot. " * 3) > plain and g.score("nothing here") < 0.3
+    assert toxicity.Grammar().score("an idiot") < 0.7 <= learned.score("an idiot")  # one word that no label confirms is no verdict
+
+
+def test_toxic_copies_and_long_texts(spark):
+    long = "words without harm. " * 30_000 + "you idiot, you moron. you loser"
+    table = spark.createDataFrame([(1, long, None, None, None, None, None)] * 3 + [(2, long[:-31], None, None, None, None, None)], DOCS)
+    got = toxicity.report(table, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert sorted((r["doc_id"], r["predicted"]) for r in got) == [(1, 1)] * 3 + [(2, 0)] and len({r["score"] for r in got}) == 2
 
 
 def test_toxicity_learns(spark, empty):

@@ -207,7 +207,7 @@ def repeated_words(spark, sf_dir):
 
 
 def colon_places(spark, sf_dir):
-    rows = spans.lines(base._notes(spark, sf_dir)).where(F.length("line") < 2000)
+    rows = spans.lines(base._notes(spark, sf_dir))
     return rows.select(F.col("note_id").alias("doc_id"), "line_no", text.top_level_colon(F.translate("line", ",.;", "(:)")).alias("colon"))
 
 
@@ -249,7 +249,6 @@ def record_bounds(spark, sf_dir):
 def lexicon_codes(spark, sf_dir):
     """Codes of the surfaces of a lexicon by ontology key: all of a key in order, and the last row's."""
     words = base.corpus_lexicon(base._notes(spark, sf_dir)).select("surface", F.array(F.concat(F.lit("c:"), "surface"), F.col("kind")).alias("codes"), (F.length("surface") * 1000 + F.ascii("surface")).cast("long").alias("ord"))
-    words = spans.best_of(words, ["ord"], F.asc("surface"))
     every, last = linking.code_map(words), linking.code_map(words, last_wins=True)
     both = every.select("key", F.array_join("codes", ",").alias("codes")).join(last.select("key", F.array_join("codes", ",").alias("last")), "key")
     return both
@@ -332,7 +331,7 @@ _CHUNKS = f"""nn AS (SELECT doc_id, text, length(text)::INT AS n FROM documents
 c AS (SELECT doc_id, n, 0 AS start, {_cut_at("0", "n", 2600, "[^{NL}]*$")} AS "end" FROM nn
    UNION ALL SELECT doc_id, c.n, "end" - 120, {_cut_at('"end" - 120', "c.n", 2600, "[^{NL}]*$")} FROM c JOIN nn USING (doc_id) WHERE "end" < c.n)"""
 _ENT = f"""WITH {base._WORDS},
-ent AS (SELECT h.doc_id, h.start::BIGINT AS start, h."end"::BIGINT AS "end", substr(d.text, h.start + 1, h."end" - h.start) AS text, h.surface, k, ((h.start * 100 + length(surface)) * 3 + k)::INT AS seq,
+ent AS MATERIALIZED (SELECT h.doc_id, h.start::BIGINT AS start, h."end"::BIGINT AS "end", substr(d.text, h.start + 1, h."end" - h.start) AS text, h.surface, k, ((h.start * 100 + length(surface)) * 3 + k)::INT AS seq,
    {_list(TYPES)}[((h.start * 7 + length(surface) * 3 + k * (h.start % 2)) % {len(TYPES)} + 1)::INT] AS type, {_list(SOURCES)}[((h.start * 5 + length(surface) + k * 2) % {len(SOURCES)} + 1)::INT] AS source,
    ((h.start * 11 + length(surface) * 17 + k * 7) % 50 + 50) / 100.0::DOUBLE AS confidence, (h.start + length(surface)) % 3 = 0 AS needs_support,
    CASE WHEN h.start % 4 = 0 THEN [upper(surface)] ELSE []::VARCHAR[] END AS candidates, {_list(METHODS)}[((h.start + k) % {len(METHODS)} + 1)::INT] AS link_method
@@ -455,7 +454,7 @@ c AS (SELECT doc_id, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER
 t AS (SELECT doc_id, (start + n - length(front))::INT AS start, regexp_replace(front, '\s+$', '') AS clause FROM c),
 w AS (SELECT doc_id, start, list_transform(string_split(trim(regexp_replace(clause, '\s+', ' ', 'g')), ' '), lambda x: trim(lower(x), '.,;:()[]{{}}')) AS l FROM t WHERE regexp_replace(clause, '[.!?;\s]+', '', 'g') <> '')
 SELECT doc_id, start, len(list_filter(l, lambda x, i: i > 1 AND x = l[i - 1] AND x <> '')) > 0 AS repeats FROM w""",
-    "colon_places": f"""WITH {base._LINES}, x AS (SELECT doc_id, line_no, string_split(translate(line, ',.;', '(:)'), '') AS c FROM lines WHERE length(line) < 2000),
+    "colon_places": f"""WITH {base._LINES}, x AS (SELECT doc_id, line_no, string_split(translate(line, ',.;', '(:)'), '') AS c FROM lines),
 r AS (SELECT doc_id, line_no, list_reduce(list_transform(c, lambda ch, i: {{'d': 0, 'f': -1, 'at': (i - 1)::INT, 'c': ch}}), lambda s, e: {{'d': CASE WHEN e.c IN ('(', '[', '{{') THEN s.d + 1 WHEN e.c IN (')', ']', '}}') THEN greatest(0, s.d - 1) ELSE s.d END, 'f': CASE WHEN s.f < 0 AND e.c = ':' AND s.d = 0 THEN e.at ELSE s.f END, 'at': e.at, 'c': e.c}},
    {{'d': 0, 'f': -1, 'at': 0, 'c': ''}}) AS s FROM x)
 SELECT doc_id, line_no::INT AS line_no, coalesce(s.f, -1)::INT AS colon FROM r""",
@@ -490,7 +489,7 @@ SELECT doc_id, start::INT AS start, "end"::INT AS "end", type AS label, score FR
     "record_bounds": f"""WITH {base._LINES}, x AS (SELECT doc_id, start, (start + length(line))::INT AS "end", line FROM lines WHERE line <> ''), h AS (SELECT * FROM x WHERE regexp_matches(line, '(?i)^({"|".join(base.HEADERS)})($|[^{base.WORD_CLASS}])')),
 l AS (SELECT doc_id, max("end") AS last FROM x GROUP BY 1)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start)::INT AS record, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), last)::INT AS "end" FROM h JOIN l USING (doc_id)""",
-    "lexicon_codes": f"""WITH {base._WORDS}, o AS (SELECT surface, ['c:' || surface, kind] AS codes, (length(surface) * 1000 + unicode(surface))::BIGINT AS ord FROM lexicon QUALIFY row_number() OVER (PARTITION BY length(surface) * 1000 + unicode(surface) ORDER BY surface) = 1),
-k AS (SELECT trim({_KEYED}) AS key, codes, ord FROM o), e AS (SELECT key, flatten(list(codes ORDER BY ord)) AS c, arg_max(codes, ord) AS l FROM k WHERE key <> '' GROUP BY key)
+    "lexicon_codes": f"""WITH {base._WORDS}, o AS (SELECT surface, ['c:' || surface, kind] AS codes, (length(surface) * 1000 + unicode(surface))::BIGINT AS ord FROM lexicon),
+k AS (SELECT trim({_KEYED}) AS key, codes, ord FROM o), e AS (SELECT key, flatten(list(codes ORDER BY ord, codes)) AS c, (list(codes ORDER BY ord DESC, codes DESC))[1] AS l FROM k WHERE key <> '' GROUP BY key)
 SELECT key, array_to_string(list_filter(c, lambda x, i: NOT list_contains(c[:i - 1], x)), ',') AS codes, array_to_string(list_filter(l, lambda x, i: NOT list_contains(l[:i - 1], x)), ',') AS last FROM e""",
 }

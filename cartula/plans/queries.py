@@ -390,12 +390,12 @@ _WORDS = rf"""
 p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '{spans.WORDS}') AS l FROM documents)),
 w AS (SELECT doc_id, i, piece, regexp_extract(piece, '^{_W}') AS word,
         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM p),
-ww AS (SELECT * FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS following, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS next_piece FROM w WHERE word <> '')),
+ww AS MATERIALIZED (SELECT * FROM (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS following, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS next_piece FROM w WHERE word <> '')),
 cand AS (SELECT doc_id, lower(word) AS surface, 10 AS share FROM ww WHERE length(word) >= 3
    UNION ALL SELECT doc_id, lower(piece || following), 50 FROM ww WHERE piece = word || ' ' AND following IS NOT NULL),
-lexicon AS (SELECT surface, ['A', 'B', 'C'][length(surface) % 3 + 1] AS kind, ((length(surface) * 7) % 5)::INT AS priority
+lexicon AS MATERIALIZED (SELECT surface, ['A', 'B', 'C'][length(surface) % 3 + 1] AS kind, ((length(surface) * 7) % 5)::INT AS priority
    FROM (SELECT surface, share, count(DISTINCT doc_id) AS df FROM cand GROUP BY 1, 2) WHERE df * share >= (SELECT count(*) FROM documents)),
-hits AS (SELECT w.doc_id, w.start, w.start + length(l.surface)::INT AS "end", l.surface, l.kind, l.priority FROM ww w JOIN lexicon l ON lower(w.word) = l.surface
+hits AS MATERIALIZED (SELECT w.doc_id, w.start, w.start + length(l.surface)::INT AS "end", l.surface, l.kind, l.priority FROM ww w JOIN lexicon l ON lower(w.word) = l.surface
    UNION ALL SELECT w.doc_id, w.start, w.start + length(l.surface)::INT, l.surface, l.kind, l.priority FROM ww w JOIN lexicon l
      ON contains(l.surface, ' ') AND lower(w.piece || w.following) = l.surface)"""
 
@@ -499,8 +499,10 @@ SELECT doc_id, start, surface, found AND length(between_) <= 90 AND NOT regexp_m
     "support_semi": f'WITH {_WORDS}, {_TWO} SELECT doc_id, start, "end", type FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.type = l.type AND r.start < l."end" AND l.start < r."end" AND {_RATIO} >= 0.8)',
     "conflict_anti": f"""WITH {_WORDS}, {_TWO}, o AS (SELECT doc_id, start, "end", CASE WHEN confidence < 0.5 THEN 'A' ELSE type END AS type FROM r)
 SELECT doc_id, start, "end", type FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = l.doc_id AND o.start = l.start AND o."end" = l."end" AND o.type <> l.type)""",
-    "overlap_ratio_join": f"""WITH {_WORDS}, {_TWO}
-SELECT l.doc_id, l.start AS l_start, l."end" AS l_end, r.start AS r_start, r."end" AS r_end, round({_RATIO}, 6) AS ratio FROM l JOIN r ON l.doc_id = r.doc_id AND l.start < r."end" AND r.start < l."end" WHERE NOT (l.start = r.start AND l."end" = r."end")""",
+    # pairs are met in the first stretch of 256 characters that both spans touch
+    "overlap_ratio_join": f"""WITH {_WORDS}, {_TWO}, ls AS (SELECT *, unnest(range(start // 256, ("end" - 1) // 256 + 1)) AS k FROM l), rs AS (SELECT *, unnest(range(start // 256, ("end" - 1) // 256 + 1)) AS k FROM r)
+SELECT l.doc_id, l.start AS l_start, l."end" AS l_end, r.start AS r_start, r."end" AS r_end, round({_RATIO}, 6) AS ratio FROM ls l JOIN rs r ON l.doc_id = r.doc_id AND l.k = r.k AND l.k = greatest(l.start, r.start) // 256
+WHERE l.start < r."end" AND r.start < l."end" AND NOT (l.start = r.start AND l."end" = r."end")""",
     "containment_join": f"""WITH {_WORDS}, {_TWO}
 SELECT l.doc_id, count(*) AS n_nested FROM l JOIN r ON l.doc_id = r.doc_id AND l.start <= r.start AND r."end" <= l."end" WHERE NOT (l.start = r.start AND l."end" = r."end") GROUP BY 1""",
     "argmax_dedup": f"""WITH {_WORDS}, {_PROPOSALS} SELECT doc_id, start, "end", type, source, confidence FROM prop QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end", type ORDER BY confidence DESC, seq) = 1""",

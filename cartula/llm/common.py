@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import tempfile
 import time
@@ -44,6 +43,12 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder that exists deleted when the driver's JVM ends, be it that the session was stopped before."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the shared folder: its lineage is cut, and a lost executor costs nothing.
 
@@ -70,7 +75,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
+    remove_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

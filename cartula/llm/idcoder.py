@@ -22,7 +22,6 @@ table makes files without segments and gives an empty result; further columns ar
 
 from __future__ import annotations
 
-import atexit
 import os
 import struct
 import uuid
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartula.llm.common import checkpoint, parts, remove, scratch, small_batches
+from cartula.llm.common import checkpoint, parts, remove_at_end, scratch, small_batches
 
 MAGIC, VERSION = b"IDRC", 2
 #: Ids of a block, and of a segment, about; blocks coded side by side.
@@ -480,11 +479,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(start + np.cumsum(n) - n),
                     pa.array(n),
                     pa.array([zlib.crc32(t.tobytes()) for _, t in docs], pa.int64()),
-                    pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), np.concatenate([t for _, t in docs]).astype(np.int32)),
+                    pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), np.concatenate([t for _, t in docs]).astype(np.int64)),  # ids are unsigned
                 )
                 yield pa.RecordBatch.from_arrays([*columns], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return segments.join(starts, ["part", "segment"]).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return segments.join(starts, ["part", "segment"]).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -492,5 +491,5 @@ def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = f"{scratch(spark)}/ids-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
-    atexit.register(remove, spark, path)
+    remove_at_end(spark, path)
     return read(spark, path).drop("ids")

@@ -191,6 +191,20 @@ def test_ids_equal_the_library(docs, empty):
     assert idcoder.digest(empty, path).count() == 0
 
 
+def test_several_segments(spark, docs, tmp_path, monkeypatch):
+    """Files of many small segments give the same starts, and ids beyond 31 bits come back as they are."""
+    public = pytest.importorskip("public_tokenizers")
+    path = str(public.path("word_bpe_49k.json"))
+    once = rows(idcoder.digest(docs, path), "doc_id", "start", "n_tokens", "ids_crc32")
+    monkeypatch.setattr(idcoder, "SEGMENT", 50)
+    assert rows(idcoder.digest(docs, path), "doc_id", "start", "n_tokens", "ids_crc32") == once
+    idcoder.write(docs, str(tmp_path / "ids"), path, end=(1 << 32) - 1)
+    got = idcoder.read(spark, str(tmp_path / "ids"))
+    assert spark.read.parquet(str(tmp_path / "ids")).count() > 20
+    assert {r["ids"][-1] for r in got.collect()} == {(1 << 32) - 1}
+
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 

@@ -11,13 +11,12 @@ nulls are handled as each operator says.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cartula.llm import decontam, hilbert, mixing, simhash, toxicity
-from cartula.llm.common import remove, scratch, table
+from cartula.llm.common import remove_at_end, scratch, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     at = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, at)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        remove_at_end(spark, at)
         docs = spark.read.parquet(f"{at}/{k}")
     return docs

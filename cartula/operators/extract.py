@@ -241,7 +241,7 @@ def _fallback(rows: DataFrame, notes: DataFrame, known: DataFrame, kind: str, co
     """Lines as entities that need support, where neither a known entity nor an earlier line overlaps them."""
     flags = ["p_assertion_history", "p_assertion_family"]
     rows = rows.select("note_id", "section", *flags, F.col("at").alias("start"), (F.col("at") + F.length("body")).cast("int").alias("end")).where("start < end")
-    rows = spans.joined(rows, known, spans.overlaps("l", "r"), "left_anti")
+    rows = spans.overlapping(rows, known, how="left_anti")
     rows = spans.with_text(spans.greedy(rows), notes).withColumn("text", between("__note", "start", "end"))
     return entities(rows, type=kind, assertions=inferred(F.lit(kind), F.col(flags[0]), F.col(flags[1])), confidence=confidence, source=source, needs_support=True)
 

@@ -360,7 +360,8 @@ def promoted(rows: DataFrame, support: DataFrame, to: float = 0.84) -> DataFrame
 def rescued(rules_: DataFrame, llm: DataFrame, least: float = 0.7) -> DataFrame:
     """Rules that are sure or not fallbacks, and those that a language model's span of their type overlaps."""
     weak = (F.col("confidence") < least) | F.endswith("source", F.lit("_fallback"))
-    return rules_.where(~weak).unionByName(spans.joined(rules_.where(weak), llm, spans.overlaps("l", "r") & _same_type(), "left_semi"))
+    backed = flag(rules_.where(weak), llm, "__met", spans.overlaps("l", "r"), _same_type(), shared=True).where("__met").drop("__met")
+    return rules_.where(~weak).unionByName(backed)
 
 
 def bad_anchor() -> Column:

@@ -342,7 +342,7 @@ def fold_text(spark, sf_dir):
 
 
 def regex_span_offsets(spark, sf_dir):
-    """Rows only: places of words in capitals, with the characters there."""
+    """Places of words of five Latin letters and more, with the characters there."""
     return spans.regex_spans(_notes(spark, sf_dir), {"capital": r"\b[A-ZÀ-Þ][a-zß-ÿ]{4,}"})
 
 
@@ -465,6 +465,8 @@ SELECT doc_id, start, (start + length(clause))::INT AS "end", md5(clause) AS cla
     "normalize_tokens": f"SELECT doc_id, len({_TOKENS})::INT AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents",
     "fold_text": r"SELECT doc_id, md5(trim(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' .,:;()[]{}')) AS folded_md5 FROM documents",
     "doc_frequency": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1",
+    "regex_span_offsets": f"""WITH {_WORDS}, x AS (SELECT doc_id, start, regexp_extract(word, '^[A-Za-zÀ-ÖØ-Þà-öø-þ][A-Za-zÀ-ÖØ-öø-ÿŸ]{{4,}}') AS m FROM ww)
+SELECT doc_id AS note_id, 'capital' AS name, start, (start + length(m))::INT AS "end", m AS text FROM x WHERE m <> ''""",
     "dict_scan": f'WITH {_WORDS} SELECT doc_id, start, "end", surface FROM hits',
     "dict_scan_longest": f'{_WITH}, {_walk("hits", "g")} SELECT doc_id, start, "end", surface, kind FROM g',
     "dict_scan_policy": f"""{_WITH}, {_SECTIONS},

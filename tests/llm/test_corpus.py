@@ -798,4 +798,4 @@ def test_near_copies_stage_against_plain_python(spark):
 def test_queries_are_named():
     from cartula.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartula.functions.fixed import DIAGNOSIS, DRUG, SYMPTOM
+from cartula.functions.text import upper_each
 from cartula.operators import retrieval
 from cartula.plans import queries as base
 from cartula.session import shared_folder
@@ -40,8 +41,8 @@ def csv_lexicons(spark, sf_dir):
     """The corpus' lexicon, written as CSV with a mark of its encoding and read as a lexicon of tests, symptoms, diagnoses and drugs."""
     words = base.corpus_lexicon(base._notes(spark, sf_dir)).withColumn("n", F.length("surface"))
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit("  "))
-    shared = [F.when(F.col("n") % 2 == 0, spaced(F.upper("surface"))).otherwise("").alias("canonical_name"), F.when(F.col("n") % 3 == 0, F.lit("x")).otherwise(F.col("priority").cast("string")).alias("priority")]
-    made = words.select(F.lit("-").alias("mark"), spaced(F.col("surface")).alias("surface_form"), F.col("surface").alias("term"), *shared, F.when(F.col("n") % 4 == 0, F.col("kind")).alias("category"), F.concat(F.lit("A1| "), F.upper(F.substring("surface", 1, 1)), F.lit("2 ||")).alias("icd_codes"), F.concat(F.lit(" "), F.col("n").cast("string")).alias("rxcui"))
+    shared = [F.when(F.col("n") % 2 == 0, spaced(upper_each("surface"))).otherwise("").alias("canonical_name"), F.when(F.col("n") % 3 == 0, F.lit("x")).otherwise(F.col("priority").cast("string")).alias("priority")]
+    made = words.select(F.lit("-").alias("mark"), spaced(F.col("surface")).alias("surface_form"), F.col("surface").alias("term"), *shared, F.when(F.col("n") % 4 == 0, F.col("kind")).alias("category"), F.concat(F.lit("A1| "), upper_each(F.substring("surface", 1, 1)), F.lit("2 ||")).alias("icd_codes"), F.concat(F.lit(" "), F.col("n").cast("string")).alias("rxcui"))
     path = _folder(spark, "csv_lexicons")
     sinks.write_csv(made, path)
     own = None

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartula.functions import fixed
-from cartula.functions.text import valid_span
+from cartula.functions.text import NEAR, valid_span
+from cartula.operators import spans
 
 _LAST = 10**9
 
@@ -154,11 +155,12 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def anchors(rows: DataFrame, notes_: DataFrame, confidence: float = 0.97) -> DataFrame:
     """Annotations of an earlier run, judged: accepted and reason (offset_mismatch, invalid, duplicate, missing_note)."""
-    own = rows.join(notes_.select("note_id", F.col("text").alias("__note")), "note_id", "left")
+    fits, noted = valid_span(NEAR, "start", "end", "text"), F.col(f"{NEAR}.text").isNotNull()
+    own = spans.near(rows, notes_, 0, how="left").withColumns({"__fits": fits, "__noted": noted}).drop(NEAR)
     n = F.row_number().over(Window.partitionBy("note_id", "start", "end", "type").orderBy("seq"))
-    reason = F.when(F.col("__note").isNull(), "missing_note").when(~F.col("type").isin(*fixed.TYPES) | F.col("start").isNull(), "invalid").when(~valid_span("__note", "start", "end", "text"), "offset_mismatch").when(F.col("__n") > 1, "duplicate")
+    reason = F.when(~F.col("__noted"), "missing_note").when(~F.col("type").isin(*fixed.TYPES) | F.col("start").isNull(), "invalid").when(~F.col("__fits"), "offset_mismatch").when(F.col("__n") > 1, "duplicate")
     own = own.withColumn("__n", n).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
-    return own.withColumn("reason", F.coalesce("reason", F.lit("accepted"))).withColumn("source", F.lit("baseline_anchor")).withColumn("confidence", F.lit(confidence)).drop("__n", "__note")
+    return own.withColumn("reason", F.coalesce("reason", F.lit("accepted"))).withColumn("source", F.lit("baseline_anchor")).withColumn("confidence", F.lit(confidence)).drop("__n", "__noted", "__fits")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -168,8 +170,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def examples(texts: DataFrame, gold: DataFrame) -> DataFrame:
     """note_id, start, end, text, type of annotations (see annotations) that are the text at their place in notes; others are left out."""
-    own = gold.join(texts.select("note_id", F.col("text").alias("__note")), "note_id")
-    return own.where(valid_span("__note", "start", "end", "text")).select("note_id", "start", "end", "text", "type")
+    own = spans.near(gold, texts, 0)
+    return own.where(valid_span(NEAR, "start", "end", "text")).select("note_id", "start", "end", "text", "type")
 
 
 def vector_index(spark: SparkSession, path: str) -> DataFrame:

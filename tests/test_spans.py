@@ -113,3 +113,20 @@ def test_observed_counts(spark):
     for rows in (own, before, after):
         rows.write.format("noop").mode("overwrite").save()
     assert told() == {c: sum(r[c] for r in grouped) for c in ("segments", "tokens", "before", "after", "removed")}
+
+
+def test_near_reads_as_the_whole_text(spark):
+    """What is near a span reads as the whole text does: at cuts, ends, beyond them, in blank and missing texts, and for long spans."""
+    from cartula.functions.text import NEAR, scope_text, snippet
+
+    rng = random.Random(3)
+    texts = {"a": "".join(rng.choice("ab. \n😀đ;") for _ in range(5000)), "b": "x" * 2048, "c": "", "d": None, "e": "kurz; und gut"}
+    at = [(n, s, s + w) for n in texts for s in (0, 1, 5, 900, 1023, 1024, 1025, 2040, 2047, 2048, 2049, 4095, 4990, 4999, 5000, 5400) for w in (0, 1, 7, 850, 1500, 6000)]
+    notes = spark.createDataFrame(list(texts.items()), "note_id string, text string")
+    own = spark.createDataFrame([*at, ("a", None, None), ("a", -3, 2), ("z", 1, 2)], "note_id string, start int, end int")
+    read = lambda rows, t: sorted(map(str, rows.select("note_id", "start", "end", snippet(t, "start", "end").alias("s"), clause_around(t, "start", "end").alias("c"), scope_text("note_id", t, "start", "end").alias("x"), valid_span(t, "start", "end", F.lit("x")).alias("v"), mid_word(t, "start", "end").alias("m")).collect()))
+    whole = read(spans.with_text(own, notes), "__note")
+    assert read(spans.near(own, notes, 180), NEAR) == whole and len(whole) == len(at) + 2
+    assert {r["note_id"] for r in spans.near(own, notes, 180, how="left").where(f"{NEAR}.text is null").collect()} == {"d", "z"}
+    held = spans.near(own.where("note_id = 'a' and start >= 0 and end <= 5000 and end - start < 800"), notes, 180, placed=True)
+    assert held.agg(F.max(F.length(f"{NEAR}.text"))).first()[0] <= 180 + 2 * spans.AROUND

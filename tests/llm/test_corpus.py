@@ -191,6 +191,67 @@ def test_ids_equal_the_library(docs, empty):
     assert idcoder.digest(empty, path).count() == 0
 
 
+def test_few_numbers_are_coded(monkeypatch):
+    """What is coded step by step are phrases: far fewer than the ids, in no more bits."""
+    public = pytest.importorskip("public_tokenizers")
+    texts = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    ids = np.concatenate(idcoder.Encoder(str(public.path("word_bpe_49k.json"))).encode(texts))
+    coded, update = [0], idcoder.Model.update
+
+    def counted(self, *columns):
+        coded[0] += max(np.size(c) for c in columns)
+        return update(self, *columns)
+
+    monkeypatch.setattr(idcoder.Model, "update", counted)
+    packed = idcoder.pack([(1, ids)])
+    assert coded[0] < 0.75 * len(ids)
+    assert np.array_equal(idcoder.unpack(packed)[0][1], ids)
+
+
+def test_damage_is_found_anywhere():
+    rng = np.random.default_rng(5)
+    docs = [(None, rng.integers(0, 90, 4000)), (8, np.repeat(rng.integers(0, 1 << 32, 40), 9))]
+    packed = idcoder.pack(docs)
+    for k in rng.integers(0, len(packed), 300).tolist():
+        broken = bytearray(packed)
+        broken[k] ^= 1 << int(rng.integers(8))
+        with pytest.raises(ValueError):
+            idcoder.unpack(bytes(broken))
+
+
+def test_odd_segments(monkeypatch):
+    """Very many ids (coded in halves), several streams, phrases of phrases, one block and many."""
+    rng = np.random.default_rng(6)
+    many = rng.integers(0, 1 << 32, 200_000, dtype=np.uint32)
+    cases = [np.r_[many, many[:50_000], np.tile(many[:7], 400)], np.tile(np.arange(11), 900), np.zeros(1, np.uint32), np.arange(1025), rng.integers(0, 3, 50_000)]
+    for lanes, block in ((4096, 1024), (3, 100), (1, 7000)):
+        monkeypatch.setattr(idcoder, "LANES", lanes)
+        monkeypatch.setattr(idcoder, "BLOCK", block)
+        for ids in cases if block > 100 else [x[:9000] for x in cases]:
+            docs = [(k, x.astype("<u4")) for k, x in enumerate(np.array_split(ids, 3))]
+            back = idcoder.unpack(idcoder.pack(docs))
+            assert all(i == k and np.array_equal(a, b) for (i, a), (k, b) in zip(back, docs, strict=True))
+
+
+def test_letters_are_told_apart(tmp_path):
+    """Stretches of letters get the library's ids, known or not; a tokenizer that minds capitals keeps its own way."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = str(public.path("word_bpe_49k.json"))
+    t, own, rng = tokenizers.Tokenizer.from_file(path), idcoder.Encoder(path), random.Random(4)
+    assert own.letters is not None
+    own.MOST = 300
+    letters = [chr(c) for c in range(65, 0x180) if chr(c).isalpha()] + ["\u0301", "'", "1", "ﬁ", "İ", "\x01", "."]
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choices(letters if rng.random() < 0.3 else letters[:52], k=rng.randint(1, 12))) for _ in range(40)) for _ in range(20)]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+    minds = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[UNK]": 0, "the": 1, "The": 2}, unk_token="[UNK]"))
+    minds.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+    minds.save(str(tmp_path / "t.json"))
+    other = idcoder.Encoder(str(tmp_path / "t.json"))
+    assert other.letters is None and other.encode(["the The x", None])[0].tolist() == [1, 2, 0, 2]
+
+
 def test_several_segments(spark, docs, tmp_path, monkeypatch):
     """Files of many small segments give the same starts, and ids beyond 31 bits come back as they are."""
     public = pytest.importorskip("public_tokenizers")

@@ -51,7 +51,7 @@ END = 2
 #: Times that a pair comes in a segment to be a phrase, or to be in order 1.
 OFTEN = 8
 #: Times that pairs are sought within words, and across them.
-WITHIN, ACROSS = 3, 1
+WITHIN, ACROSS = 2, 1
 #: Ids, and phrases, of a book at most.
 MOST = 1 << 17
 #: Steps from one mixing of counts to the next.
@@ -78,7 +78,11 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first, first + 1 ... of each, size of them, one after another."""
     ends = np.cumsum(size)
-    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    total, top = int(ends[-1]) if len(ends) else 0, int(first.max(initial=0))
+    kind = np.int32 if total + top < 1 << 31 else np.int64
+    places = np.repeat((first - ends + size).astype(kind), size)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -114,14 +118,13 @@ class _Pairs:
         self.key[self.bucket] = key
         self.seen = self.key[self.bucket] == key
         self.weight = weight
-        self.times = self.count(self.seen)
 
-    def count(self, which: np.ndarray) -> np.ndarray:
-        """By bucket; which is a mask or places."""
+    def count(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """By bucket; which is a mask or places; without it the pairs that aren't seen count, too."""
         return np.bincount(self.bucket[which], None if self.weight is None else self.weight[which], len(self.key))
 
     def numbered(self, which: np.ndarray, kept: np.ndarray):
-        """The pairs of the kept buckets, ascending, and the number of each of which among them."""
+        """The pairs of the kept buckets, ascending, and the number among them of each of which (places)."""
         found = np.flatnonzero(kept)
         found = found[np.argsort(self.key[found])]
         number = np.zeros(len(self.key), np.int64)
@@ -134,25 +137,30 @@ def _joined(x: np.ndarray, n: int, room: int, own: np.ndarray | None = None, wei
 
     own: pairs are of one owner; weight: how often each place counts.
     """
-    at = np.arange(len(x) - 1) if own is None else np.flatnonzero(own[:-1] == own[1:])
-    pairs = _Pairs(x[at], x[at + 1], None if weight is None else weight[at])
-    good = np.flatnonzero(pairs.seen & (pairs.times >= OFTEN)[pairs.bucket])
+    if own is None:
+        at, pairs = None, _Pairs(x[:-1], x[1:])
+    else:
+        at = np.flatnonzero(own[:-1] == own[1:])
+        pairs = _Pairs(x[at], x[at + 1], weight[at])
+    good = np.flatnonzero(pairs.seen & (pairs.count() >= OFTEN)[pairs.bucket])
     # Of places in a row every second one begins a pair.
-    where = at[good]
+    where = good if at is None else at[good]
     k = np.arange(len(where))
     head = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) == 1, 0, k)) if len(k) else k
-    good = good[((k - head) & 1) == 0]
+    every = ((k - head) & 1) == 0
+    good, where = good[every], where[every]
     times = pairs.count(good)
     least = OFTEN
     while np.count_nonzero(times >= least) > room:
         least *= 2
     kept = times >= least
-    good = good[kept[pairs.bucket[good]]]
+    stays = kept[pairs.bucket[good]]
+    good, where = good[stays], where[stays]
     left, right, number = pairs.numbered(good, kept)
     stay = np.ones(len(x), bool)
-    stay[at[good] + 1] = False
+    stay[where + 1] = False
     x = x.copy()
-    x[at[good]] = n + number
+    x[where] = n + number
     return x[stay], stay, left, right
 
 
@@ -170,6 +178,9 @@ class Book:
         own = np.repeat(_starts(self.n), self.n)
         so_far = _starts(self.share1)
         self.start1 = so_far - so_far[own] if len(own) else so_far
+        up = self.bits - _BITS1
+        #: Where each place of order 0, and behind these of order 1, lies in a total of so many bits, and how wide.
+        self.begin, self.width = (np.r_[a, b << up].astype(_U) for a, b in ((self.start, self.start1), (self.share, self.share1)))
 
     @staticmethod
     def total_bits(n: int) -> int:
@@ -207,25 +218,24 @@ class Book:
 
     @classmethod
     def made(cls, made, halves, rows: np.ndarray):
-        """The book with what blocks of numbers (a row each) show of order 1, and the place of each of them in it (-1: none)."""
+        """The book with what blocks of numbers (a row each) show of order 1, and what says each of them: its place in order 0, or behind these in order 1."""
         n = len(made[-1])
         before = np.empty_like(rows)
         before[:, 0], before[:, 1:] = n, rows[:, :-1]
         pairs = _Pairs(before.reshape(-1), rows.reshape(-1))
-        kept = pairs.times >= OFTEN
-        left, right, place = pairs.numbered(slice(None), kept)
-        counts = np.zeros(len(left), np.int64)
-        known = pairs.seen & kept[pairs.bucket]
-        place = np.where(known, place, -1)
-        counts += np.bincount(place[known], minlength=len(left))
+        kept = pairs.count(pairs.seen) >= OFTEN
+        known = np.flatnonzero(pairs.seen & kept[pairs.bucket])
+        left, right, own = pairs.numbered(known, kept)
+        counts = np.bincount(own, minlength=len(left))
         # more than so many that follow one number are left to order 0
         few = np.arange(len(left)) - np.searchsorted(left, left) < 1 << (_BITS1 - 1)
-        if not few.all():
-            place = np.where(known & few[place], (np.cumsum(few) - 1)[place], -1)
-            left, right, counts = left[few], right[few], counts[few]
+        known, own = known[few[own]], (np.cumsum(few) - 1)[own[few[own]]]
+        left, right, counts = left[few], right[few], counts[few]
+        said = rows.astype(np.int32).reshape(-1)
+        said[known] = n + own
         size = np.bincount(left, minlength=n + 1)
         total = np.bincount(left, counts, n + 1).astype(np.int64)
-        return cls(*made, size, right, _shares(counts, total[left], 1 << _BITS1, size[left]), halves), place.reshape(rows.shape)
+        return cls(*made, size, right, _shares(counts, total[left], 1 << _BITS1, size[left]), halves), said.reshape(rows.shape)
 
     def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and where in them the ids of each number begin and how many they are."""
@@ -294,12 +304,13 @@ class Model:
             self.mix()
 
 
-def encode_blocks(rows: np.ndarray, start: np.ndarray, share: np.ndarray, event: np.ndarray, book: Book) -> bytes:
-    """The stream of blocks, a row each: numbers, and where and how wide each lies in the order (event) that has it."""
+def encode_blocks(rows: np.ndarray, said: np.ndarray, book: Book) -> bytes:
+    """The stream of blocks, a row each: numbers, and the places in the book that say them."""
     lanes, n = rows.shape
     model, bits = Model(lanes), book.bits
     x = np.ascontiguousarray(rows.T, np.int32)
-    event = np.ascontiguousarray(event.T, np.int32)
+    said = np.ascontiguousarray(said.T)
+    event = np.where(said < len(book.share), np.int32(2), np.int32(1))
     sums = np.empty((n, lanes), np.int32)
     last = before = np.full(lanes, len(book.share), np.int32)
     for k in range(n):
@@ -314,10 +325,11 @@ def encode_blocks(rows: np.ndarray, start: np.ndarray, share: np.ndarray, event:
     for low in range((n - 1) // 64 * 64, -1, -64):  # the last number goes first
         at = slice(low, low + 64)
         e, two, one = event[at], sums[at] & 0xFFFF, sums[at] >> 16
-        own = np.where(e == 0, two, np.where(e == 1, one - two, (1 << _EVENT) - one)).astype(_U)
-        first = np.where(e == 0, 0, np.where(e == 1, two, one)).astype(_U)
-        width = own * np.where(e == 0, 1 << bits, share.T[at]).astype(_U)
-        begin = (first << _U(bits)) + own * np.where(e == 0, 0, start.T[at]).astype(_U)
+        hit, known = e == 0, e == 1
+        own = np.where(hit, two, np.where(known, one - two, (1 << _EVENT) - one)).astype(_U)
+        first = np.where(hit, 0, np.where(known, two, one)).astype(_U)
+        width = own * np.where(hit, _U(1 << bits), book.width[said[at]])
+        begin = (first << _U(bits)) + own * np.where(hit, _U(0), book.begin[said[at]])
         limit, gap = width << total, whole - width
         for w, b, m, g in zip(width[::-1], begin[::-1], limit[::-1], gap[::-1]):
             full = state >= m
@@ -352,10 +364,9 @@ def decode_blocks(stream: bytes, lanes: int, n: int, book: Book) -> np.ndarray:
     out = np.empty((n, lanes), np.int32)
     number = np.repeat(np.arange(len(book.share), dtype=np.int32), book.share)
     number = np.r_[number, np.full((1 << bits) - len(number), max(0, len(book.share) - 1), np.int32)]
-    both = (book.start.astype(_U) << _WORD) | book.share.astype(_U)
-    up = bits - _BITS1
+    known_from, up = len(book.share), bits - _BITS1
+    both = (book.begin << _WORD) | book.width
     find1 = _finder((np.repeat(np.arange(len(book.n)), book.n) << _BITS1) + book.start1, len(book.n) << _BITS1, _BITS1 - 4)
-    both1 = (book.start1.astype(_U) << _U(32 + up)) | (book.share1.astype(_U) << _U(up))
     bits_, whole, mask = _U(bits), _U(_EVENT + bits), _U((1 << (_EVENT + bits)) - 1)
     half, full = _U(0xFFFFFFFF), np.int64(1 << _EVENT)
     last = before = np.full(lanes, len(book.share), np.int32)
@@ -380,10 +391,10 @@ def decode_blocks(stream: bytes, lanes: int, n: int, book: Book) -> np.ndarray:
             first[rest] = two * e
             known, hits = rest[e > 0], rest[e == 0]
             x[hits], say[hits] = model.table[place[hits]], _U(1 << bits)
-            if len(known) and len(both1):
+            if len(known) and len(book.after):
                 target = (slot[known] - (first[known].view(np.int64) << bits)) // own[known].view(np.int64)
                 found = find1((last[known].astype(np.int64) << _BITS1) + (target >> up))
-                x[known], say[known] = book.after[found], both1[found]
+                x[known], say[known] = book.after[found], both[known_from + found]
         state = own * (say & half) * (state >> whole) + slot.view(_U) - (first << bits_) - own * (say >> _WORD)
         low = np.flatnonzero(state <= half)
         state[low] = (state[low] << _WORD) | words[pos : pos + len(low)]
@@ -401,14 +412,8 @@ def _pack(docs: np.ndarray, seq: np.ndarray, size: np.ndarray, ids: np.ndarray)
     width = max(1, -(-len(x) // max(1, blocks)))
     rows = np.zeros((blocks, width), np.int64)
     rows.reshape(-1)[: len(x)] = x
-    book, place = Book.made(made, halves, rows)
-    known = place >= 0
-    up = book.bits - _BITS1
-    start, share = book.start[rows], book.share[rows]
-    if len(book.after):
-        start[known], share[known] = book.start1[place[known]] << up, book.share1[place[known]] << up
-    event = np.where(known, 1, 2)
-    streams = [encode_blocks(*(y[k : k + LANES] for y in (rows, start, share, event)), book) for k in range(0, blocks, LANES)]
+    book, said = Book.made(made, halves, rows)
+    streams = [encode_blocks(rows[k : k + LANES], said[k : k + LANES], book) for k in range(0, blocks, LANES)]
     spelled, first, length = book.spelled()
     own = _unhalved(spelled[_ragged(first[x], length[x])], halves)
     cuts = _cuts(length[x], width, halves)
